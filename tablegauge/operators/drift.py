@@ -19,6 +19,7 @@ from tablegauge.functions import columns as C
 from tablegauge.functions import dates
 from tablegauge.functions.probability import chi_square_tail, kolmogorov_tail
 from tablegauge.operators.order_stats import quantiles, running_totals
+from tablegauge.session import durable
 
 # Fixed values of the drift rules.
 STABLE_BELOW = 0.10
@@ -83,14 +84,19 @@ class DriftTables:
         if not names:
             return None
         counts = _side_counts(_sides(self.reference, self.current, names, "double"))
-        return running_totals(counts, ["feature"], "value", ["ref", "cur"])
+        return running_totals(counts, ["feature"], "value", ["ref", "cur"], reused=True)
 
     @cached_property
     def texts(self) -> DataFrame | None:
         names = self.named("string")
         if not names:
             return None
-        return _side_counts(_sides(self.reference, self.current, names, "string"))
+        return durable(_side_counts(_sides(self.reference, self.current, names, "string")))
+
+    @cached_property
+    def kinds(self) -> DataFrame:
+        """Kind per feature, one row each, kept because several results read it."""
+        return durable(feature_kinds(self))
 
     @cached_property
     def listing(self) -> DataFrame:
@@ -234,7 +240,7 @@ def level_counts(tables: DriftTables) -> DataFrame:
         spark = tables.reference.sparkSession
         return spark.createDataFrame([], "feature string, level string, ref long, cur long")
     union = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    wanted = feature_kinds(tables).where("kind = 'categorical'").select("feature")
+    wanted = tables.kinds.where("kind = 'categorical'").select("feature")
     return union.join(F.broadcast(wanted), "feature")
 
 
@@ -347,7 +353,7 @@ def with_chi_square_p(levels: DataFrame) -> DataFrame:
 
 def feature_drift(tables: DriftTables) -> DataFrame:
     """One row per common feature with its drift statistics and severity."""
-    kinds = feature_kinds(tables)
+    kinds = tables.kinds
     parts = []
     if tables.numbers is not None:
         parts.append(

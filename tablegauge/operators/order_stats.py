@@ -22,14 +22,15 @@ def value_counts(long: DataFrame, group: Sequence[str] = ("feature",), value: st
 
 
 def running_totals(
-    counts: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]
+    counts: DataFrame, group: Sequence[str], order: str, sums: Sequence[str], reused: bool = False
 ) -> DataFrame:
     """Add ``before_<s>`` (total of smaller values) and ``total_<s>`` per group.
 
     ``counts`` holds one row per (group, order). The range-partitioned rows are
     checkpointed, because the partition number read by the offsets and by the
     rows must be the same one even when an executor is lost and its partitions
-    are computed again.
+    are computed again. ``reused`` also keeps the result, for callers that read
+    it several times.
     """
     spark = counts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -53,7 +54,7 @@ def running_totals(
     )
     joined = placed.join(offsets, [*group, "_part"])
     kept = [c for c in counts.columns]
-    return joined.select(
+    result = joined.select(
         *kept,
         *[
             (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_offset_{s}")).alias(f"before_{s}")
@@ -61,45 +62,40 @@ def running_totals(
         ],
         *[f"total_{s}" for s in sums],
     )
-
-
-def quantile_columns(probs: Sequence[float], value: str = "value", n: str = "n") -> list[Column]:
-    """Aggregates that pick linear-interpolated quantiles from running totals.
-
-    The p-quantile sits at position ``(N - 1) * p`` of the sorted rows; a value
-    covers the positions from ``before`` up to ``before + n - 1``.
-    """
-    picked = []
-    before, count, total = F.col(f"before_{n}"), F.col(n), F.col(f"total_{n}")
-    for i, p in enumerate(probs):
-        at = (total - 1) * F.lit(float(p))
-        # 1e-9 keeps (N - 1) * p on its integer when the product lands just below it
-        low = F.floor(at + F.lit(1e-9))
-        high = F.ceil(at - F.lit(1e-9))
-        covers_low = (low >= before) & (low < before + count)
-        covers_high = (high >= before) & (high < before + count)
-        picked += [
-            F.max(F.when(covers_low, F.col(value))).alias(f"_low{i}"),
-            F.max(F.when(covers_high, F.col(value))).alias(f"_high{i}"),
-            F.max(at - low).alias(f"_part{i}"),
-        ]
-    return picked
-
-
-def quantile_values(probs: Sequence[float]) -> list[Column]:
-    return [
-        F.col(f"_low{i}")
-        + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.greatest(F.col(f"_part{i}"), F.lit(0.0))
-        for i in range(len(probs))
-    ]
+    return durable(result) if reused else result
 
 
 def quantiles(
     totals: DataFrame, probs: Sequence[float], group: Sequence[str] = ("feature",), n: str = "n"
 ) -> DataFrame:
-    """One row per group with the array ``q`` of quantiles, from running totals."""
-    picked = totals.groupBy(*group).agg(*quantile_columns(probs, n=n))
-    return picked.select(*group, F.array(*quantile_values(probs)).alias("q"))
+    """One row per group with the array ``q`` of linear-interpolated quantiles.
+
+    The p-quantile sits at position ``(N - 1) * p`` of the sorted rows, and a
+    value covers the positions from ``before`` up to ``before + n - 1``. The
+    wanted positions, a few per group, are joined to the values that cover them.
+    ``totals`` is read twice: build it with ``reused=True``.
+    """
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    at = (F.col("_rows") - 1) * F.col("point.p")
+    # 1e-9 keeps (N - 1) * p on its integer when the product lands just beside it
+    low, high = F.floor(at + F.lit(1e-9)), F.ceil(at - F.lit(1e-9))
+    wanted = (
+        totals.groupBy(*group)
+        .agg(F.max(f"total_{n}").alias("_rows"))
+        .select(*group, "_rows", F.explode(points).alias("point"))
+        .select(*group, F.col("point.i"), F.greatest(at - low, F.lit(0.0)).alias("part"),
+                F.explode(F.array(low, high)).alias("_at"))
+        .distinct()
+    )
+    covers = (F.col("_at") >= F.col(f"before_{n}")) & (F.col("_at") < F.col(f"before_{n}") + F.col(n))
+    # Two rows per quantile and group, so the broadcast is bounded by the column count.
+    hits = totals.where(F.col(n) > 0).join(F.broadcast(wanted), list(group)).where(covers)
+    ends = hits.groupBy(*group, "i", "part").agg(
+        F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    point = F.struct("i", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
+    listed = ends.groupBy(*group).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    return listed.select(*group, F.col("points.q").alias("q"))
 
 
 def average_ranks(totals: DataFrame, n: str = "n") -> DataFrame:
