@@ -372,10 +372,8 @@ def class_shares(df: DataFrame, target: str) -> DataFrame:
     """Share of every class among the non-null targets."""
     value = C.value_or_null(target, {f.name: f.dataType for f in df.schema.fields}[target])
     counts = df.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(
-        F.col("v").cast("string").alias("class"), "n", (F.col("n") / F.col("total")).alias("share")
-    )
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(F.col("v").cast("string").alias("class"), "n", (F.col("n") / total).alias("share"))
 
 
 def infer_task(df: DataFrame, target: str) -> DataFrame:

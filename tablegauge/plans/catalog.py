@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tablegauge.plans import drift_queries, profile_queries
+from tablegauge.plans import drift_queries, leakage_queries, profile_queries
 
 entry_query = drift_queries.entry_query
 
-_MODULES = (drift_queries, profile_queries)
+_MODULES = (drift_queries, profile_queries, leakage_queries)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in m.ORACLES.items()}

@@ -137,10 +137,8 @@ QUERIES = {
     .basics.where("base = 'boolean'")
     .select("name", "true_count", "false_count"),
     "prf_13_text_summary": lambda s, f: rounded(P.text_summary(_types(s, f))),
-    "prf_14_target": lambda s, f: P.detect_target(table(s, f, "labels")).crossJoin(
-        P.detect_target(derive(s, f, CAPPED)).select(
-            F.col("column").alias("named"), F.col("confidence").alias("named_confidence")
-        )
+    "prf_14_target": lambda s, f: P.detect_target(table(s, f, "labels")).unionByName(
+        P.detect_target(derive(s, f, CAPPED))
     ),
     "prf_15_task": lambda s, f: rounded(
         P.infer_task(derive(s, f, ITEMS), "l_returnflag")
@@ -206,8 +204,8 @@ ORACLES = {
         **_WITH_TEXTS,
     ),
     "prf_14_target": "SELECT CASE WHEN count(DISTINCT toxic) <= 10 THEN 'toxic' END AS column, "
-    "CASE WHEN count(DISTINCT toxic) <= 10 THEN 'low' ELSE 'none' END AS confidence, "
-    "'price' AS named, 'high' AS named_confidence FROM labels",
+    "CASE WHEN count(DISTINCT toxic) <= 10 THEN 'low' ELSE 'none' END AS confidence FROM labels "
+    "UNION ALL SELECT 'price', 'high'",
     "prf_15_task": _sql(
         " UNION ALL ".join(
             f"SELECT CASE WHEN {num} AND count(*) > 10 THEN 'regression' WHEN count(*) = 2 THEN 'binary_classification' "
