@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from tablegauge.plans import drift_queries, leakage_queries, profile_queries
+from tablegauge.plans import (
+    drift_queries,
+    evaluate_queries,
+    leakage_queries,
+    profile_queries,
+    stream_queries,
+)
 
 entry_query = drift_queries.entry_query
 
-_MODULES = (drift_queries, profile_queries, leakage_queries)
+_MODULES = (
+    profile_queries,
+    leakage_queries,
+    drift_queries,
+    evaluate_queries,
+    stream_queries,
+)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
