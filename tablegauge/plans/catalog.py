@@ -7,6 +7,7 @@ from tablegauge.plans import (
     evaluate_queries,
     leakage_queries,
     profile_queries,
+    run_queries,
     stream_queries,
 )
 
@@ -17,6 +18,7 @@ _MODULES = (
     leakage_queries,
     drift_queries,
     evaluate_queries,
+    run_queries,
     stream_queries,
 )
 
