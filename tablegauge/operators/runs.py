@@ -13,6 +13,7 @@ from tablegauge.functions.numbers import to_number
 from tablegauge.operators.leakage import weighted_pearson
 from tablegauge.operators.order_stats import average_ranks, running_totals
 from tablegauge.operators.skew import salted_join
+from tablegauge.session import durable
 
 # Name parts that tell the direction of a metric.
 LOWER_PARTS = ("loss", "error", "mae", "mse", "rmse", "nll", "perplexity", "brier", "mape", "msle")
@@ -114,12 +115,13 @@ def sensitivity(scored: DataFrame, run_config: DataFrame, direction: str = "max"
     if direction not in ("max", "min"):
         raise ValueError("direction is max or min")
     sign = 1.0 if direction == "max" else -1.0
+    scored = durable(scored)
     score_counts = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     score_ranks = average_ranks(running_totals(score_counts, [], "score", ["n"])).select(
         "score", (F.col("rank") * sign).alias("score_rank")
     )
     ranked_scores = salted_join(scored, score_ranks, ["score"], ["run_id"], "inner")
-    settings = run_config.withColumn("num", to_number(F.col("value"))).join(ranked_scores, "run_id")
+    settings = durable(run_config.withColumn("num", to_number(F.col("value"))).join(ranked_scores, "run_id"))
     finite = F.col("num").isNotNull() & ~F.isnan("num") & ~F.col("num").isin(float("inf"), float("-inf"))
     facts = settings.groupBy("key").agg(
         F.count_if(finite).alias("observations"),

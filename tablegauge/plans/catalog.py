@@ -5,6 +5,7 @@ from __future__ import annotations
 from tablegauge.plans import (
     drift_queries,
     evaluate_queries,
+    evidence_queries,
     leakage_queries,
     profile_queries,
     run_queries,
@@ -20,6 +21,7 @@ _MODULES = (
     evaluate_queries,
     run_queries,
     stream_queries,
+    evidence_queries,
 )
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
