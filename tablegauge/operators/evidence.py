@@ -111,9 +111,11 @@ def _leaves(value: Column, dtype: T.DataType, wanted) -> list[Column]:
         inner = dtype.elementType
         if isinstance(inner, (T.StructType, T.ArrayType)):
             count = len(_leaves(F.lit(None).cast(inner), inner, wanted))
-            return [
-                F.flatten(F.transform(value, lambda x, i=i: _leaves(x, inner, wanted)[i])) for i in range(count)
-            ]
+
+            def of_each(i: int) -> Column:
+                return F.flatten(F.transform(value, lambda x: _leaves(x, inner, wanted)[i]))
+
+            return [of_each(i) for i in range(count)]
         return [value] if wanted(inner) else []
     return [F.array(value)] if wanted(dtype) else []
 

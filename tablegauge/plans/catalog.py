@@ -6,6 +6,7 @@ from tablegauge.plans import (
     drift_queries,
     evaluate_queries,
     evidence_queries,
+    experiment_queries,
     leakage_queries,
     profile_queries,
     run_queries,
@@ -22,6 +23,7 @@ _MODULES = (
     run_queries,
     stream_queries,
     evidence_queries,
+    experiment_queries,
 )
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}

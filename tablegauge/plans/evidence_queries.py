@@ -257,7 +257,7 @@ known AS (SELECT chk.*, value IS NOT NULL AND EXISTS (SELECT 1 FROM nums n WHERE
 _ANCHOR = """
 resp AS (SELECT flat.*, anchor, coalesce(cite1 = anchor, false) OR coalesce(cite2 = anchor, false)
   OR (has_claims AND (c0_entity = anchor OR c1_entity = anchor)) AS names_anchor,
-  cite1 IS NOT NULL OR cite2 IS NOT NULL OR has_claims AS some FROM flat LEFT JOIN anch USING (evidence_id))"""
+  cite1 IS NOT NULL OR cite2 IS NOT NULL OR has_claims AS has_some FROM flat LEFT JOIN anch USING (evidence_id))"""
 _RECORD = """
 rn AS (SELECT response_id, bool_or(outside) AS entity, bool_or(outside AND NOT in_names) AS entity_invented,
   bool_or(outside AND in_names) AS entity_misfiled, bool_or(artifact) AS entity_artifact FROM refs GROUP BY response_id),
@@ -266,8 +266,8 @@ rc AS (SELECT response_id, bool_or(coalesce(reason IN ('wrong_value', 'not_a_num
 rec AS (SELECT resp.*, coalesce(entity, false) AS entity, coalesce(entity_invented, false) AS entity_invented,
   coalesce(entity_misfiled, false) AS entity_misfiled, coalesce(entity_artifact, false) AS entity_artifact,
   coalesce(value, false) AS value, coalesce(value_unverifiable, false) AS value_unverifiable,
-  coalesce(omitted, some AND verdict NOT IN ('', 'cannot_determine') AND NOT names_anchor) AS omission,
-  CASE WHEN omitted IS NOT NULL THEN NOT omitted AND some AND verdict NOT IN ('', 'cannot_determine') AND NOT names_anchor END AS omission_undetected,
+  coalesce(omitted, has_some AND verdict NOT IN ('', 'cannot_determine') AND NOT names_anchor) AS omission,
+  CASE WHEN omitted IS NOT NULL THEN NOT omitted AND has_some AND verdict NOT IN ('', 'cannot_determine') AND NOT names_anchor END AS omission_undetected,
   verdict = 'cannot_determine' AS abstained
   FROM resp LEFT JOIN rn USING (response_id) LEFT JOIN rc USING (response_id) WHERE error IS NULL)"""
 _UNI = """
