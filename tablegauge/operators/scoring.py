@@ -444,7 +444,8 @@ def group_rollup(unified: DataFrame, groups: dict[str, Column]) -> DataFrame:
     )
 
 
-def name_origin(names: DataFrame) -> Column:
+def name_origin() -> Column:
+    """Where an out-of-evidence name comes from."""
     return (
         F.when(F.col("in_names"), "misfiled").when(F.col("in_frame"), "unlisted").otherwise("invented")
     )
@@ -452,7 +453,7 @@ def name_origin(names: DataFrame) -> Column:
 
 def name_origins(names: DataFrame, responses: DataFrame, group: Sequence[str] = ("arm",)) -> DataFrame:
     """Responses per origin of their out-of-evidence names."""
-    kinds = names.where("outside").select("response_id", name_origin(names).alias("origin")).distinct()
+    kinds = names.where("outside").select("response_id", name_origin().alias("origin")).distinct()
     return kinds.join(responses.select("response_id", *group), "response_id").groupBy(*group, "origin").agg(
         F.count(F.lit(1)).alias("responses")
     )

@@ -10,6 +10,7 @@ from tablegauge.plans import (
     leakage_queries,
     profile_queries,
     run_queries,
+    store_queries,
     stream_queries,
 )
 
@@ -21,6 +22,7 @@ _MODULES = (
     drift_queries,
     evaluate_queries,
     run_queries,
+    store_queries,
     stream_queries,
     evidence_queries,
     experiment_queries,

@@ -5,14 +5,17 @@ A user is a run and an event a log line; the line number is the event id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablegauge.functions import metric_names as M
 from tablegauge.operators import metric_stream as S
-from tablegauge.plans.inputs import derive, with_inputs
+from tablegauge.plans.inputs import derive, table, with_inputs
 from tablegauge.plans.rounding import rounded
 from tablegauge.session import durable
 from tablegauge.sources import logs, runs as run_source
+from tablegauge.streaming import watch, windowed_drift
 
 _EPOCH = "CAST(floor(event_id / 300) AS BIGINT)"
 _TRAIN = (
@@ -135,6 +138,42 @@ def _found_sql(*names):
     )
 
 
+def _follow(spark, folder):
+    """The event table as a stream of log lines; findings land in a table."""
+    durable(spark.range(1))
+    base = f"{spark.sparkContext.getCheckpointDir()}/follow-{uuid.uuid4()}"
+    schema = table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream_lines = spark.sql(LINES, events=events)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, watch.ROCKSDB)
+    try:
+        query = (
+            watch.follow(stream_lines)
+            .writeStream.format("parquet")
+            .option("path", f"{base}/found")
+            .option("checkpointLocation", f"{base}/state")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return _found(spark.read.schema(watch.OUTPUT).parquet(f"{base}/found"))
+
+
+WINDOWED = "SELECT ts, value, user_id FROM {events}"
+
+
+def _windowed(spark, folder):
+    rows = derive(spark, folder, WINDOWED)
+    early = rows.where("ts < TIMESTAMP '2024-01-08 00:00:00'").drop("ts")
+    reference = windowed_drift.reference_bins(early, ["value", "user_id"])
+    return rounded(windowed_drift.window_drift(windowed_drift.window_bins(rows, reference, "ts", "1 day"), reference))
+
+
 QUERIES = {
     "src_03_run_records": lambda s, f: run_source.run_metrics(derive(s, f, RECORDS)),
     "src_03_run_config": lambda s, f: run_source.run_config(derive(s, f, RECORDS)),
@@ -163,10 +202,13 @@ QUERIES = {
     "met_07_plateau": lambda s, f: _found(S.plateau_findings(losses(s, f))),
     "met_08_overfitting": lambda s, f: _found(S.overfitting_findings(losses(s, f))),
     "met_09_all_findings": lambda s, f: _found(S.all_findings(merged(s, f))),
+    "met_10_follow": _follow,
+    "drf_17_windowed_drift": _windowed,
     "met_11_latency": lambda s, f: rounded(
         S.latency_summary(derive(s, f, CALLS), ["event_type"], "seconds", "retried", 0.008)
     ),
 }
+_TENTHS = ", ".join(f"{i / 10}" for i in range(11))
 ORACLES = {
     "src_03_run_records": """
 SELECT event_id AS run_id, u.seq, u.metric, u.value FROM events, LATERAL (SELECT * FROM (VALUES
@@ -216,6 +258,23 @@ SELECT run_id, seq, epoch, step, metric, value FROM snap, LATERAL (SELECT * FROM
     "met_07_plateau": _found_sql("f_pla"),
     "met_08_overfitting": _found_sql("f_ovr"),
     "met_09_all_findings": _found_sql("f_nan", "f_div", "f_pla", "f_ovr"),
+    "met_10_follow": _found_sql("f_nan", "f_div", "f_pla", "f_ovr"),
+    "drf_17_windowed_drift": f"""WITH r AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-08 00:00:00'),
+  n AS (SELECT 'value' AS feature, value AS v, ts FROM events UNION ALL SELECT 'user_id', user_id, ts FROM events),
+  d AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{_TENTHS}]))) AS d FROM n WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY feature),
+  b AS (SELECT feature, i AS bin, len(d) - 1 AS k, d[i] - CASE WHEN i = 1 THEN 1e-9 ELSE 0 END AS lo, d[i + 1] + CASE WHEN i = len(d) - 1 THEN 1e-9 ELSE 0 END AS hi
+    FROM d, unnest(range(1, len(d))) AS u(i)),
+  h AS (SELECT n.feature, bin, k, CAST(ts AS DATE) AS day, ts < TIMESTAMP '2024-01-08 00:00:00' AS early FROM n JOIN b ON b.feature = n.feature AND v >= lo AND (v < hi OR (bin = k AND v = hi))),
+  ref AS (SELECT feature, bin, count(*) AS ref FROM h WHERE early GROUP BY feature, bin),
+  days AS (SELECT feature, CAST(ts AS DATE) AS day, count(*) AS cur_rows FROM n GROUP BY ALL),
+  g AS (SELECT days.feature, day, cur_rows, b.bin, b.k, coalesce(ref, 0) AS ref, (SELECT count(*) FROM h WHERE h.feature = days.feature AND h.day = days.day AND h.bin = b.bin) AS cur
+    FROM days JOIN b USING (feature) LEFT JOIN ref ON ref.feature = b.feature AND ref.bin = b.bin),
+  s AS (SELECT *, ref / sum(ref) OVER w AS rs, cur / sum(cur) OVER w AS cs, sum(ref) OVER w AS rt FROM g WINDOW w AS (PARTITION BY feature, day)),
+  p AS (SELECT feature, day, any_value(cur_rows) AS cur_rows, any_value(k) AS k, any_value(rt) AS rt, greatest(0, sum(((CASE WHEN cs = 0 THEN 1e-6 ELSE cs END) - (CASE WHEN rs = 0 THEN 1e-6 ELSE rs END))
+    * ln((CASE WHEN cs = 0 THEN 1e-6 ELSE cs END) / (CASE WHEN rs = 0 THEN 1e-6 ELSE rs END)))) AS psi FROM s GROUP BY feature, day),
+  x AS (SELECT *, greatest(0, psi - (k - 1) * (1.0::DOUBLE / rt + 1.0::DOUBLE / cur_rows)) AS excess FROM p)
+  SELECT CAST(day AS TIMESTAMP) AS window_start, feature, cur_rows, ROUND(psi, 6) AS psi, ROUND(excess, 6) AS psi_excess,
+    CASE WHEN excess < 0.1 THEN 'stable' WHEN excess < 0.2 THEN 'moderate' ELSE 'major' END AS severity FROM x""",
     "met_11_latency": with_inputs(
         "SELECT event_type, count(*) AS calls, ROUND(avg(seconds), 6) AS mean_s, ROUND(stddev_samp(seconds), 6) AS std_s, "
         "ROUND(avg(CASE WHEN retried THEN 1 ELSE 0 END), 6) AS retry_rate, ROUND(count(*) * 0.008::DOUBLE, 6) AS cost, "
