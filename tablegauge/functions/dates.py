@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 MIN_LENGTH = 8
 SEPARATOR = "[-/:]"
 SHARE = 0.95
+# Each format with the shape it applies to, so a parse is tried only where it can work.
 FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "MM/dd/yy",
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MM/dd/yy", r"^\d{2}/\d{2}/\d{2}$"),
 )
 
 
@@ -26,4 +27,4 @@ def looks_shaped(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The timestamp a string names in one of ``FORMATS``, else NULL."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in FORMATS])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import columns as C
 from tablegauge.operators.order_stats import average_ranks, ordinal_codes, running_totals
-from tablegauge.operators.skew import salted_join
+from tablegauge.operators.skew import hot_key_join
 from tablegauge.session import durable
 
 # Fixed values of the leakage rules.
@@ -56,36 +56,54 @@ class LeakageTables:
             F.count(F.lit(1)).alias("n")
         )
 
+    @property
+    def numbers(self) -> list[str]:
+        return [n for n in self.features if C.is_numeric(self.types[n])]
+
+    @property
+    def texts(self) -> list[str]:
+        return [n for n in self.features if n not in self.numbers]
+
     @cached_property
-    def pairs(self) -> DataFrame:
-        """Counts per (feature, x, y) over complete pairs, text as ordinal codes."""
-        numbers = [n for n in self.features if C.is_numeric(self.types[n])]
-        texts = [n for n in self.features if n not in numbers]
-        parts = []
-        if numbers:
-            parts.append(self._long(numbers, "double"))
-        if texts:
-            raw = durable(self._long(texts, "string"))
-            codes = self.codes(texts)
-            coded = salted_join(
-                raw.withColumnRenamed("x", "value"), codes, ["feature", "value"], ["y"], "inner"
-            )
-            parts.append(coded.select("feature", F.col("code").alias("x"), "y", "n"))
-        result = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        if not self.numeric_target:
-            y_codes = self.codes([self.y_true]).select(F.col("value").alias("y"), F.col("code").alias("y_code"))
-            result = salted_join(result, y_codes, ["y"], ["feature", "x"], "inner").select(
-                "feature", "x", F.col("y_code").alias("y"), "n"
-            )
-        return durable(result)
+    def two_valued(self) -> bool:
+        """Whether the target has exactly two values; looks at three at most."""
+        y = C.value_or_null(self.y_true, self.types[self.y_true])
+        return self.df.select(y.alias("y")).where("y IS NOT NULL").distinct().limit(3).count() == 2
 
     def codes(self, names: list[str]) -> DataFrame:
         """Sorted-order codes of all values of text columns, nulls excluded."""
         return ordinal_codes(C.long_form(self.df, names, "string"))
 
+    def _coded_target(self, pairs: DataFrame) -> DataFrame:
+        if self.numeric_target:
+            return pairs
+        codes = self.codes([self.y_true]).select(F.col("value").alias("y"), F.col("code").alias("_c"), "n", "total_n")
+        rows = hot_key_join(pairs.withColumnRenamed("n", "_n"), codes, ["y"], ["feature", "x"], "n", "total_n")
+        return rows.select("feature", "x", F.col("_c").alias("y"), F.col("_n").alias("n"))
+
+    @cached_property
+    def text_pairs(self) -> DataFrame:
+        """Counts per (feature, x, y) of the text features, as ordinal codes."""
+        raw = self._long(self.texts, "string").withColumnsRenamed({"x": "value", "n": "_n"})
+        rows = hot_key_join(raw, self.codes(self.texts), ["feature", "value"], ["y"], "n", "total_n")
+        coded = rows.select("feature", F.col("code").alias("x"), "y", F.col("_n").alias("n"))
+        return durable(self._coded_target(coded))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Counts per (feature, x, y) over complete pairs, text as ordinal codes."""
+        parts = [self._coded_target(self._long(self.numbers, "double"))] if self.numbers else []
+        if self.texts:
+            parts.append(self.text_pairs)
+        return durable(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
     @cached_property
     def x_totals(self) -> DataFrame:
-        """Per distinct x: its rows, its rows of the lower class, and running totals."""
+        """Per distinct x: its rows and, for a two-valued target, those of the lower class."""
+        if not self.two_valued:
+            counts = self.pairs.groupBy("feature", "x").agg(F.sum("n").alias("n"))
+            return running_totals(counts, ["feature"], "x", ["n"], reused=True)
+        # One row per feature.
         ends = self.pairs.groupBy("feature").agg(F.min("y").alias("low_y"))
         low = F.when(F.col("y") == F.col("low_y"), F.col("n")).otherwise(0)
         counts = (
@@ -95,10 +113,28 @@ class LeakageTables:
         )
         return running_totals(counts, ["feature"], "x", ["n", "low"], reused=True)
 
+    @cached_property
+    def y_leaders(self) -> DataFrame:
+        """Per feature the feature whose complete pairs carry the same targets.
+
+        Features without missing values share one set of targets, so their
+        target ranks are computed once. One row per feature.
+        """
+        sizes = self.pairs.groupBy("feature").agg(F.sum("n").alias("rows"))
+        y = C.value_or_null(self.y_true, self.types[self.y_true])
+        everything = self.df.agg(F.count(y)).scalar()
+        full = F.col("rows") == everything
+        first = F.min(F.when(full, F.col("feature"))).over(Window.partitionBy())
+        return durable(sizes.select("feature", F.when(full, first).otherwise(F.col("feature")).alias("leader")))
+
     @cached_property
     def y_totals(self) -> DataFrame:
-        counts = self.pairs.groupBy("feature", "y").agg(F.sum("n").alias("n"))
-        return running_totals(counts, ["feature"], "y", ["n"], reused=True)
+        """Rows and running totals per (leader, y)."""
+        leading = self.y_leaders.where("feature = leader").select("feature", "leader")
+        counts = (
+            self.pairs.join(F.broadcast(leading), "feature").groupBy("leader", "y").agg(F.sum("n").alias("n"))
+        )
+        return running_totals(counts, ["leader"], "y", ["n"], reused=True)
 
 
 def weighted_pearson(pairs: DataFrame, group: Sequence[str], x: str, y: str, n: str = "n") -> DataFrame:
@@ -126,29 +162,50 @@ def weighted_pearson(pairs: DataFrame, group: Sequence[str], x: str, y: str, n:
 
 
 def pearson(tables: LeakageTables) -> DataFrame:
-    return weighted_pearson(tables.pairs, ["feature"], "x", "y")
+    """Pearson per feature; number pairs in one map-side pass, text by its codes."""
+    parts = []
+    if tables.numbers and tables.numeric_target:
+        y = C.value_or_null(tables.y_true, tables.types[tables.y_true]).cast("double")
+        wide = tables.df.select(*[C.col(n) for n in tables.numbers], y.alias("_y")).where("_y IS NOT NULL")
+        long = C.long_form(wide, tables.numbers, "double", keep=["_y"])
+        varies = (F.min("value") < F.max("value")) & (F.min("_y") < F.max("_y"))
+        spread = F.stddev_pop("value") * F.stddev_pop("_y")
+        value = F.when(varies, F.try_divide(F.covar_pop("value", "_y"), spread))
+        parts.append(long.groupBy("feature").agg(value.alias("correlation")))
+        if tables.texts:
+            parts.append(weighted_pearson(tables.text_pairs, ["feature"], "x", "y"))
+    else:
+        parts.append(weighted_pearson(tables.pairs, ["feature"], "x", "y"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def ranked_pairs(tables: LeakageTables) -> DataFrame:
     """Pairs with the average-tie rank of both sides among complete pairs."""
-    x_ranks = average_ranks(tables.x_totals).select("feature", "x", F.col("rank").alias("x_rank"))
-    y_ranks = average_ranks(tables.y_totals).select("feature", "y", F.col("rank").alias("y_rank"))
-    with_x = salted_join(tables.pairs, x_ranks, ["feature", "x"], ["y"], "inner")
-    return salted_join(with_x, y_ranks, ["feature", "y"], ["x"], "inner")
+    weights = {"n": "_w", "total_n": "_t"}
+    x_ranks = average_ranks(tables.x_totals).select("feature", "x", F.col("rank").alias("x_rank"), "n", "total_n")
+    y_ranks = average_ranks(tables.y_totals).select("leader", "y", F.col("rank").alias("y_rank"), "n", "total_n")
+    pairs = tables.pairs.join(F.broadcast(tables.y_leaders), "feature")
+    with_x = hot_key_join(pairs, x_ranks.withColumnsRenamed(weights), ["feature", "x"], ["y"], "_w", "_t")
+    return hot_key_join(with_x, y_ranks.withColumnsRenamed(weights), ["leader", "y"], ["feature", "x"], "_w", "_t")
 
 
 def spearman(tables: LeakageTables) -> DataFrame:
-    return weighted_pearson(durable(ranked_pairs(tables)), ["feature"], "x_rank", "y_rank")
+    """Pearson of the ranks; their mean is (n + 1) / 2, so one pass is exact."""
+    sizes = tables.pairs.groupBy("feature").agg(((F.sum("n") + 1) / 2.0).alias("_mean"))
+    w, dx, dy = F.col("n"), F.col("x_rank") - F.col("_mean"), F.col("y_rank") - F.col("_mean")
+    # One row per feature.
+    sums = ranked_pairs(tables).join(F.broadcast(sizes), "feature").groupBy("feature").agg(
+        F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy")
+    )
+    value = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
+    return sums.select("feature", value.alias("correlation"))
 
 
 def rank_biserial(tables: LeakageTables) -> DataFrame:
     """2 * AUC - 1 of each feature as a score; only for two-valued targets."""
-    two = (
-        tables.y_totals.groupBy("feature").agg(F.count(F.lit(1)).alias("levels")).where("levels = 2")
-    ).select("feature")
     high = (F.col("n") - F.col("low")).cast("double")
     wins = high * (F.col("before_low") + F.col("low") / 2.0)
-    scored = tables.x_totals.join(F.broadcast(two), "feature").groupBy("feature").agg(
+    scored = tables.x_totals.groupBy("feature").agg(
         F.sum(wins).alias("_wins"),
         F.max("total_low").cast("double").alias("_low"),
         (F.max("total_n") - F.max("total_low")).cast("double").alias("_high"),
@@ -159,7 +216,9 @@ def rank_biserial(tables: LeakageTables) -> DataFrame:
 
 def strongest(tables: LeakageTables, limit: int = REPORTED) -> DataFrame:
     """The strongest method per feature, best features first."""
-    methods = [("spearman", spearman(tables), 1), ("rank_biserial", rank_biserial(tables), 2)]
+    methods = [("spearman", spearman(tables), 1)]
+    if tables.two_valued:
+        methods.append(("rank_biserial", rank_biserial(tables), 2))
     if tables.numeric_target:
         methods.insert(0, ("pearson", pearson(tables), 0))
     parts = [

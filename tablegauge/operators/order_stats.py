@@ -21,48 +21,72 @@ def value_counts(long: DataFrame, group: Sequence[str] = ("feature",), value: st
     return long.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Up to this many distinct rows, a plain window per group is one small task.
+ONE_TASK_ROWS = 1_000_000
+
+
 def running_totals(
-    counts: DataFrame, group: Sequence[str], order: str, sums: Sequence[str], reused: bool = False
+    counts: DataFrame,
+    group: Sequence[str],
+    order: str,
+    sums: Sequence[str],
+    reused: bool = False,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``before_<s>`` (total of smaller values) and ``total_<s>`` per group.
 
-    ``counts`` holds one row per (group, order). The range-partitioned rows are
-    checkpointed, because the partition number read by the offsets and by the
-    rows must be the same one even when an executor is lost and its partitions
-    are computed again. ``reused`` also keeps the result, for callers that read
-    it several times.
+    ``counts`` holds one row per (group, order). ``reused`` keeps the result, for
+    callers that read it several times. The counts are checkpointed first, so
+    their number is known: few rows take a window per group, more rows the
+    two-level path.
     """
-    spark = counts.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = durable(
-        counts.repartitionByRange(partitions, *group, order).withColumn(
-            "_part", F.spark_partition_id()
+    counts = durable(counts)
+    if counts.count() <= one_task_rows:
+        by = Window.partitionBy(*group)
+        smaller = by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        result = counts.select(
+            *counts.columns,
+            *[F.coalesce(F.sum(s).over(smaller), F.lit(0)).alias(f"before_{s}") for s in sums],
+            *[F.sum(s).over(by).alias(f"total_{s}") for s in sums],
         )
+    else:
+        result = _two_level_totals(counts, group, order, sums)
+    return durable(result) if reused else result
+
+
+def _two_level_totals(counts: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+    """Running totals inside each range partition, plus the partitions before it.
+
+    The range-partitioned rows are checkpointed, because the partition number read
+    by the offsets and by the rows must be the same one even when an executor is
+    lost and its partitions are computed again.
+    """
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(
+        counts.repartitionByRange(partitions, *group, order).withColumn("_part", F.spark_partition_id())
     )
     per_part = placed.groupBy(*group, "_part").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
-    group_window = Window.partitionBy(*group)
-    earlier = group_window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most one row per (partition, group) pair that meets: partitions + groups rows.
+    by_group = Window.partitionBy(*group)
+    earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A group meets a partition at most once per range, so this has about
+    # partitions + groups rows.
     offsets = per_part.select(
         *group,
         "_part",
         *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_offset_{s}") for s in sums],
-        *[F.sum(f"_sum_{s}").over(group_window).alias(f"total_{s}") for s in sums],
+        *[F.sum(f"_sum_{s}").over(by_group).alias(f"total_{s}") for s in sums],
     )
     inside = (
         Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = placed.join(offsets, [*group, "_part"])
-    kept = [c for c in counts.columns]
-    result = joined.select(
-        *kept,
+    return placed.join(offsets, [*group, "_part"]).select(
+        *counts.columns,
         *[
             (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_offset_{s}")).alias(f"before_{s}")
             for s in sums
         ],
         *[f"total_{s}" for s in sums],
     )
-    return durable(result) if reused else result
 
 
 def quantiles(
@@ -106,7 +130,7 @@ def average_ranks(totals: DataFrame, n: str = "n") -> DataFrame:
 def ordinal_codes(
     levels: DataFrame, group: Sequence[str] = ("feature",), value: str = "value"
 ) -> DataFrame:
-    """Zero-based code of each distinct value in sorted order."""
-    single = levels.select(*group, value).distinct().withColumn("_one", F.lit(1))
-    ranked = running_totals(single, group, value, ["_one"])
-    return ranked.select(*group, value, F.col("before__one").cast("double").alias("code"))
+    """Zero-based code of each distinct value in sorted order, with its rows ``n``."""
+    counted = levels.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    ranked = running_totals(counted, group, value, ["_one", "n"])
+    return ranked.select(*group, value, F.col("before__one").cast("double").alias("code"), "n", "total_n")

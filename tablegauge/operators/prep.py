@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import columns as C
 from tablegauge.operators.order_stats import quantiles, running_totals, value_counts
-from tablegauge.operators.skew import salted_join
+from tablegauge.operators.skew import hot_key_join
 from tablegauge.session import durable
 
 HOLDOUT = 0.25
@@ -42,21 +42,26 @@ def group_split(
     """
     coded = df.withColumn("group_code", group_code(columns))
     label = F.coalesce(C.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    groups = coded.select("group_code", label.alias("_stratum")).distinct()
+    groups = coded.groupBy("group_code", label.alias("_stratum")).agg(F.count(F.lit(1)).alias("_copies"))
     order = F.sha2(F.concat("group_code", F.lit(str(seed))), 256)
     ranked = running_totals(
-        groups.withColumns({"_order": order, "_one": F.lit(1)}), ["_stratum"], "_order", ["_one"]
+        groups.withColumns({"_order": order, "_one": F.lit(1)}), ["_stratum"], "_order", ["_one", "_copies"]
     )
     chosen = ranked.select(
-        "group_code", (F.col("before__one") < F.round(F.col("total__one") * fraction)).alias("holdout")
+        "group_code",
+        (F.col("before__one") < F.round(F.col("total__one") * fraction)).alias("holdout"),
+        "_copies",
+        "total__copies",
     )
-    return salted_join(coded, chosen, ["group_code"], list(keys), "inner")
+    return hot_key_join(coded, chosen, ["group_code"], list(keys), "_copies", "total__copies")
 
 
 def contamination(holdout: DataFrame, train: DataFrame, keys: Sequence[str], code: str = "group_code") -> DataFrame:
     """Rows of the holdout whose identical copy is in the training side."""
-    known = train.select(code).distinct()
-    return salted_join(holdout, known, [code], list(keys), "left_semi")
+    copies = holdout.groupBy(code).agg(F.count(F.lit(1)).alias("_copies"))
+    total = holdout.agg(F.count(F.lit(1))).scalar()
+    known = train.select(code).distinct().join(copies, code).withColumn("_total", total)
+    return hot_key_join(holdout, known, [code], list(keys), "_copies", "_total", "left_semi")
 
 
 def split_facts(split: DataFrame, stratum: str | None = None) -> DataFrame:

@@ -161,7 +161,11 @@ def number_levels(tables: ProfileTables) -> DataFrame:
         names = tables.named("numeric", "integer")
         row = tables.df.agg(*[F.approx_count_distinct(C.col(n)).alias(n) for n in names])
         return row.unpivot([], [C.col(n) for n in names], "name", "levels")
-    return tables.numbers.groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("levels"))
+    if "numbers" in vars(tables):  # already built for the quantiles
+        distinct = tables.numbers
+    else:
+        distinct = C.long_form(tables.df, tables.named("numeric", "integer"), "double").distinct()
+    return distinct.groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("levels"))
 
 
 def is_year(tables_row_name: Column, minimum: Column) -> Column:
@@ -298,6 +302,8 @@ def text_summary(types: DataFrame) -> DataFrame:
 
 def profile(tables: ProfileTables) -> DataFrame:
     """One row per column: its type and the summary that type calls for."""
+    if tables.named("numeric", "integer") and not tables.approximate:
+        tables.numbers  # noqa: B018 - build once, before the types read its distinct counts
     types = durable(column_types(tables))
     result = types
     numeric = F.col("type") == "numeric"

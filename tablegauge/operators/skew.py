@@ -26,3 +26,30 @@ def salted_join(
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return salted_rows.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_key_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str | Column],
+    weight: str,
+    total: str,
+    how: str = "inner",
+    salts: int = SALTS,
+    share: float = 0.001,
+) -> DataFrame:
+    """Join rows to a large ``lookup`` that knows how many rows each key has.
+
+    Only keys with more than ``share`` of ``total`` are salted and repeated. There
+    are at most 1 / share of them per total, so their list can be broadcast.
+    """
+    hot = F.col(weight) > F.col(total) * F.lit(share)
+    hot_keys = lookup.where(hot).select(*keys, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot_keys), list(keys), "left")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    all_salts = F.array(*[F.lit(i) for i in range(salts)])
+    repeated = lookup.withColumn("_salt", F.explode(F.when(hot, all_salts).otherwise(F.array(F.lit(0)))))
+    return marked.withColumn("_salt", salt).drop("_hot").join(
+        repeated.drop(weight, total), [*keys, "_salt"], how
+    ).drop("_salt")

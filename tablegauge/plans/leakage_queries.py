@@ -90,7 +90,7 @@ def _best(methods, limit=10):
 
 
 QUERIES = {
-    "lkg_01_ordinal_codes": lambda s, f: price(s, f).codes(["l_returnflag", "l_linestatus"]),
+    "lkg_01_ordinal_codes": lambda s, f: price(s, f).codes(["l_returnflag", "l_linestatus"]).drop("n", "total_n"),
     "lkg_02_pearson": lambda s, f: rounded(L.pearson(price(s, f))),
     "lkg_03_average_ranks": lambda s, f: rounded(
         L.average_ranks(price(s, f).x_totals).groupBy("feature", "x").agg(F.max("rank").alias("rank"))
