@@ -79,14 +79,24 @@ def _leak_evidence(spark, folder):
     )
 
 
+H_BINARY = """
+SELECT event_id, CASE WHEN event_type = 'purchase' OR value > 150 THEN 1 ELSE 0 END AS y_true,
+  CASE WHEN value > 100 THEN 1 ELSE 0 END AS y_pred, CASE WHEN value > 100 THEN 0.9 ELSE round(value / 200, 2) END AS y_prob FROM {events}"""
+H_CLASSES = """
+SELECT event_id, event_type AS y_true, CASE WHEN value > 60 THEN event_type WHEN event_id % 3 = 0 THEN 'click' ELSE 'view' END AS y_pred FROM {events}"""
+H_PRICES = "SELECT event_id, value AS y_true, value * 0.9 + user_id / 50 AS y_pred FROM {events}"
+
+
 def _holdout(spark, folder):
+    """Stored predictions joined to the holdout by event, one score per task."""
+
     def split(sql):
         df = derive(spark, folder, sql)
-        return df.drop("y_true"), df.select(*KEYS, "y_true")
+        return df.drop("y_true"), df.select("event_id", "y_true")
 
     parts = [
-        E.holdout_score(*split(sql), KEYS, task)
-        for sql, task in ((BINARY, E.TASKS[0]), (CLASSES, E.TASKS[1]), (PRICES, E.TASKS[2]))
+        E.holdout_score(*split(sql), ["event_id"], task)
+        for sql, task in ((H_BINARY, E.TASKS[0]), (H_CLASSES, E.TASKS[1]), (H_PRICES, E.TASKS[2]))
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -142,7 +152,7 @@ QUERIES = {
     "evl_09_binary_warnings": lambda s, f: E.binary_warnings(E.binary_facts(leaky(s, f)))
     .withColumn("source", F.lit("leaky"))
     .unionByName(E.binary_warnings(E.binary_facts(binary(s, f))).withColumn("source", F.lit("binary"))),
-    "evl_10_hard_examples": lambda s, f: rounded(E.binary_hard_examples(named(s, f), KEYS, 20)),
+    "evl_10_hard_examples": lambda s, f: rounded(E.binary_hard_examples(named(s, f), [*KEYS, "y", "p"], 20)),
     "evl_10_hard_examples_no_score": lambda s, f: E.binary_hard_examples(_small(s, f), ["doc_id"], 20).select(
         "doc_id", "y", "p", "error"
     ),
@@ -153,11 +163,11 @@ QUERIES = {
     ).orderBy(*E.label_order(F.col("t")), *E.label_order(F.col("p"))),
     "evl_14_multiclass_warnings": lambda s, f: E.multiclass_warnings(classes(s, f)),
     "evl_15_misclassified": lambda s, f: E.misclassified(
-        E.predictions(derive(s, f, CLASSES), KEYS), KEYS, 20
+        E.predictions(derive(s, f, CLASSES), KEYS), [*KEYS, "y_true", "y_pred"], 20
     ),
     "evl_16_regression_metrics": lambda s, f: E.regression_metrics(E.regression_facts(residuals(s, f))),
     "evl_17_residual_summary": lambda s, f: E.residual_summary(E.regression_facts(residuals(s, f))),
-    "evl_18_largest_residuals": lambda s, f: rounded(E.largest_residuals(residuals(s, f), KEYS, 20)),
+    "evl_18_largest_residuals": lambda s, f: rounded(E.largest_residuals(residuals(s, f), [*KEYS, "y_true"], 20)),
     "evl_19_regression_warnings": lambda s, f: E.regression_warnings(
         E.regression_facts(E.residual_rows(E.predictions(derive(s, f, BIASED), KEYS)))
     ),
@@ -200,7 +210,7 @@ ORACLES = {
     "evl_10_hard_examples": _sql(
         _NAMED_SRC, [_NAMED_ROWS],
         f"SELECT {_KEYS}, y, p, ROUND(y_prob, 6) AS y_prob, ROUND(abs(y - y_prob), 6) AS error FROM rows "
-        f"ORDER BY abs(y - y_prob) DESC, {_KEYS} LIMIT 20",
+        f"ORDER BY abs(y - y_prob) DESC, {_KEYS}, y, p LIMIT 20",
     ),
     "evl_10_hard_examples_no_score": "SELECT doc_id, quality AS y, 1 - toxic AS p, CASE WHEN quality <> 1 - toxic THEN 1.0 "
     "ELSE 0.0 END::DOUBLE AS error FROM labels ORDER BY error DESC, doc_id LIMIT 20",
@@ -225,7 +235,7 @@ ORACLES = {
         "OR bool_and(support >= 5 AND ROUND(f1, 4) > 0.99))",
     ),
     "evl_15_misclassified": _sql(
-        CLASSES, [], f"SELECT * FROM input WHERE y_true <> y_pred ORDER BY {_KEYS} LIMIT 20"
+        CLASSES, [], f"SELECT * FROM input WHERE y_true <> y_pred ORDER BY {_KEYS}, y_true, y_pred LIMIT 20"
     ),
     "evl_16_regression_metrics": _sql(
         PRICES, [_RES], "SELECT ROUND(mae, 4) AS mae, ROUND(rmse, 4) AS rmse, ROUND(r2, 4) AS r2 FROM facts"
@@ -237,7 +247,7 @@ ORACLES = {
     "evl_18_largest_residuals": _sql(
         PRICES, [_RES],
         f"SELECT {_KEYS}, ROUND(y_true, 6) AS y_true, ROUND(y_pred, 6) AS y_pred, ROUND(e, 6) AS residual FROM res "
-        f"ORDER BY abs(e) DESC, {_KEYS} LIMIT 20",
+        f"ORDER BY abs(e) DESC, {_KEYS}, y_true LIMIT 20",
     ),
     "evl_19_regression_warnings": _sql(
         BIASED, [_RES],
@@ -245,9 +255,9 @@ ORACLES = {
         "SELECT 'wide_residuals' FROM facts WHERE std / span > 0.5 UNION ALL "
         "SELECT 'too_good_to_be_true' FROM facts WHERE r2 > 0.999 AND n >= 50",
     ),
-    "evl_20_holdout_score": "SELECT 'roc_auc' AS metric, ROUND(auc, 6) AS score FROM (" + _sql(BINARY, [_ROWS, _AUC], "SELECT * FROM auc")
-    + ") UNION ALL SELECT 'macro_f1', ROUND(f, 6) FROM (" + _sql(CLASSES, [_CLASS], "SELECT avg(f1) AS f FROM cls")
-    + ") UNION ALL SELECT 'r2', ROUND(r2, 6) FROM (" + _sql(PRICES, [_RES], "SELECT r2 FROM facts") + ")",
+    "evl_20_holdout_score": "SELECT 'roc_auc' AS metric, ROUND(auc, 6) AS score FROM (" + _sql(H_BINARY, [_ROWS, _AUC], "SELECT * FROM auc")
+    + ") UNION ALL SELECT 'macro_f1', ROUND(f, 6) FROM (" + _sql(H_CLASSES, [_CLASS], "SELECT avg(f1) AS f FROM cls")
+    + ") UNION ALL SELECT 'r2', ROUND(r2, 6) FROM (" + _sql(H_PRICES, [_RES], "SELECT r2 FROM facts") + ")",
     "lkg_09_smell_and_evidence": "SELECT 'auc' AS metric, CAST(1.0 AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS feature "
     "FROM lineitem HAVING count(*) >= 50 UNION ALL SELECT method, correlation, feature FROM ("
     + K._sql(
