@@ -22,7 +22,7 @@ def value_counts(long: DataFrame, group: Sequence[str] = ("feature",), value: st
 
 
 # Up to this many distinct rows, a plain window per group is one small task.
-ONE_TASK_ROWS = 1_000_000
+ONE_TASK_ROWS = 4_000_000
 
 
 def running_totals(

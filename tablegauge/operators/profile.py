@@ -131,7 +131,15 @@ def column_basics(tables: ProfileTables) -> DataFrame:
 
 
 def missing(tables: ProfileTables) -> DataFrame:
-    return tables.basics.select("name", "missing_count", "missing_pct")
+    """Missing values per column, from counts alone."""
+    names = tables.df.columns
+    counts = [F.count(C.value_or_null(n, tables.types[n])).alias(f"n{i}") for i, n in enumerate(names)]
+    row = tables.df.agg(F.count(F.lit(1)).alias("rows"), *counts)
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("name"), (F.col("rows") - F.col(f"n{i}")).alias("missing_count")) for i, n in enumerate(names)]
+    )
+    share = C.ratio(F.col("c.missing_count"), F.col("rows"))
+    return row.select("rows", F.explode(cells).alias("c")).select("c.*", share.alias("missing_pct"))
 
 
 def text_facts(tables: ProfileTables) -> DataFrame:
@@ -253,7 +261,10 @@ def _level_texts(tables: ProfileTables) -> DataFrame:
         text = F.when(as_whole, F.col("value").cast("long").cast("string")).otherwise(
             F.col("value").cast("string")
         )
-        source = tables.numbers
+        built = "numbers" in vars(tables)
+        source = tables.numbers if built else value_counts(
+            C.long_form(tables.df, tables.named("numeric", "integer"), "double")
+        )
         parts.append(source.select(F.col("feature").alias("name"), text.alias("value"), "n"))
     if tables.named("string"):
         parts.append(tables.texts.select(F.col("feature").alias("name"), "value", "n"))

@@ -81,7 +81,7 @@ def _leak_evidence(spark, folder):
 
 H_BINARY = """
 SELECT event_id, CASE WHEN event_type = 'purchase' OR value > 150 THEN 1 ELSE 0 END AS y_true,
-  CASE WHEN value > 100 THEN 1 ELSE 0 END AS y_pred, CASE WHEN value > 100 THEN 0.9 ELSE round(value / 200, 2) END AS y_prob FROM {events}"""
+  CASE WHEN value > 100 THEN 1 ELSE 0 END AS y_pred, CASE WHEN value > 100 THEN 0.9 ELSE value / 200 END AS y_prob FROM {events}"""
 H_CLASSES = """
 SELECT event_id, event_type AS y_true, CASE WHEN value > 60 THEN event_type WHEN event_id % 3 = 0 THEN 'click' ELSE 'view' END AS y_pred FROM {events}"""
 H_PRICES = "SELECT event_id, value AS y_true, value * 0.9 + user_id / 50 AS y_pred FROM {events}"
