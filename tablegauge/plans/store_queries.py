@@ -252,6 +252,11 @@ ORACLES = {
         f"SELECT 'col_' || substr(sha256('{c}'), 1, 8) AS pseudonym, count({c}) AS present FROM orders"
         for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     ),
+    "prp_07_fixed_draw": V._sql(
+        "SELECT stratum, least(count(DISTINCT response_id), any_value(quota)) AS picks, least(count(DISTINCT response_id), any_value(quota)) AS responses FROM "
+        "(SELECT response_id, CASE WHEN in_names THEN 'misfiled' WHEN in_frame THEN 'unlisted' ELSE 'invented' END AS stratum FROM refs WHERE outside) "
+        "JOIN (VALUES ('unlisted', 40), ('misfiled', 30), ('invented', 50)) AS q(stratum, quota) USING (stratum) GROUP BY stratum"
+    ),
     "prp_07_proportional_draw": "SELECT lang, CAST(quota + CASE WHEN row_number() OVER (ORDER BY exact - quota DESC, lang, n) <= 101 - sum(quota) OVER () THEN 1 ELSE 0 END AS BIGINT) AS picks FROM "
     "(SELECT lang, n, n * 101 / sum(n) OVER () AS exact, floor(n * 101 / sum(n) OVER ()) AS quota FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang))",
     "prp_08_script_scan": "SELECT script_id, no_seed, fit AS leak_fit_before_split, dup AS leak_duplicate_rows, acc AS wrong_metric_for_imbalance, noval AS no_validation, tgt AS target_in_features, "

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablegauge.functions import metric_names as M
+from tablegauge.functions.metric_names import TRAIN_LOSS, VAL_LOSS
 from tablegauge.operators.metric_stream import (
     DIVERGENCE_JUMP, DIVERGENCE_RATIO, OVERFIT_GAP, OVERFIT_WINDOW, PLATEAU_SHARE, PLATEAU_WINDOW,
 )
@@ -103,8 +104,8 @@ def _losses(metrics: dict) -> dict:
 
     values = [v for v, _, loss in metrics.values() if loss]
     return {
-        "train": first(M.TRAIN_LOSS),
-        "val": first(M.VAL_LOSS),
+        "train": first(TRAIN_LOSS),
+        "val": first(VAL_LOSS),
         "has_loss": bool(values),
         "bad": any(not math.isfinite(v) for v in values),
     }
