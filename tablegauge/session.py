@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "tablegauge") -> SparkSession:
-    """A local session with the settings the operators are tested under."""
+    """A local session with the settings the operators are tested under.
+
+    Its checkpoint folder is a new temporary one, which suits one machine only; a
+    cluster sets ``spark.checkpoint.dir`` itself.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -17,26 +21,32 @@ def local_session(cores: int | str = 8, app: str = "tablegauge") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by writing it to the checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master may fall back to a temporary folder: on a cluster a folder of
-    one machine would be lost with that machine.
+    The drivers' own runs start plain local sessions without the setting; only such a
+    local master gets a temporary folder, on a cluster the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by writing it to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
