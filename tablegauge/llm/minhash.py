@@ -8,9 +8,12 @@ wildcard per chunk finds every one of them by equality. At likeness 0.85 the dis
 has mean 14.4 of 96; more than 31 happens about once in 300,000 pairs, and less often for
 closer ones. Candidates are confirmed on the full sets of 64-bit shingle hashes.
 
-Equal sets are one class, so exact copies never meet in a bucket. A bucket is first
-tested as a star around its smallest member. Pairs inside one component need no further
-test; the pairs that are left, those across components of one bucket, are tested next.
+Equal sets are one class, so exact copies never meet in a bucket. A bucket is first tested
+as a star around the member that shares most keys with others: the text that near copies were made
+from has the symbols most of them kept. Near pairs of the stars make clusters. A cluster that the
+confirmed stars leave in several components is tested whole, its full sets block by block, and
+only a forest of its links leaves a task. Near pairs of a bucket in different clusters are few;
+they leave the join, which compares signatures, as pairs.
 
 Defined results: null or wordless text has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; a document without an id is never
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.llm import words as W
@@ -32,6 +35,14 @@ from tablegauge.session import durable
 CHUNKS, WIDTH = 16, 6
 DISTANCE = 2 * CHUNKS - 1
 SHINGLE, PERCENT = 3, 85
+# Symbols are packed three to a long, in lanes of 16 bits.
+LANES = 3
+LONGS = CHUNKS * WIDTH // LANES
+_TOPS, _BELOW = 0x800080008000, 0x7FFF7FFF7FFF
+# A cluster's sets are compared in blocks of about so many sets and bytes.
+BLOCK_SETS, BLOCK_BYTES = 256, 8_000_000
+# Documents in no candidate pair are left out by a bitmap of this many bits before their texts are shuffled.
+BITS = 1 << 22
 _ROWS = np.random.default_rng(11).integers(0, 2**64, size=CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -66,6 +77,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(40)).astype(np.uint16)
 
 
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """The symbols as longs, and back by ``unpacked``."""
+    lanes = symbols.astype(np.int64).reshape(LONGS, LANES)
+    return lanes[:, 0] | lanes[:, 1] << 16 | lanes[:, 2] << 32
+
+
+def unpacked(longs: np.ndarray) -> np.ndarray:
+    lanes = np.stack([longs >> 16 * k for k in range(LANES)], axis=-1) & 0xFFFF
+    return lanes.reshape(-1, CHUNKS * WIDTH).astype(np.uint64)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """In how many symbols two packed signatures differ: a lane's top bit is set where any bit differs."""
+    total = F.lit(0)
+    for k in range(LONGS):
+        x = a[k].bitwiseXOR(b[k])
+        lanes = (x.bitwiseAND(F.lit(_BELOW)) + F.lit(_BELOW)).bitwiseOR(x).bitwiseAND(F.lit(_TOPS))
+        total = total + F.bit_count(lanes)
+    return total
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
@@ -79,7 +111,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                     batch.column("doc_id")[low:high],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digest, pa.binary()),
-                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([packed(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "set_id", "signature"],
             )
@@ -88,7 +120,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document: set size, set identity, signature (both null for an empty set)."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        lambda batches: _signed(batches, size), "doc_id long, n_shingles long, set_id binary, signature binary"
+        lambda batches: _signed(batches, size), "doc_id long, n_shingles long, set_id binary, signature array<long>"
     )
 
 
@@ -100,8 +132,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low in range(0, batch.num_rows, 2000):
             part = batch.slice(low, 2000)
             ids = part.column("node").to_numpy()
-            symbols = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16)
-            terms = (symbols.reshape(-1, CHUNKS, WIDTH).astype(np.uint64) + np.uint64(1)) * weights
+            symbols = unpacked(part.column("signature").flatten().to_numpy().reshape(-1, LONGS))
+            terms = (symbols.reshape(-1, CHUNKS, WIDTH) + np.uint64(1)) * weights
             keys = W.mixed(terms.sum(axis=2)[:, :, None] - terms + marks[None])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, CHUNKS * WIDTH))], ["key", "node"]
@@ -109,31 +141,40 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, first): the keys that two or more nodes share, with each key's smallest node."""
+    """(key, node, size): the keys that two or more nodes share, with how many do."""
     keys = nodes.select("node", "signature").mapInArrow(_keyed, "key long, node long")
-    ordered = Window.partitionBy("key").orderBy("node")
-    placed = keys.select(
-        "key", "node", F.first("node").over(ordered).alias("first"), F.lead("node").over(ordered).alias("next")
-    )
-    return placed.where((F.col("node") != F.col("first")) | F.col("next").isNotNull()).drop("next")
+    return keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
 
 
-def _near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b")
-            )
-            near = (a != b).sum(axis=1) <= most
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+def stars(shared: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each bucket's centre with its other members; a centre shares most keys with others."""
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    ordered = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+    centred = shared.select("key", "node").join(weight, "node").select("node", F.first("node").over(ordered).alias("centre"))
+    pairs = centred.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    return pairs.distinct()
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
     """The pairs whose signatures differ in at most ``most`` symbols."""
     left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(lambda batches: _near(batches, most), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(distance(F.col("sig_a"), F.col("sig_b")) <= most).select("a", "b")
+
+
+def _possible(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(bits[batch.column("bit").to_numpy()]))
+
+
+def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Leave out most of the rows whose node is not wanted, by a bitmap of fixed size; none that is."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(BITS)).cast("int")
+    set_bits = wanted.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy()  # BITS numbers at most
+    bits = np.zeros(BITS, bool)
+    bits[set_bits] = True
+    kept = texts.where("node is not null").withColumn("bit", bit)
+    return kept.mapInArrow(lambda batches: _possible(batches, bits), "node long, text string, bit int").drop("bit")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -159,21 +200,92 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough. ``pairs`` must be stored; only its documents are read into sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the documents in ``pairs``."""
+    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     sets = (
-        texts.join(wanted, "node", "left_semi")
+        possible(texts, wanted)
+        .join(wanted, "node", "left_semi")
         .dropDuplicates(["node"])
         .mapInArrow(lambda batches: _set_rows(batches, size), "node long, shingles binary")
     )
-    sets = durable(sets)
+    return durable(sets)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough."""
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the links that join what earlier ones left apart."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[y] = x
+            kept.append(k)
+    return kept
+
+
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """A forest of the links between two blocks of one cluster, or inside one block."""
+    nodes, blocks = table["node"].to_numpy(), table["block"].to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+    left = np.flatnonzero(blocks == table["low"][0].as_py())
+    right = np.flatnonzero(blocks == table["high"][0].as_py())
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for low in range(0, len(vocabulary), 4096):
+        some = slice(np.searchsorted(at, low), np.searchsorted(at, low + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[some], at[some] - low] = 1
+        both += has[left] @ has[right].T
+    union = sizes[left][:, None] + sizes[right][None] - both
+    i, j = np.nonzero((100 * both >= percent * union) & (nodes[left][:, None] != nodes[right][None]))
+    a, b = nodes[left[i]], nodes[right[j]]
+    kept = _forest(a, b)
+    return pa.table({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def cluster_links(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside the clusters (node, cluster) whose nodes ``labels`` leave in several components."""
+    placed = clusters.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+    sized = sets.select("node", "shingles", F.octet_length("shingles").alias("bytes"))
+    totals = (
+        placed.join(sized.drop("shingles"), "node")
+        .groupBy("cluster")
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        .where("first <> last")
+        .select("cluster", F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    )
+    open_nodes = placed.join(totals, "cluster").select(
+        "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = (
+        open_nodes.join(sized, "node")
+        .select("node", "shingles", "cluster", "block", other)
+        .select("node", "shingles", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(lambda table: _block_links(table, percent), "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (a, b), for every linked node.
 
@@ -207,32 +319,30 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = (
         rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     )
     classes = durable(classes)
     shared = durable(buckets(classes))
-    star = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    star = durable(stars(shared))
     tested = durable(near_pairs(star, classes))
-    links = durable(confirmed(tested, docs, size, percent))
-    labels = components(links)
-    placed = shared.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")
-    )
+    sets = sets_of(tested, docs, size)
+    links = durable(confirmed(tested, sets, percent))
+    clusters = components(tested).withColumnRenamed("component", "cluster")
+    links = durable(links.union(cluster_links(clusters, components(links), sets, percent)))
+    placed = shared.join(clusters, "node", "left").select("key", "node", F.coalesce("cluster", "node").alias("cluster"))
     mixed_keys = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("key")
+        placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("key")
     )
-    open_rows = durable(placed.join(mixed_keys, "key", "left_semi"))
-    if not open_rows.isEmpty():
-        left = open_rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = open_rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        across = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        more = durable(near_pairs(across.join(star, ["a", "b"], "left_anti"), classes))
-        if not more.isEmpty():
-            links = durable(links.union(confirmed(more, docs, size, percent)))
-            labels = components(links)
+    open_rows = durable(placed.join(mixed_keys, "key", "left_semi").join(classes.select("node", "signature", "n"), "node"))
+    left = open_rows.select("key", F.col("node").alias("a"), F.col("cluster").alias("ca"), F.col("signature").alias("sig_a"), F.col("n").alias("na"))
+    right = open_rows.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), F.col("signature").alias("sig_b"), F.col("n").alias("nb"))
+    apart = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    across = left.join(right, apart & sizes & (distance(F.col("sig_a"), F.col("sig_b")) <= DISTANCE)).select("a", "b").distinct()
+    more = durable(across.join(star, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = durable(links.union(confirmed(more, sets_of(more, docs, size), percent)))
+    labels = components(links)
     named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(named, "set_id", "left").select(

@@ -42,12 +42,15 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         low = high
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and per text the index of its first word (one more than texts)."""
+def spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and per text the index of its first word (one more than texts).
+
+    ``blank`` marks the bytes that part words.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(at), np.int64)
-    inside = ~BLANK[data]
+    inside = ~blank[data]
     edge = at[:-1][at[:-1] < len(data)]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -81,7 +84,7 @@ def factors(n: int) -> np.ndarray:
     return _factors[:n]
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np.ndarray = BLANK) -> np.ndarray:
     """A 64-bit hash of each word's bytes (multilinear, then mixed)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -92,7 +95,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     place = np.arange(high - low, dtype=np.int64) - np.cumsum(begins)
     row = factors(int(lengths.max()) + 1)
     # bytes between words fall past a word's end: they count nothing
-    gap = BLANK[data[low:high]]
+    gap = blank[data[low:high]]
     place[gap] = 0
     value = (data[low:high].astype(np.uint64) + np.uint64(1)) * row[place]
     value[gap] = 0
