@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import minhash
+from tablegauge.llm import article, language, minhash, pieces, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,5 +15,27 @@ def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op6_minhash": op6_minhash}
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
+def op8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded(_table(spark, folder, "documents"))
+
+
+def op9_article(spark: SparkSession, folder: str) -> DataFrame:
+    return article.extracted(_table(spark, folder, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES = {
+    "op6_minhash": op6_minhash,
+    "op7_language": op7_language,
+    "op8_pieces": op8_pieces,
+    "op9_article": op9_article,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES: dict[str, str] = {}
