@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import article, language, minhash, pieces, toxicity
+from tablegauge.llm import article, language, minhash, mixing, pieces, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(_table(spark, folder, "documents"))
+
+
 def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -32,10 +36,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
     "op8_pieces": op8_pieces,
     "op9_article": op9_article,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_mixing": mixing.ORACLE}
