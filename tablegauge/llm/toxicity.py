@@ -35,7 +35,7 @@ from tablegauge.llm.language import held_out
 
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6, 7)
-PER_CLASS = 1200
+PER_CLASS = 500
 MARKED, COMMON, SUPPORT, ODDS = 5, 0.05, 0.01, 20.0
 STEPS, RATE, DECAY = 40, 0.5, 1e-4
 BLOCK = 128
@@ -242,7 +242,8 @@ def fit(documents: list[tuple[int, np.ndarray]]) -> Model:
     chosen[marked(features, doc, toxic)] = True
     truth = (chosen[features[:, : 1 + len(PREFIXES)]].any(axis=1) & (toxic[doc] == 1)).astype(float)
     names, at = np.unique(features, return_inverse=True)
-    at = at.reshape(features.shape)
+    at = at.reshape(features.shape).astype(np.int32)
+    columns = range(width)
     inner = np.ones(len(truth), bool)
     inner[first[:-1][sizes > 0]] = False
     seen = np.zeros((2, 2))
@@ -252,10 +253,17 @@ def fit(documents: list[tuple[int, np.ndarray]]) -> Model:
             seen[i, j] = (inner & (before == i) & (truth == j)).sum()
     w, bias, transition = np.zeros(len(names)), 0.0, np.zeros((2, 2))
     squares, bias_squares, transition_squares = np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    wanted = np.bincount(at.ravel(), np.repeat(truth, width), minlength=len(names))
+
+    def counted(share):
+        return sum(np.bincount(at[:, k], share, minlength=len(names)) for k in columns)
+
+    def emission():
+        return sum(w[at[:, k]] for k in columns) + bias
+
+    wanted = counted(truth)
     for _ in range(STEPS):
-        p, pair = marginals(w[at].sum(axis=1) + bias, first, transition)
-        gradient = wanted - np.bincount(at.ravel(), np.repeat(p, width), minlength=len(names)) - DECAY * len(truth) * w / len(names)
+        p, pair = marginals(emission(), first, transition)
+        gradient = wanted - counted(p) - DECAY * len(truth) * w / len(names)
         squares += gradient**2
         w += RATE * gradient / np.sqrt(squares)
         g = (truth - p).sum()
@@ -265,7 +273,7 @@ def fit(documents: list[tuple[int, np.ndarray]]) -> Model:
         transition_squares += turn**2
         transition = transition + RATE * turn / np.sqrt(transition_squares)
     w[(names == 0) | (np.abs(w) < 0.02)] = 0.0
-    p, _ = marginals(w[at].sum(axis=1) + bias, first, transition)
+    p, _ = marginals(emission(), first, transition)
     x = _gathered(p, first)
     logistic = np.zeros(3)
     ridge = np.diag([1e-3, 1e-2, 1e-2]) * len(toxic)
