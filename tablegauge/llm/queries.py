@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import article, language, minhash, mixing, pieces, toxicity, warc
+from tablegauge.llm import article, language, minhash, mixing, pieces, quality, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(_table(spark, folder, "documents"))
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(_table(spark, folder, "documents"))
+
+
 def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -42,6 +50,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
     "op8_pieces": op8_pieces,
