@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each one operator of the text subpackage."""
+"""The corpus pipeline: stages over ``documents``, each one operator of the text subpackage.
+
+Counted as part of that subpackage. Every stage works on all its predecessor kept, and all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +10,61 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablegauge.llm import minhash
+from tablegauge.llm import language, minhash, mixing, pieces, secrets
 from tablegauge.session import shared_folder
 
+# A text is rejected if no language is sure to this degree.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents without a letter or without a sure language; all go where nothing could be learned."""
+    verdict = language.verdict(F.col("text"), language.learned(docs))
+    judged = docs.withColumn("_verdict", verdict)
+    sure = (F.col("_verdict.lang_pred") != "und") & (F.col("_verdict.score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(sure).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest document of each near-duplicate group."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by a mark; n_chars follows."""
+    return secrets.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put the documents, all of them, in the order of the mixing schedule."""
+    placed = mixing.mixed(docs, whole=True).select("position", "row")
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, n_bytes, round_trip and ids of every document."""
+    return pieces.encoded(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mix", mix),
+    ("encode", encode),
 ]
+# Models and piece ids cannot be expressed in SQL: tests/llm checks the rows against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,6 +208,22 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
 
+def verdict(text: Column, model: Model) -> Column:
+    """A struct of lang_pred and score of a text, for use beside other columns."""
+
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        found = pa.array(texts, pa.string(), from_pandas=True)
+        names, scores = [], []
+        for low, high in W.slices(found):
+            some = model.predict(found[low:high].to_pylist())
+            names += some[0]
+            scores += list(some[1])
+        return pd.DataFrame({"lang_pred": names, "score": scores})
+
+    scored.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(scored, "lang_pred string, score double")(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every text; without a ``model`` one is learned from ``docs``."""
     model = learned(docs) if model is None else model

@@ -111,13 +111,20 @@ def _drawn(key: Column) -> Column:
 
 
 def mixed(
-    docs: DataFrame, weights: DataFrame | None = None, cycle: int = CYCLE, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    cycle: int = CYCLE,
+    block_rows: int = BLOCK_ROWS,
+    bucket_rows: int = BUCKET_ROWS,
+    whole: bool = False,
 ) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, position (from 0, without gaps) of every row.
 
     ``weights`` (source, weight) are the targets; without them they are tempered row counts.
+    ``whole`` adds ``row``, a struct of all columns of ``docs``.
     """
-    rows = docs.select("doc_id", "source")
+    carried = ["row"] if whole else []
+    rows = docs.select("doc_id", "source", *([F.struct(*docs.columns).alias("row")] if whole else []))
     counts = durable(rows.groupBy("source").agg(F.count("*").alias("n")))
     if counts.count() > cycle:
         raise ValueError(f"more than {cycle} sources: give a longer cycle")
@@ -129,8 +136,8 @@ def mixed(
     bucket = F.expr("cast(conv(substr(draw, 1, 8), 16, 10) AS bigint)") * F.col("buckets")
     drawn = (
         rows.join(F.broadcast(counts.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "source", draw.alias("draw"), buckets.alias("buckets"))
-        .select("doc_id", "source", "draw", F.shiftright(bucket, 32).alias("bucket"))
+        .select("doc_id", "source", draw.alias("draw"), buckets.alias("buckets"), *carried)
+        .select("doc_id", "source", *carried, "draw", F.shiftright(bucket, 32).alias("bucket"))
     )
     sizes = drawn.groupBy("source", "bucket").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,7 +147,7 @@ def mixed(
     same = drawn["source"].eqNullSafe(offsets["_source"]) & (drawn["bucket"] == offsets["_bucket"])
     within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id")
     numbered = drawn.join(offsets, same).select(
-        "doc_id", "source", (F.col("offset") + F.row_number().over(within) - 1).alias("number")
+        "doc_id", "source", *carried, (F.col("offset") + F.row_number().over(within) - 1).alias("number")
     )
     blocks = numbered.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.expr(f"number div {block_rows}"))
     placed = _placed(blocks)
@@ -148,7 +155,7 @@ def mixed(
         F.filter("short", lambda s: s["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, s: a + s["missing"]
     )
     position = F.col("slot") * block_rows + F.col("number") % block_rows - shortened
-    return placed.select("doc_id", "source", "block", "release", "deadline", "slot", position.alias("position"))
+    return placed.select("doc_id", "source", "block", "release", "deadline", "slot", position.alias("position"), *carried)
 
 
 # The same rows by one recursion over the slots of a cycle.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import article, language, minhash, mixing, pieces, quality, secrets, toxicity, warc
+from tablegauge.llm import article, language, minhash, mixing, pieces, quality, secrets, spotsigs, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(_table(spark, folder, "documents"))
 
 
+def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.compared(_table(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages"))
 
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_spotsigs": op2_spotsigs,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
