@@ -20,11 +20,15 @@ def text_fingerprint(text: Column) -> Column:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row: rows, columns and an order-free digest of a table."""
+    """One row: rows, columns and an order-free digest of a table.
+
+    The digest is the sum of the row hashes, so repeated rows count as often as they occur.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).alias("columns"),
-        F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("digest"),
+        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
     )
 
 

@@ -41,6 +41,36 @@ def test_script_rules(spark):
     assert got[3] == ["no_seed", "no_validation", "target_in_features"]
 
 
+def test_script_target_exclusion_forms(spark):
+    forms = {
+        "X = df.drop(columns=['V1'])": True,
+        "X = df.drop(\n    columns=[\n        'a',\n        'V1'])": True,
+        "X = df[[c for c in df.columns if c != 'V10']]": False,
+        "X = df[[c for c in df.columns if c != 'V1']]": True,
+        "COLS = ['a', 'b']\nX = df[COLS]": True,
+        "COLS = ['a', 'V1']\nX = df[COLS]": False,
+        "COLS = ['a', 'b']\nX = df.loc[:, COLS]": True,
+        "def load(df, target='V1'):\n    return df.drop(columns=[target])": True,
+        "LABEL: str = 'V1'\nX = df.drop(LABEL, axis=1)": True,
+        "run(label='V1')\ny = df.pop(label)": True,
+        "X = df.drop(columns=['V10'])": False,
+        "X = df[list(set(df.columns) - {'V1'})]": True,
+        "cols = df.columns.difference(['V1'])": True,
+        "X = df": False,
+    }
+    rows = [(i, text, "V1", 0, None, False) for i, text in enumerate(forms)]
+    df = spark.createDataFrame(rows, "script_id long, source string, target string, duplicate_rows long, minority_fraction double, target_is_last boolean")
+    got = {r.script_id: not r.target_in_features for r in scripts.scan_scripts(df).collect()}
+    assert {text: got[i] for i, text in enumerate(forms)} == forms
+
+
+def test_table_digest_counts_duplicates(spark):
+    def digest(values):
+        return manifests.table_fingerprint(spark.createDataFrame([(v,) for v in values], "x long")).first().digest
+
+    assert digest([1, 1, 2]) != digest([3, 3, 2]) and digest([1, 2, 1]) == digest([1, 1, 2])
+
+
 def test_transcript_budget(spark):
     rows = [(1, i, "message", "x" * 20, None, None, None) for i in range(50)] + [(2, 0, "stop", "done", None, None, None)]
     steps = spark.createDataFrame(rows, "run_id long, step_no long, kind string, content string, tool_name string, payload string, ok boolean")
