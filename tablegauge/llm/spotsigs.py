@@ -3,7 +3,7 @@
 A text is cut into lower-case words of letters and digits. Each common word (the fixed list of the quality rules) is
 an anchor; its signature is the anchor and the next two words that are not common themselves. A fingerprint is the
 set of 32-bit hashes of the signatures, written as sorted hex digits. A text with fewer than
-``LEAST_CHAINS`` signatures takes all its words instead, one without words its characters as they are.
+``LEAST_CHAINS`` different signatures takes all its words instead, one without words its characters as they are.
 
 Near pairs: a pair of likeness t has set lengths within the factor t, so sets are dealt by length class and
 compared with their own and the next longer class only. Within a class pair, two sets that are alike enough
@@ -24,8 +24,11 @@ LEAST_CHAINS = 3
 BUCKETS_PER_PARTITION = 8
 _MASK = (1 << 32) - 1
 _ANCHOR = r"(?<= )(?:" + "|".join(sorted(set(COMMON))) + r")(?= )"
-# an anchor, any anchors, a content word, any anchors, a content word; matches may overlap
-_CHAIN = r"(?<= )(?=(~\S+ (?:~\S+ )*[^~ ]\S* (?:~\S+ )*[^~ ]\S* ))"
+# A run of anchors, the content word after it, and the next one past any anchors. Possessive loops run without
+# recursion, and a run is read once however long it is.
+_RUN = r"((?:~\S++ )++)([^~ ]\S*+ )(?=(?:~\S++ )*+([^~ ]\S*+ ))"
+# Two words that end every text, so that each run matches; signatures that hold them are dropped.
+_END = "# # "
 
 
 def _hashed(words: Column) -> Column:
@@ -38,7 +41,14 @@ def signatures(text: Column) -> Column:
     marked = F.regexp_replace(F.regexp_replace(spaced, r" {2,}", " "), _ANCHOR, "~$0")
 
     def of(s: Column) -> Column:
-        chains = F.transform(F.regexp_extract_all(s, F.lit(_CHAIN), F.lit(1)), lambda c: F.regexp_replace(c, r" ~\S+", ""))
+        ended = F.concat(s, F.lit(_END))
+        runs, near, far = (F.regexp_extract_all(ended, F.lit(_RUN), F.lit(k)) for k in (1, 2, 3))
+
+        def signed(anchors: Column, content: Column) -> Column:
+            whole = F.transform(F.array_distinct(F.array_remove(F.split(anchors, " "), "")), lambda a: F.concat(a, F.lit(" "), content))
+            return F.when(F.contains(content, F.lit("#")), F.array().cast("array<string>")).otherwise(whole)
+
+        chains = F.flatten(F.zip_with(runs, F.zip_with(near, far, lambda a, b: F.concat(a, b)), signed))
         words = F.array_remove(F.split(s, " "), "")
 
         def chosen(c: Column) -> Column:
@@ -46,7 +56,7 @@ def signatures(text: Column) -> Column:
                 F.when(F.size(words) > 0, words).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
             )
 
-        return let(chains, lambda c: _hashed(chosen(c)))
+        return let(F.array_distinct(chains), lambda c: _hashed(chosen(c)))
 
     return let(marked, of)
 

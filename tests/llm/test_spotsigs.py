@@ -20,7 +20,7 @@ def chains(text):
         rest = [x for x in words[i + 1 :] if x not in STOP]
         if w in STOP and len(rest) >= 2:
             out.append((w, *rest[:2]))
-    return set(out) if len(out) >= 3 else set(words) or ({text} if text else set())
+    return set(out) if len(set(out)) >= 3 else set(words) or ({text} if text else set())
 
 
 def jaccard(a, b):
