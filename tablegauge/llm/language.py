@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tablegauge.llm import words as W
 
 BUCKETS = 1 << 16
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 500
 MAX_LANGUAGES = 500
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-4
