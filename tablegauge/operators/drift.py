@@ -86,6 +86,12 @@ class DriftTables:
         counts = _side_counts(_sides(self.reference, self.current, names, "double"))
         return running_totals(counts, ["feature"], "value", ["ref", "cur"], reused=True)
 
+    @cached_property
+    def wholes(self) -> DataFrame | None:
+        """Counts of both sides per exact integer."""
+        names = self.named("integer")
+        return durable(_side_counts(_sides(self.reference, self.current, names, "bigint"))) if names else None
+
     @cached_property
     def texts(self) -> DataFrame | None:
         names = self.named("string")
@@ -139,9 +145,9 @@ def aligned_counts(tables: DriftTables) -> DataFrame:
 def feature_kinds(tables: DriftTables) -> DataFrame:
     """numeric, categorical, datetime or unsupported, per feature."""
     parts = []
-    if tables.numbers is not None:
+    if tables.wholes is not None:  # other numbers are numeric whatever their levels
         parts.append(
-            tables.numbers.groupBy("feature").agg(
+            tables.wholes.groupBy("feature").agg(
                 F.count_if(F.col("ref") > 0).alias("levels"), F.lit(False).alias("dates")
             )
         )
@@ -228,12 +234,8 @@ def histogram(tables: DriftTables, edges: DataFrame | None = None) -> DataFrame:
 def level_counts(tables: DriftTables) -> DataFrame:
     """Counts of both sides per level of every categorical feature."""
     parts = []
-    if tables.numbers is not None and tables.named("integer"):
-        parts.append(
-            tables.numbers.where(F.col("feature").isin(tables.named("integer"))).select(
-                "feature", F.col("value").cast("long").cast("string").alias("level"), "ref", "cur"
-            )
-        )
+    if tables.wholes is not None:
+        parts.append(tables.wholes.select("feature", F.col("value").cast("string").alias("level"), "ref", "cur"))
     if tables.texts is not None:
         parts.append(tables.texts.select("feature", F.col("value").alias("level"), "ref", "cur"))
     if not parts:

@@ -214,8 +214,8 @@ def rank_biserial(tables: LeakageTables) -> DataFrame:
     return scored.select("feature", (2 * auc - 1).alias("correlation"))
 
 
-def strongest(tables: LeakageTables, limit: int = REPORTED) -> DataFrame:
-    """The strongest method per feature, best features first."""
+def strongest(tables: LeakageTables, limit: int | None = REPORTED) -> DataFrame:
+    """The strongest method per feature, best features first; all of them without a ``limit``."""
     methods = [("spearman", spearman(tables), 1)]
     if tables.two_valued:
         methods.append(("rank_biserial", rank_biserial(tables), 2))
@@ -231,17 +231,19 @@ def strongest(tables: LeakageTables, limit: int = REPORTED) -> DataFrame:
     # ties inside rounding noise go to the earlier method, then to the feature name
     strength = F.round(F.abs("correlation"), 9)
     best = Window.partitionBy("feature").orderBy(strength.desc(), "priority")
-    return (
+    each = (
         rows.where("correlation IS NOT NULL AND NOT isnan(correlation)")
         .withColumn("place", F.row_number().over(best))
         .where("place = 1")
         .select("feature", "correlation", "method")
-        .orderBy(F.round(F.abs("correlation"), 9).desc(), "feature")
-        .limit(limit)
     )
+    if limit is None:
+        return each
+    return each.orderBy(F.round(F.abs("correlation"), 9).desc(), "feature").limit(limit)
 
 
 def candidate_leaks(evidence: DataFrame) -> DataFrame:
+    """The suspicious rows of ``strongest(tables, None)``."""
     return evidence.where(F.abs("correlation") >= SUSPICIOUS)
 
 

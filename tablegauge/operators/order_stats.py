@@ -21,46 +21,18 @@ def value_counts(long: DataFrame, group: Sequence[str] = ("feature",), value: st
     return long.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Up to this many distinct rows, a plain window per group is one small task.
-ONE_TASK_ROWS = 4_000_000
-
-
 def running_totals(
-    counts: DataFrame,
-    group: Sequence[str],
-    order: str,
-    sums: Sequence[str],
-    reused: bool = False,
-    one_task_rows: int = ONE_TASK_ROWS,
+    counts: DataFrame, group: Sequence[str], order: str, sums: Sequence[str], reused: bool = False
 ) -> DataFrame:
     """Add ``before_<s>`` (total of smaller values) and ``total_<s>`` per group.
 
-    ``counts`` holds one row per (group, order). ``reused`` keeps the result, for
-    callers that read it several times. The counts are checkpointed first, so
-    their number is known: few rows take a window per group, more rows the
-    two-level path.
-    """
-    counts = durable(counts)
-    if counts.count() <= one_task_rows:
-        by = Window.partitionBy(*group)
-        smaller = by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        result = counts.select(
-            *counts.columns,
-            *[F.coalesce(F.sum(s).over(smaller), F.lit(0)).alias(f"before_{s}") for s in sums],
-            *[F.sum(s).over(by).alias(f"total_{s}") for s in sums],
-        )
-    else:
-        result = _two_level_totals(counts, group, order, sums)
-    return durable(result) if reused else result
-
-
-def _two_level_totals(counts: DataFrame, group: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
-    """Running totals inside each range partition, plus the partitions before it.
-
-    The range-partitioned rows are checkpointed, because the partition number read
-    by the offsets and by the rows must be the same one even when an executor is
-    lost and its partitions are computed again.
+    ``counts`` holds one row per (group, order). Running totals are taken inside each
+    range partition, and the partitions before it are added. ``reused`` keeps the
+    result, for callers that read it several times. The range-partitioned rows are
+    checkpointed, because the partition number read by the offsets and by the rows
+    must be the same one even when an executor is lost and its partitions are computed again.
     """
+    counts = durable(counts)  # range partitioning reads it twice
     partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(
         counts.repartitionByRange(partitions, *group, order).withColumn("_part", F.spark_partition_id())
@@ -79,7 +51,7 @@ def _two_level_totals(counts: DataFrame, group: Sequence[str], order: str, sums:
     inside = (
         Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return placed.join(offsets, [*group, "_part"]).select(
+    result = placed.join(offsets, [*group, "_part"]).select(
         *counts.columns,
         *[
             (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_offset_{s}")).alias(f"before_{s}")
@@ -87,6 +59,7 @@ def _two_level_totals(counts: DataFrame, group: Sequence[str], order: str, sums:
         ],
         *[f"total_{s}" for s in sums],
     )
+    return durable(result) if reused else result
 
 
 def quantiles(

@@ -68,10 +68,30 @@ class ProfileTables:
     def named(self, *bases: str) -> list[str]:
         return [n for n in self.df.columns if self.base(n) in bases]
 
+    @cached_property
+    def number_counts(self) -> DataFrame:
+        """Rows per distinct number as (feature, text, n); integers and decimals are told apart exactly."""
+        families = {"bigint": [], "decimal(38,18)": [], "double": []}
+        for name in self.named("numeric", "integer"):
+            kind = self.types[name]
+            families["bigint" if C.is_integer(kind) else "decimal(38,18)" if isinstance(kind, T.DecimalType) else "double"].append(name)
+        parts = []
+        for kind, names in families.items():
+            if names:
+                text = F.col("value").cast("string")
+                if kind.startswith("decimal"):
+                    text = F.regexp_replace(text, r"\.?0+$", "")
+                parts.append(value_counts(C.long_form(self.df, names, kind)).select("feature", text.alias("text"), "n"))
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return durable(rows)
+
     @cached_property
     def numbers(self) -> DataFrame:
-        long = C.long_form(self.df, self.named("numeric", "integer"), "double")
-        return running_totals(value_counts(long), ["feature"], "value", ["n"], reused=True)
+        """Counts and running totals per number, as doubles."""
+        counts = self.number_counts.groupBy("feature", F.col("text").cast("double").alias("value")).agg(F.sum("n").alias("n"))
+        return running_totals(counts, ["feature"], "value", ["n"], reused=True)
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -169,11 +189,7 @@ def number_levels(tables: ProfileTables) -> DataFrame:
         names = tables.named("numeric", "integer")
         row = tables.df.agg(*[F.approx_count_distinct(C.col(n)).alias(n) for n in names])
         return row.unpivot([], [C.col(n) for n in names], "name", "levels")
-    if "numbers" in vars(tables):  # already built for the quantiles
-        distinct = tables.numbers
-    else:
-        distinct = C.long_form(tables.df, tables.named("numeric", "integer"), "double").distinct()
-    return distinct.groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("levels"))
+    return tables.number_counts.groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("levels"))
 
 
 def is_year(tables_row_name: Column, minimum: Column) -> Column:
@@ -255,17 +271,8 @@ def outliers(tables: ProfileTables, summary: DataFrame | None = None) -> DataFra
 
 def _level_texts(tables: ProfileTables) -> DataFrame:
     parts = []
-    whole = tables.named("integer")
     if tables.named("numeric", "integer"):
-        as_whole = F.col("feature").isin(whole) if whole else F.lit(False)
-        text = F.when(as_whole, F.col("value").cast("long").cast("string")).otherwise(
-            F.col("value").cast("string")
-        )
-        built = "numbers" in vars(tables)
-        source = tables.numbers if built else value_counts(
-            C.long_form(tables.df, tables.named("numeric", "integer"), "double")
-        )
-        parts.append(source.select(F.col("feature").alias("name"), text.alias("value"), "n"))
+        parts.append(tables.number_counts.select(F.col("feature").alias("name"), F.col("text").alias("value"), "n"))
     if tables.named("string"):
         parts.append(tables.texts.select(F.col("feature").alias("name"), "value", "n"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -448,7 +455,7 @@ def censored_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def column_warnings(profiled: DataFrame) -> DataFrame:
-    """One row per warning rule that fires: (rule, n, the first five names)."""
+    """One row per warning rule that fires: (rule, n, all names in column order)."""
     missing_pct = F.col("missing_pct")
     rules = {
         "mostly_missing": missing_pct > 0.5,
@@ -465,7 +472,7 @@ def column_warnings(profiled: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("ordinal", "name")))
     # One element per column of the profiled table.
     return hits.groupBy("rule").agg(
-        F.count(F.lit(1)).alias("n"), F.slice(listed, 1, 5)["name"].alias("names")
+        F.count(F.lit(1)).alias("n"), listed["name"].alias("names")
     )
 
 

@@ -42,6 +42,9 @@ def _long(features, kind):
 _PROBS = ", ".join(f"{i / 10}" for i in range(11))
 _INPUTS = {"ref": REF, "cur": CUR}
 _NUM = f"num AS ({_long(BINNED, 'DOUBLE')})"
+_NUM_ALL = f"num AS ({_long(NUMBERS, 'DOUBLE')})"
+# l_tax has no current value, so nothing to compare
+_NUM_BOTH = f"num AS ({_long([n for n in NUMBERS if n != 'l_tax'], 'DOUBLE')})"
 _EDGES = f"""
 edges0 AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{_PROBS}]))) AS d
   FROM num WHERE side = 'ref' GROUP BY feature),
@@ -148,10 +151,9 @@ QUERIES = {
     "drf_02_kind": lambda s, f: D.feature_kinds(tables(s, f)).select("feature", "kind"),
     "drf_03_edges": lambda s, f: rounded(
         D.bin_edges(tables(s, f))
-        .where(F.col("feature").isin(BINNED))
         .select("feature", F.posexplode("edges").alias("pos", "edge"))
     ),
-    "drf_04_histogram": lambda s, f: D.histogram(tables(s, f)).where(F.col("feature").isin(BINNED)),
+    "drf_04_histogram": lambda s, f: D.histogram(tables(s, f)),
     "drf_05_levels": lambda s, f: D.level_counts(tables(s, f)),
     "drf_06_psi": lambda s, f: rounded(
         _features(s, f).where("psi IS NOT NULL").select("feature", "psi")
@@ -163,10 +165,10 @@ QUERIES = {
         8,
     ),
     "drf_08_ks": lambda s, f: rounded(
-        D.ks_statistics(tables(s, f)).where(F.col("feature").isin(BINNED)).select("feature", "ks_stat")
+        D.ks_statistics(tables(s, f)).select("feature", "ks_stat")
     ),
     "drf_09_ks_pvalue": lambda s, f: rounded(
-        D.ks_statistics(tables(s, f)).where(F.col("feature").isin(BINNED)).select("feature", "ks_pvalue")
+        D.ks_statistics(tables(s, f)).select("feature", "ks_pvalue")
     ),
     "drf_10_chi_square": lambda s, f: _level_rows(s, f).select("feature", "chi2_stat", "dof"),
     "drf_11_chi_square_pvalue": lambda s, f: _level_rows(s, f).select("feature", "chi2_pvalue"),
@@ -191,10 +193,10 @@ ORACLES = {
     ),
     "drf_02_kind": _sql(_kind_rows()),
     "drf_03_edges": _sql(
-        "SELECT feature, CAST(i - 1 AS INTEGER) AS pos, ROUND(e, 6) AS edge FROM edges", _NUM, _EDGES
+        "SELECT feature, CAST(i - 1 AS INTEGER) AS pos, ROUND(e, 6) AS edge FROM edges", _NUM_ALL, _EDGES
     ),
     "drf_04_histogram": _sql(
-        "SELECT feature, CAST(bin AS INTEGER) AS bin, ref, cur FROM hist", _NUM, _EDGES, _HIST
+        "SELECT feature, CAST(bin AS INTEGER) AS bin, ref, cur FROM hist", _NUM_ALL, _EDGES, _HIST
     ),
     "drf_05_levels": _sql("SELECT * FROM levels", _CAT),
     "drf_06_psi": _sql("SELECT feature, ROUND(psi, 6) AS psi FROM sev", *_ALL_SCORED),
@@ -205,8 +207,8 @@ ORACLES = {
         "(SELECT feature, sum(cur) AS inside FROM hist GROUP BY feature) USING (feature)",
         *_ALL_SCORED,
     ),
-    "drf_08_ks": _sql("SELECT feature, ROUND(d, 6) AS ks_stat FROM ksp", _NUM, _KS),
-    "drf_09_ks_pvalue": _sql("SELECT feature, ROUND(p, 6) AS ks_pvalue FROM ksp", _NUM, _KS),
+    "drf_08_ks": _sql("SELECT feature, ROUND(d, 6) AS ks_stat FROM ksp", _NUM_BOTH, _KS),
+    "drf_09_ks_pvalue": _sql("SELECT feature, ROUND(p, 6) AS ks_pvalue FROM ksp", _NUM_BOTH, _KS),
     "drf_10_chi_square": _sql("SELECT feature, ROUND(stat, 6) AS chi2_stat, dof FROM chi", _CAT, _CHI),
     "drf_11_chi_square_pvalue": _sql(
         "SELECT feature, ROUND(p, 6) AS chi2_pvalue FROM chip", _CAT, _CHI

@@ -27,7 +27,7 @@ SELECT {_DAY} AS evidence_id, event_type AS feature, CASE WHEN event_type = 'vie
 FROM {{events}} GROUP BY {_DAY}, event_type"""
 CANDIDATES = f"""
 SELECT {_DAY} AS evidence_id, max(user_id) AS position, 'user_' || (user_id % 4) AS feature FROM {{events}}
-WHERE {_DAY} % 3 > 0 GROUP BY {_DAY}, user_id % 4"""
+GROUP BY {_DAY}, user_id % 4"""
 FLAT = f"""
 SELECT e.event_id AS response_id, p.evidence_id, 'profile' AS task, 'p' || (e.user_id % 2) AS provider, 'm1' AS model,
   'arm' || (e.user_id % 4) AS arm,
@@ -57,7 +57,7 @@ SELECT e.event_id AS response_id, {_DAY} AS evidence_id,
   'The max of ' || e.event_type || ' is ' || p.max || ', about 1,200 rows; column val_' || e.event_type || ' and max_value drift by −'
   || e.value || ' in 12 cases (0.95), see v1.2.3 and cannot_determine.' AS text
 FROM {{events}} e JOIN ({PROFILE}) p ON p.evidence_id = extract(day FROM e.ts) AND p.name = e.event_type"""
-TEXT_NAMES = f"SELECT DISTINCT {_DAY} AS evidence_id, 'val_' || event_type AS entity FROM {{events}} WHERE {_DAY} % 2 = 0"
+TEXT_NAMES = f"SELECT DISTINCT {_DAY} AS evidence_id, CASE WHEN {_DAY} % 2 = 0 THEN 'val_' ELSE 'other_' END || event_type AS entity FROM {{events}}"
 DOCS = """
 SELECT event_id AS evidence_id, '{{"candidate_leak_columns": ["' || event_type || '", "c' || (user_id % 3) || '"], "row_count": ' || user_id
   || ', "suspicious_metric": {{"name": "auc", "value": 0.999}}, "target_feature_correlations": [{{"feature": "f1", "correlation": '

@@ -231,7 +231,7 @@ ORACLES = {
         capped=CAPPED,
     ),
     "prf_18_warnings": _sql(
-        "SELECT rule, count(*) AS n, array_to_string(list_slice(list(name ORDER BY ordinal), 1, 5), ',') AS names "
+        "SELECT rule, count(*) AS n, array_to_string(list(name ORDER BY ordinal), ',') AS names "
         "FROM fired JOIN ordinals USING (name) GROUP BY rule",
         **_WITH_NUMBERS, **_WITH_TEXTS,
     ).replace(" SELECT rule, count", f", {_WARN} SELECT rule, count", 1),

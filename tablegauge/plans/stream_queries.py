@@ -60,7 +60,7 @@ FROM {events}"""
 FILES = """
 SELECT 'runs/' || user_id AS run_dir, CASE event_id % 41 WHEN 0 THEN 'events.out.tfevents.' || event_id
   WHEN 1 THEN 'files/wandb-history.jsonl' WHEN 2 THEN 'wandb-summary.json' ELSE 'log_' || event_type || '.txt' END AS name
-FROM {events} WHERE user_id % 3 > 0 OR event_id % 41 > 0 AND (user_id % 2 = 0 OR event_id % 41 > 2)"""
+FROM {events}"""
 CALLS = "SELECT event_type, value / 100 AS seconds, event_id % 7 = 0 AS retried FROM {events}"
 
 

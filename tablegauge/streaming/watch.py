@@ -31,15 +31,23 @@ from tablegauge.sources.logs import parse_log_lines
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = T.StructType(
-    [
-        T.StructField("run_id", T.LongType()),
-        T.StructField("rule_id", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("epoch", T.LongType()),
-        T.StructField("measure", T.DoubleType()),
-    ]
-)
+
+
+def output(run_id: T.DataType) -> T.StructType:
+    """The findings' columns for runs identified by this type."""
+    return T.StructType(
+        [
+            T.StructField("run_id", run_id),
+            T.StructField("rule_id", T.StringType()),
+            T.StructField("severity", T.StringType()),
+            T.StructField("epoch", T.LongType()),
+            T.StructField("measure", T.DoubleType()),
+            T.StructField("message", T.StringType()),
+        ]
+    )
+
+
+OUTPUT = output(T.LongType())
 _STATE = T.StructType([T.StructField("state", T.StringType())])
 _EMPTY = {"open": None, "train": [], "val": [], "recent": [], "previous": None, "divergence": None, "nan": None, "seen": []}
 
@@ -54,7 +62,7 @@ def _close(s: dict, snap: dict) -> None:
         if not snap["bad"]:
             s["nan"] = None
         elif s["nan"] is None:
-            s["nan"] = [snap["epoch"]]
+            s["nan"] = [snap["epoch"], ", ".join(snap["bad"])]
     train, val = snap["train"], snap["val"]
     if _finite(train):
         before = s["previous"]
@@ -72,14 +80,16 @@ def _close(s: dict, snap: dict) -> None:
 def _findings(s: dict) -> list[tuple]:
     found = []
     if s["nan"] is not None:
-        found.append(("nan", "error", s["nan"][0], None))
+        found.append(("nan", "error", s["nan"][0], None, f"loss became NaN or infinite: {s['nan'][1]}"))
     if s["divergence"] is not None:
-        found.append(("divergence", "error", *s["divergence"]))
+        epoch, times = s["divergence"]
+        found.append(("divergence", "error", epoch, times, f"train loss jumped {times:.1f} times"))
     last = s["recent"][-1][2] if s["recent"] else None
     if len(s["train"]) > OVERFIT_WINDOW and len(s["val"]) > OVERFIT_WINDOW:
         gap = s["val"][-1] - s["train"][-1]
         if s["train"][-1] < s["train"][0] and s["val"][-1] > s["val"][0] and gap > OVERFIT_GAP:
-            found.append(("overfitting", "warning", last, gap))
+            text = f"train loss fell and validation loss rose over the last {OVERFIT_WINDOW} snapshots"
+            found.append(("overfitting", "warning", last, gap, text))
     if len(s["recent"]) == PLATEAU_WINDOW:
         for side in (1, 0):
             values = [r[side] for r in s["recent"]]
@@ -88,7 +98,8 @@ def _findings(s: dict) -> list[tuple]:
             if all(math.isfinite(v) for v in values):
                 flat = (max(values) - min(values)) / (max(abs(v) for v in values) or 1.0)
                 if flat < PLATEAU_SHARE:
-                    found.append(("plateau", "warning", last, flat))
+                    name = "val" if side else "train"
+                    found.append(("plateau", "warning", last, flat, f"{name} loss is flat over the last {PLATEAU_WINDOW} snapshots"))
             break
     return found
 
@@ -102,17 +113,17 @@ def _losses(metrics: dict) -> dict:
     def first(names):
         return next((by_words[w] for w in ("_".join(sorted(set(n.split("_")))) for n in names) if w in by_words), None)
 
-    values = [v for v, _, loss in metrics.values() if loss]
+    values = [(k, v) for k, (v, _, loss) in metrics.items() if loss]
     return {
         "train": first(TRAIN_LOSS),
         "val": first(VAL_LOSS),
         "has_loss": bool(values),
-        "bad": any(not math.isfinite(v) for v in values),
+        "bad": sorted(k for k, v in values if not math.isfinite(v)),
     }
 
 
 class FollowRuns(StatefulProcessor):
-    """Keeps one fixed-size state per run and yields findings not seen before."""
+    """Keeps one small state per run (the last snapshots, and what was reported) and yields findings not seen before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", _STATE)
@@ -137,10 +148,11 @@ class FollowRuns(StatefulProcessor):
         found = _findings(view)
         seen = {tuple(x) for x in s["seen"]}
         fresh = [f for f in found if f not in seen]
-        s["seen"] = found
+        # what was reported stays known, so a finding that goes and comes back is not repeated
+        s["seen"] = s["seen"] + fresh
         self.state.update((json.dumps(s),))
         if fresh:
-            frame = pd.DataFrame(fresh, columns=["rule_id", "severity", "epoch", "measure"])
+            frame = pd.DataFrame(fresh, columns=["rule_id", "severity", "epoch", "measure", "message"])
             frame.insert(0, "run_id", key[0])
             frame["epoch"] = frame["epoch"].astype("Int64")
             frame["measure"] = frame["measure"].astype("float64")
@@ -168,5 +180,5 @@ def follow(lines: DataFrame) -> DataFrame:
         F.transform(entries, lambda e: M.is_loss(e["key"])).alias("losses"),
     )
     return rows.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=FollowRuns(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=FollowRuns(), outputStructType=output(lines.schema["run_id"].dataType), outputMode="Append", timeMode="None"
     )

@@ -12,30 +12,56 @@ from tablegauge.operators import drift as D
 from tablegauge.session import durable
 
 
+# A feature with more levels than this is no category; the reference of a window must stay a small table.
+MAX_LEVELS = 100_000
+
+
 def reference_bins(reference: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
-    """(feature, edges, ref): bin edges and reference counts per bin, one row per feature."""
+    """(feature, edges, levels, ref), one row per feature.
+
+    A number has bin edges and the reference rows of each bin; a text or an integer of few
+    values has its levels, the rows of each, and one last cell for levels the reference lacks.
+    """
     tables = D.drift_tables(reference, reference, features, bins)
-    edges = D.bin_edges(tables)
+    listed = D.level_counts(tables).where("ref > 0")
+    most = listed.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if most is not None and most > MAX_LEVELS:
+        raise ValueError(f"a feature has {most} levels, more than {MAX_LEVELS}")
+    cells = F.array_sort(F.collect_list(F.struct("level", "ref")))
+    levels = listed.groupBy("feature").agg(cells.alias("cells")).select(
+        "feature",
+        F.lit(None).cast("array<double>").alias("edges"),
+        F.col("cells")["level"].alias("levels"),
+        F.concat(F.col("cells")["ref"], F.array(F.lit(0).cast("long"))).alias("ref"),
+    )
+    edges = D.bin_edges(tables).join(levels.select("feature"), "feature", "left_anti")
     counts = D.histogram(tables, edges).groupBy("feature").agg(
         F.array_sort(F.collect_list(F.struct("bin", "ref"))).alias("cells")
     )
-    return durable(edges.join(counts, "feature").select("feature", "edges", F.col("cells")["ref"].alias("ref")))
+    numbers = edges.join(counts, "feature").select(
+        "feature", "edges", F.lit(None).cast("array<string>").alias("levels"), F.col("cells")["ref"].alias("ref")
+    )
+    return durable(numbers.unionByName(levels))
 
 
 def window_bins(current: DataFrame, reference: DataFrame, ts: str, width: str) -> DataFrame:
     """Rows per (window, feature, bin) of current rows; works on a stream.
 
     ``reference`` is the one-row-per-feature table of ``reference_bins``, so its
-    broadcast is bounded by the column count. Bin 0 holds values outside.
+    broadcast is bounded by the column count and ``MAX_LEVELS``. Bin 0 holds values outside
+    a number's edges.
     """
     names = [c for c in current.columns if c != ts]
-    long = C.long_form(current, names, "double", keep=[ts])
-    x = F.col("value")
+    long = C.long_form(current, names, "string", keep=[ts])
+    x = F.col("value").try_cast("double")
     reached = F.size(F.filter("edges", lambda e: e <= x))
     inside = (reached >= 1) & (x <= F.element_at("edges", -1))
     number = F.when(inside, F.least(reached, F.size("edges") - 1)).otherwise(0)
-    joined = long.join(F.broadcast(reference.select("feature", "edges")), "feature")
-    return joined.groupBy(F.window(ts, width).alias("window"), "feature", number.alias("bin")).agg(
+    place = F.array_position("levels", F.col("value")).cast("int")
+    level = F.when(place > 0, place).otherwise(F.size("levels") + 1)
+    cell = F.when(F.col("levels").isNull(), number).otherwise(level)
+    joined = long.join(F.broadcast(reference.select("feature", "edges", "levels")), "feature")
+    return joined.groupBy(F.window(ts, width).alias("window"), "feature", cell.alias("bin")).agg(
         F.count(F.lit(1)).alias("cur")
     )
 

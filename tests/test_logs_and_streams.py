@@ -86,12 +86,13 @@ def test_scalars_pivot(spark):
     assert got[5].metrics == {"loss": 0.5} and got[5].epoch == 2 and got[6].metrics == {} and got[None].metrics == {"acc": 0.1}
 
 
-def test_follow_equals_batch_at_the_end_and_reports_once(spark, tmp_path):
+@pytest.mark.parametrize("runs", [(1, 2), ("logs/a.txt", "logs/b.txt")])
+def test_follow_equals_batch_at_the_end_and_reports_once(spark, tmp_path, runs):
     lines = [f"Epoch {i // 2} train_loss={1 - i * 0.01}" if i % 2 else f"Epoch {i // 2} val_loss={1 + i * 0.01}" for i in range(12)]
     lines += ["Epoch 6 train_loss=400.0", "Epoch 7 train_loss=nan", "Epoch 8 train_loss=nan"]
-    schema = "run_id long, line_no long, line string"
+    schema = f"run_id {'long' if runs == (1, 2) else 'string'}, line_no long, line string"
     for part, cut in enumerate(([0, 5], [5, 9], [9, 15])):
-        rows = [(r, i, lines[i]) for r in (1, 2) for i in range(*cut)]
+        rows = [(r, i, lines[i]) for r in runs for i in range(*cut)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
@@ -108,8 +109,8 @@ def test_follow_equals_batch_at_the_end_and_reports_once(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out"))
     columns = ["run_id", "rule_id", "epoch"]
     streamed = [tuple(r) for r in found.select(*columns).collect()]
-    assert len(streamed) == len(set(streamed))
-    whole = spark.createDataFrame([(r, i, x) for r in (1, 2) for i, x in enumerate(lines)], schema)
+    assert len(streamed) == len(set(streamed)) and found.where("message IS NULL").isEmpty()
+    whole = spark.createDataFrame([(r, i, x) for r in runs for i, x in enumerate(lines)], schema)
     batch = S.all_findings(S.merge_epochs(logs.parse_log_lines(whole))).select(*columns)
     assert {tuple(r) for r in batch.collect()} <= set(streamed)
 
@@ -132,3 +133,13 @@ def test_windowed_drift_stream_equals_batch(spark, tmp_path):
     closed = {(r.window_start, r.feature): round(r.psi, 9) for r in got}
     assert closed and all(want[k] == v for k, v in closed.items())
     assert len(closed) >= len(want) - 1
+
+
+def test_windowed_drift_of_text_and_few_integers(spark):
+    rows = [(f"2024-01-{d:02d} 00:00:00", "ab"[(d + i) % 2] if d < 8 else "abz"[i % 3], i % 4) for d in range(1, 10) for i in range(60)]
+    events = spark.createDataFrame(rows, "ts string, name string, kind long").withColumn("ts", F.col("ts").cast("timestamp"))
+    reference = windowed_drift.reference_bins(events.where("ts < '2024-01-08'"), ["name", "kind"])
+    binned = windowed_drift.window_bins(events, reference, "ts", "1 day")
+    got = {(str(r.window_start)[:10], r.feature): r for r in windowed_drift.window_drift(binned, reference).collect()}
+    assert len(got) == 18 and all(r.cur_rows == 60 for r in got.values())
+    assert got["2024-01-02", "name"].psi < 0.01 < 0.3 < got["2024-01-09", "name"].psi and got["2024-01-09", "kind"].psi < 0.01

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablegauge.operators import order_stats as O
@@ -13,19 +14,21 @@ def _frame(spark, n=500):
     return spark.createDataFrame(rows, "feature string, value double")
 
 
-def test_both_prefix_paths_agree(spark):
+def test_running_totals_equal_a_plain_window(spark):
     counts = O.value_counts(_frame(spark))
-    one = O.running_totals(counts, ["feature"], "value", ["n"])
-    two = O.running_totals(counts, ["feature"], "value", ["n"], one_task_rows=0)
-    key = lambda r: (r.feature, r.value)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.select(*one.columns).collect()))
-    assert len({key(r) for r in two.collect()}) == two.count()
+    by = Window.partitionBy("feature")
+    smaller = by.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    plain = counts.select(
+        "feature", "value", "n", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("before_n"), F.sum("n").over(by).alias("total_n")
+    )
+    got = O.running_totals(counts, ["feature"], "value", ["n"]).select(*plain.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_quantiles_match_numpy(spark):
     df = _frame(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    totals = O.running_totals(O.value_counts(df), ["feature"], "value", ["n"], reused=True, one_task_rows=0)
+    totals = O.running_totals(O.value_counts(df), ["feature"], "value", ["n"], reused=True)
     got = {r.feature: r.q for r in O.quantiles(totals, probs).collect()}
     pdf = df.toPandas()
     for feature, part in pdf.groupby("feature"):

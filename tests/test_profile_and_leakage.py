@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tablegauge.operators import drift as D
 from tablegauge.operators import leakage as L
 from tablegauge.operators import profile as P
 
@@ -71,3 +73,24 @@ def test_match_rate_counts_missing_as_mismatch_for_labels_only(spark):
     assert L.match_rate(df, "t", "p", "binary_classification").first().match_rate == 0.5
     nums = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "t double, p double")
     assert L.match_rate(nums, "t", "p", "regression").first().match_rate == 1.0
+
+
+def test_large_integers_and_decimals_stay_apart(spark):
+    big = 1 << 60
+    rows = [(big + i % 2, big + i, f"{i % 3}.10") for i in range(1000)]
+    df = spark.createDataFrame(rows, "two long, many long, d string").withColumn("d", F.col("d").cast("decimal(20,2)"))
+    tables = P.ProfileTables(df)
+    assert {r.name: r.levels for r in P.number_levels(tables).collect()} == {"two": 2, "many": 1000, "d": 3}
+    types = P.column_types(tables)
+    assert {r.value for r in P.top_values(tables, types).where("name = 'two'").collect()} == {str(big), str(big + 1)}
+    levels = D.level_counts(D.drift_tables(df.select("two"), df.select("two")))
+    assert {(r.level, r.ref, r.cur) for r in levels.collect()} == {(str(big), 500, 500), (str(big + 1), 500, 500)}
+
+
+def test_all_names_and_candidates_are_returned(spark):
+    wide = spark.range(200).select(*[F.when(F.col("id") % 4 == 0, F.col("id")).alias(f"c{k:02d}") for k in range(12)])
+    warned = {r.rule: r.names for r in P.column_warnings(P.profile(P.ProfileTables(wide))).collect()}
+    assert len(warned["mostly_missing"]) == 12
+    leaks = spark.range(200).select(F.col("id").alias("y"), *[(F.col("id") * (k + 1)).alias(f"x{k:02d}") for k in range(13)])
+    evidence = L.strongest(L.LeakageTables(leaks, "y"), None)
+    assert L.candidate_leaks(evidence).count() == 13
