@@ -284,6 +284,10 @@ def multiclass_metrics(classes: DataFrame) -> DataFrame:
     )
 
 
+# The side of the largest dense confusion matrix.
+MOST_LABELS = 2000
+
+
 def label_order(label: Column) -> tuple[Column, Column, Column]:
     """Sort keys of labels kept as text: numbers by value, then text."""
     number = label.try_cast("double")
@@ -293,11 +297,16 @@ def label_order(label: Column) -> tuple[Column, Column, Column]:
 def dense_confusion(cells: DataFrame) -> DataFrame:
     """Every (truth, prediction) pair of labels with its count, zeros included.
 
-    The label set is an array of one row: it is as large as the matrix's side.
+    The label set is an array of one row: it is as large as the matrix's side, and more than
+    ``MOST_LABELS`` labels are refused. ``cells`` alone holds what occurs.
     """
     labels = cells.agg(
         F.array_distinct(F.flatten(F.array(F.collect_set("t"), F.collect_set("p")))).alias("labels")
     )
+    few = F.when(F.size("labels") <= MOST_LABELS, F.col("labels")).otherwise(
+        F.raise_error(F.lit(f"more than {MOST_LABELS} labels")).cast("array<string>")
+    )
+    labels = labels.select(few.alias("labels"))
     grid = labels.select("labels", F.explode("labels").alias("t")).select("t", F.explode("labels").alias("p"))
     return grid.join(cells, ["t", "p"], "left").select("t", "p", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tablegauge.session import durable
 
 
+# The most rows of wanted positions that are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def value_counts(long: DataFrame, group: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
     """Rows per distinct value and group."""
     return long.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
@@ -85,8 +89,11 @@ def quantiles(
         .distinct()
     )
     covers = (F.col("_at") >= F.col(f"before_{n}")) & (F.col("_at") < F.col(f"before_{n}") + F.col(n))
-    # Two rows per quantile and group, so the broadcast is bounded by the column count.
-    hits = totals.where(F.col(n) > 0).join(F.broadcast(wanted), list(group)).where(covers)
+    # Few groups, as columns are, would meet in few tasks: their wanted positions are broadcast. Many groups
+    # make a large list, but spread well when shuffled.
+    wanted = durable(wanted)
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = totals.where(F.col(n) > 0).join(F.broadcast(wanted) if few else wanted, list(group)).where(covers)
     ends = hits.groupBy(*group, "i", "part").agg(
         F.min("value").alias("low"), F.max("value").alias("high")
     )

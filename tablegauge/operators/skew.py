@@ -36,20 +36,20 @@ def hot_key_join(
     weight: str,
     total: str,
     how: str = "inner",
-    salts: int = SALTS,
     share: float = 0.001,
 ) -> DataFrame:
     """Join rows to a large ``lookup`` that knows how many rows each key has.
 
-    Only keys with more than ``share`` of ``total`` are salted and repeated. There
-    are at most 1 / share of them per total, so their list can be broadcast.
+    Only keys with more than ``share`` of ``total`` are salted and repeated, each over as many
+    salts as it holds shares, so no salt holds more than one. There are at most 1 / share such
+    keys per total, and 1 / share salts in all, so their list can be broadcast.
     """
-    hot = F.col(weight) > F.col(total) * F.lit(share)
-    hot_keys = lookup.where(hot).select(*keys, F.lit(True).alias("_hot"))
+    held = F.col(weight) / (F.col(total) * F.lit(share))
+    salts = F.when(held > 1, F.ceil(held).cast("int")).otherwise(1)
+    hot_keys = lookup.where(held > 1).select(*keys, salts.alias("_salts"))
     marked = rows.join(F.broadcast(hot_keys), list(keys), "left")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
-    all_salts = F.array(*[F.lit(i) for i in range(salts)])
-    repeated = lookup.withColumn("_salt", F.explode(F.when(hot, all_salts).otherwise(F.array(F.lit(0)))))
-    return marked.withColumn("_salt", salt).drop("_hot").join(
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return marked.withColumn("_salt", salt).drop("_salts").join(
         repeated.drop(weight, total), [*keys, "_salt"], how
     ).drop("_salt")

@@ -57,6 +57,11 @@ SELECT event_id AS run_id, CASE event_id % 4
   WHEN 2 THEN '{{"metrics": [{{"loss": '
   ELSE '{{"config": {{"lr": ' || value || '}}}}' END AS text
 FROM {events}"""
+DETAILS = """
+SELECT event_id AS run_id, CASE event_id % 3
+  WHEN 0 THEN '{{"name": "' || event_type || '", "created": "2024-01-0' || (1 + user_id % 9) || '", "config": {{}}}}'
+  WHEN 1 THEN '[{{"loss": 1}}]' ELSE '{{"name": null}}' END AS text,
+  CASE WHEN event_id % 5 = 0 THEN 'note ' || user_id END AS notes FROM {events}"""
 FILES = """
 SELECT 'runs/' || user_id AS run_dir, CASE event_id % 41 WHEN 0 THEN 'events.out.tfevents.' || event_id
   WHEN 1 THEN 'files/wandb-history.jsonl' WHEN 2 THEN 'wandb-summary.json' ELSE 'log_' || event_type || '.txt' END AS name
@@ -177,6 +182,9 @@ def _windowed(spark, folder):
 QUERIES = {
     "src_03_run_records": lambda s, f: run_source.run_metrics(derive(s, f, RECORDS)),
     "src_03_run_config": lambda s, f: run_source.run_config(derive(s, f, RECORDS)),
+    "src_03_run_details": lambda s, f: run_source.run_details(
+        derive(s, f, DETAILS).select("run_id", "text"), derive(s, f, DETAILS).where("notes IS NOT NULL").select("run_id", "notes")
+    ),
     "src_04_tracker_history": lambda s, f: logs.parse_history(derive(s, f, HISTORY)).select(
         "run_id", "seq", "epoch", "step", F.explode_outer("metrics").alias("metric", "value")
     ),
@@ -217,6 +225,10 @@ SELECT event_id AS run_id, u.seq, u.metric, u.value FROM events, LATERAL (SELECT
     "src_03_run_config": """
 SELECT event_id AS run_id, u.key, u.value FROM events, LATERAL (SELECT * FROM (VALUES (0, 'lr', '0.1'),
   (0, 'opt', event_type), (3, 'lr', CAST(value AS VARCHAR))) AS t(m, key, value) WHERE m = event_id % 4) u""",
+    "src_03_run_details": """
+SELECT event_id AS run_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS name,
+  CASE WHEN event_id % 3 = 0 THEN '2024-01-0' || (1 + user_id % 9) END AS created,
+  CASE WHEN event_id % 5 = 0 THEN 'note ' || user_id END AS notes FROM events""",
     "src_04_tracker_history": """
 SELECT user_id AS run_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN event_id % 9 END AS epoch,
   CASE WHEN event_id % 6 < 2 THEN event_id END AS step, u.metric, u.value

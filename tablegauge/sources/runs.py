@@ -34,3 +34,17 @@ def run_config(records: DataFrame) -> DataFrame:
     """(run_id, key, value) of the settings under "config", values as text."""
     config = F.from_json("text", "struct<config:map<string,string>>")["config"]
     return records.select("run_id", F.explode(config).alias("key", "value"))
+
+
+def read_run_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, notes) of one text file per run; the folder names the run."""
+    return read_run_records(spark, path).withColumnRenamed("text", "notes")
+
+
+def run_details(records: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """(run_id, name, created, notes) of every record; a bare history has no name, a run may have no notes."""
+    fields = F.from_json("text", "struct<name:string,created:string>")
+    rows = records.select("run_id", fields["name"].alias("name"), fields["created"].alias("created"))
+    if notes is None:
+        return rows.withColumn("notes", F.lit(None).cast("string"))
+    return rows.join(notes.select("run_id", "notes"), "run_id", "left")

@@ -97,6 +97,9 @@ def test_file_sources(spark, tmp_path):
         (tmp_path / "runs" / run / "run.json").write_text(text)
     records = runs.read_run_records(spark, str(tmp_path / "runs/*/run.json"))
     assert sorted((r.run_id, r.seq, r.value) for r in runs.run_metrics(records).collect()) == [("r1", 0, 1.0), ("r1", 1, 0.5), ("r2", 0, 2.0)]
+    (tmp_path / "runs" / "r1" / "notes.md").write_text("tuned\n")
+    details = runs.run_details(records, runs.read_run_notes(spark, str(tmp_path / "runs/*/notes.md")))
+    assert sorted((r.run_id, r.name, r.notes) for r in details.collect()) == [("r1", None, "tuned\n"), ("r2", None, None), ("r3", None, None)]
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_text("Epoch 1 loss=2.0\r\nEpoch 2 loss=1.0\n")
     assert [r.epoch for r in logs.parse_log_lines(logs.read_lines(spark, str(tmp_path / "logs"))).orderBy("seq").collect()] == [1, 2]
