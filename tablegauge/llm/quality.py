@@ -5,6 +5,12 @@ histograms of all its documents; a document is compared to the reference of its
 that of all documents where the language is null. Its verdict is the Jensen-Shannon distance (the root
 of the divergence, base 2) of each histogram against a limit; a histogram with too few counts is not judged.
 
+``word_distance`` compares the common words among themselves; ``vocabulary_distance`` has one bin more, for all
+other words, and judges every text of ``LEAST_WORDS`` words, most of all one without common words. Its limit comes from the language's own
+texts of a like length (within a factor of two): the median of distance times root of the word count, plus ``MOST_SPREAD`` standard deviations, taken
+from the lower quartile, which texts that diverge do not move. Fewer than ``LEAST_TEXTS`` such texts take the limit of
+the whole language, then of all documents.
+
 Everything is one expression over the text: words and lines are arrays of a row, repeated windows are
 found by sorting (hash, place) pairs inside the row, and only counts leave it.
 
@@ -23,7 +29,10 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 # A histogram with fewer counts is not judged.
 LEAST_CHARS, LEAST_COMMON = 200, 20
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.75
-MAX_LANGUAGES = 500
+# Spread of vocabulary distances: texts that a limit needs, standard deviations, and the width of a counted step.
+LEAST_TEXTS, MOST_SPREAD, STEP = 20, 3.5, 0.01
+# Up to so many languages the references and limits are broadcast.
+FEW_LANGUAGES = 500
 WORD_GAP = r"[\x20\x09-\x0D]+"
 # Characters of each class, and frequent words of four languages.
 CLASSES = {
@@ -128,17 +137,43 @@ def measured(docs: DataFrame) -> DataFrame:
     return counted.withColumn("classes", F.concat("classes", F.array(F.greatest(rest, F.lit(0).cast("long"))))).drop("chars")
 
 
-def references(rows: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
-    """Pooled histograms by language, and of all documents under None."""
+def references(rows: DataFrame) -> DataFrame:
+    """Pooled histograms by language (lang, class_sums, common_sums, other_sum), and of all documents under null."""
     sizes = {"classes": len(CLASSES) + 1, "common": len(set(COMMON))}
-    sums = [F.array(*[F.sum(F.col(c)[k]) for k in range(n)]).alias(c) for c, n in sizes.items()]
+    total = F.aggregate("common", F.lit(0).cast("long"), lambda a, n: a + n)
+    sums = [F.sum(F.col("classes")[k]) for k in range(sizes["classes"])], [F.sum(F.col("common")[k]) for k in range(sizes["common"])]
+    pooled = [F.array(*sums[0]).alias("class_sums"), F.array(*sums[1]).alias("common_sums"), F.sum(F.col("n_words") - total).alias("other_sum")]
     some = rows.where("n_words > 0")
-    pooled = some.where("lang is not null").groupBy("lang").agg(*sums).limit(MAX_LANGUAGES + 1).collect()
-    if len(pooled) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    whole = some.agg(*sums).first()
-    out = {row["lang"]: (row["classes"], row["common"]) for row in pooled}
-    return out | {None: (whole["classes"], whole["common"])}
+    whole = some.agg(*pooled).select(F.lit(None).cast("string").alias("lang"), "class_sums", "common_sums", "other_sum")
+    return some.where("lang is not null").groupBy("lang").agg(*pooled).unionByName(whole)
+
+
+def _by_language(rows: DataFrame, table: DataFrame, few: bool, *more: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` for its lang (null is one) and the columns ``more``."""
+    table = table.withColumnsRenamed({c: f"_{c}" for c in ("lang", *more)})
+    same = F.col("lang").eqNullSafe(F.col("_lang"))
+    for c in more:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(F.broadcast(table) if few else table, same, "left").drop("_lang", *[f"_{c}" for c in more])
+
+
+def limits(rows: DataFrame) -> DataFrame:
+    """(lang, band, most_scaled): the largest vocabulary distance times root of n_words that is not far, by language and length."""
+    judged_rows = rows.where("scaled is not null")
+    steps = durable(judged_rows.groupBy("lang", "band", F.round(F.col("scaled") / STEP).alias("step")).agg(F.count("*").alias("n")))
+
+    def limit(counts, name: str) -> DataFrame:
+        # exact, from counts: the same in every run
+        q = counts.agg(F.percentile("step", [0.25, 0.5], F.col("n")).alias("q"), F.sum("n").alias("n_texts"))
+        spread = (F.col("q")[1] - F.col("q")[0]) / 0.6745
+        most = F.when(F.col("n_texts") >= LEAST_TEXTS, STEP * (F.col("q")[1] + MOST_SPREAD * spread))
+        return q.withColumn(name, most).drop("q", "n_texts")
+
+    everywhere = limit(steps.groupBy(), "_all")
+    by_lang = limit(steps.groupBy("lang"), "_own").withColumnRenamed("lang", "_of")
+    by_band = limit(steps.groupBy("lang", "band"), "_like")
+    named = by_band.join(by_lang, F.col("lang").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(everywhere))
+    return named.select("lang", "band", F.coalesce("_like", "_own", "_all").alias("most_scaled"))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -158,30 +193,40 @@ def distance(counts: Column, reference: Column) -> Column:
 def judged(
     docs: DataFrame, most_char_distance: float = MOST_CHAR_DISTANCE, most_word_distance: float = MOST_WORD_DISTANCE
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, char_distance and word_distance (null where not judged) of every document."""
+    """doc_id, the base counts, base_failed, kept, char_distance, word_distance and vocabulary_distance (null where not judged) of every document."""
     rows = durable(measured(docs))
-    known = references(rows)
-
-    def lookup(k: int) -> Column:
-        def numbers(values):
-            return F.split(F.lit(",".join(str(v or 0) for v in values)), ",").cast("array<double>")
-
-        choice = F.when(F.lit(False), numbers(known[None][k]))
-        for lang, histograms in sorted((x for x in known.items() if x[0] is not None), key=lambda x: x[0]):
-            choice = choice.when(F.col("lang") == lang, numbers(histograms[k]))
-        return choice.otherwise(numbers(known[None][k]))
+    known = durable(references(rows))
+    few = known.count() <= FEW_LANGUAGES
 
     def total(column: str) -> Column:
         return F.aggregate(column, F.lit(0).cast("long"), lambda a, n: a + n)
 
-    chars = F.when(total("classes") >= LEAST_CHARS, distance(F.col("classes"), lookup(0)))
-    common = F.when(total("common") >= LEAST_COMMON, distance(F.col("common"), lookup(1)))
+    rows = _by_language(rows, known, few)
+    chars = F.when(total("classes") >= LEAST_CHARS, distance(F.col("classes"), F.col("class_sums")))
+    common = F.when(total("common") >= LEAST_COMMON, distance(F.col("common"), F.col("common_sums")))
+    words = F.concat("common", F.array(F.col("n_words") - total("common")))
+    vocabulary = F.when(
+        F.col("n_words") >= LEAST_WORDS, distance(words, F.concat("common_sums", F.array("other_sum")))
+    )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    rows = rows.select("*", failed.alias("base_failed"), chars.alias("char_distance"), common.alias("word_distance"))
-    far = F.coalesce(F.col("char_distance") > most_char_distance, F.lit(False)) | F.coalesce(
-        F.col("word_distance") > most_word_distance, F.lit(False)
+    rows = durable(
+        rows.select(
+            *[c for c in rows.columns if c not in ("classes", "common", "class_sums", "common_sums", "other_sum")],
+            failed.alias("base_failed"),
+            chars.alias("char_distance"),
+            common.alias("word_distance"),
+            vocabulary.alias("vocabulary_distance"),
+        )
+        .withColumn("scaled", F.col("vocabulary_distance") * F.sqrt("n_words"))
+        .withColumn("band", F.when(F.col("n_words") > 0, F.length(F.bin("n_words"))).otherwise(0))
+    )
+    rows = _by_language(rows, limits(rows), few, "band")
+    far = (
+        F.coalesce(F.col("char_distance") > most_char_distance, F.lit(False))
+        | F.coalesce(F.col("word_distance") > most_word_distance, F.lit(False))
+        | F.coalesce(F.col("scaled") > F.col("most_scaled"), F.lit(False))
     )
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance",
+        (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance", "vocabulary_distance",
     )

@@ -73,3 +73,19 @@ def test_odd_rows(spark):
     got = [(r.doc_id, r.n_words, r.n_repeat_words) for r in quality.judged(docs).collect()]
     assert sorted(got, key=str) == [(1, 1, 0), (1, 1, 0), (None, 200000, 200000)]
     assert quality.judged(docs.limit(0)).count() == 0
+
+
+def test_texts_without_common_words_are_far(spark):
+    draw = random.Random(10)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randrange(2, 7))) for _ in range(900)]
+    names = sorted(set(quality.COMMON))
+    plain = [" ".join(draw.choices(vocabulary + names * 5, k=draw.randrange(150, 250))) for _ in range(60)]
+    none = [" ".join(draw.choices([w for w in vocabulary if w not in names], k=n)) for n in (150, 240)]
+    langs = [*["en"] * 62, *[f"l{k}" for k in range(600)]]
+    got = run(spark, list(zip(range(662), [*plain, *none, *["a b"] * 600], langs)))
+    words = [Counter(w.lower() for w in WORD.findall(t)) for t in [*plain, *none]]
+    bins = [[*(c[n] for n in names), sum(c.values()) - sum(c[n] for n in names)] for c in words]
+    pooled = [sum(x) for x in zip(*bins)]
+    assert all(math.isclose(got[i].vocabulary_distance, jensen_shannon(b, pooled), abs_tol=1e-9) for i, b in enumerate(bins))
+    assert [i for i in range(60) if not got[i].kept] == []
+    assert not any(got[i].kept or got[i].base_failed for i in (60, 61)) and got[61].word_distance is None
