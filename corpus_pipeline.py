@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm import language, minhash, mixing, pieces, secrets
-from tablegauge.session import shared_folder
+from tablegauge.session import durable, shared_folder
 
 # A text is rejected if no language is sure to this degree.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -27,10 +27,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(sure).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_node``: doc_id, and for rows without an id or that repeat one a number above all ids."""
+    repeated = durable(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_id is null or _n > 1").select("_id"))
+    named = docs.withColumn("_node", F.col("doc_id").cast("long"))
+    if repeated.isEmpty():
+        return named
+    same = docs["doc_id"].eqNullSafe(F.col("_id"))
+    odd = durable(docs.join(repeated, same, "left_semi"))
+    most = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0)).alias("most")).first()["most"]
+    # numbered once and stored: the same number wherever the row is read again
+    odd = durable(odd.withColumn("_node", F.monotonically_increasing_id() + F.lit(most + 1)))
+    return named.join(repeated, same, "left_anti").unionByName(odd)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest document of each near-duplicate group."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(docs.columns)
+    """Keep one document of each near-duplicate group: the smallest id, a row with a sole id before others.
+
+    Rows without an id and rows that repeat one are compared like any other.
+    """
+    rows = _numbered(docs)
+    found = minhash.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
+    return rows.join(kept, F.col("_node") == F.col("_kept"), "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

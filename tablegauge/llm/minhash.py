@@ -256,6 +256,7 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
         has = np.zeros((len(sets), 4096), np.float32)
         has[row[some], at[some] - low] = 1
         both += has[left] @ has[right].T
+    both = both.astype(np.int64)  # counts of up to 2^24 are exact in float32, a hundred times them are not
     union = sizes[left][:, None] + sizes[right][None] - both
     i, j = np.nonzero((100 * both >= percent * union) & (nodes[left][:, None] != nodes[right][None]))
     a, b = nodes[left[i]], nodes[right[j]]

@@ -76,3 +76,11 @@ def test_stages_on_odd_rows(spark):
 def test_mixing_carries_rows(spark):
     docs = spark.createDataFrame([(1, "a", "x", "s", 1), (2, "b", "x", "t", 2)], COLUMNS)
     assert {tuple(r.row) for r in mixing.mixed(docs, whole=True).collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_copies_without_an_id_or_with_a_repeated_one_leave_one_row(spark):
+    long = [" ".join(f"{w}{k}" for k in range(60)) for w in "abcd"]
+    rows = [(None, long[0]), (None, long[0]), (3, long[1]), (3, long[1]), (3, long[2]), (None, long[2]), (7, long[3]), (None, long[3] + " end"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], COLUMNS)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(out) == 5 and {t for _, t in out} == {*long, None} and (7, long[3]) in out
