@@ -9,7 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablegauge.llm import language, minhash, mixing, pieces, secrets
@@ -58,14 +59,36 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents, all of them, in the order of the mixing schedule."""
+    """Put the documents, all of them, in the order of the mixing schedule; ``encode`` reads their places from the written files."""
     placed = mixing.mixed(docs, whole=True).select("position", "row")
     return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``, from 0 without gaps: the order of its numbered part files and of the rows in each.
+
+    Readers pack files by size, so the order is taken from file names and row numbers. A table that is not
+    read from part files is in the order of its partitions.
+    """
+    files = docs.inputFiles() and F.col("_metadata.file_name")
+    try:
+        rows = docs.select("*", F.regexp_extract(files, r"^part-(\d+)", 1).try_cast("long").alias("_part"), files.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except (AnalysisException, AttributeError, TypeError):
+        place = F.monotonically_increasing_id()
+        rows = durable(docs.select("*", F.shiftright(place, 33).alias("_part"), F.lit("").alias("_file"), place.bitwiseAND((1 << 33) - 1).alias("_row")))
+    sizes = rows.groupBy("_part", "_file").agg(F.count("*").alias("_n"))
+    # a row per file
+    before = Window.partitionBy(F.lit(0)).orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_part").alias("_p"), F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = F.col("_part").eqNullSafe(F.col("_p")) & (F.col("_file") == F.col("_f"))
+    return rows.join(F.broadcast(offsets), same).select(*docs.columns, (F.col("_offset") + F.col("_row")).alias("position"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, n_bytes, round_trip and ids of every document."""
-    return pieces.encoded(docs)
+    """doc_id, n_pieces, n_bytes, round_trip, ids and position (the place in the mixing schedule) of every document."""
+    rows = in_order(docs).select(F.struct("doc_id", "position").alias("doc_id"), "text")
+    found = pieces.encoded(rows)
+    return found.select("doc_id.doc_id", *[c for c in found.columns if c != "doc_id"], "doc_id.position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -84,3 +84,14 @@ def test_copies_without_an_id_or_with_a_repeated_one_leave_one_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], COLUMNS)
     out = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert len(out) == 5 and {t for _, t in out} == {*long, None} and (7, long[3]) in out
+
+
+def test_the_last_stage_returns_the_schedule(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 10 == 0], 1) for i in range(3000)], COLUMNS)
+    want = {r.doc_id: r.position for r in mixing.mixed(docs).collect()}
+    corpus_pipeline.mix(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    got = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mix"), "").collect()
+    assert {r.doc_id: r.position for r in got} == want and sorted(want.values()) == list(range(3000))
+    share = 10 / (10 + 85)  # blocks of both sources, which end in the first cycle
+    order = [r.doc_id % 10 == 0 for r in sorted(got, key=lambda r: r.position)]
+    assert all(abs(sum(order[:n]) - share * n) <= 2 * mixing.BLOCK_ROWS for n in range(0, 3001, 50))
