@@ -59,3 +59,15 @@ def test_empty_table_and_long_text(spark):
     docs = spark.createDataFrame([(None, "word " * 100000 + "token=abcdefghijklmnop"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert sorted(r.n_assign for r in secrets.report(docs).collect()) == [0, 0, 1]
     assert secrets.report(docs.limit(0)).count() == 0
+
+
+def test_ordinary_text_beside_a_secret_does_not_hide_it(spark, table):
+    key, short, hexes = "x9Kq2LmZt7PwVb4RnYc8", "Lk8Pw4Vb1Nc6Xm3Q", "0123456789abcdef" * 2
+    before = ["/the/other/thinghere/and/the/station/", "internationally-hereandthere-theothering-nation="]
+    texts = [f"a {b}{key} z" for b in before] + [f"a {short} z", f"a {short}{hexes}{short} z", f"a {key}/the/other/thinghere/and/the/station/{key} z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.report(docs, table).collect():
+        text = texts[r.doc_id]
+        hidden = {i for s in r.spans.split(",") if s for i in range(*map(int, s.split(":")[1:]))}
+        want = {i for m in re.finditer(f"{key}|{short}|{hexes}", text) for i in range(m.start(), m.end())}
+        assert len(want - hidden) <= 2 and len(hidden - want) <= 4, (text, r.spans)
