@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of HTML.
-UNSEEN = "script style noscript template textarea select iframe svg math object canvas audio video title button"
+RAW = "script style textarea title iframe"
+UNSEEN = "noscript template select svg canvas audio video button annotation annotation-xml"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "object math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mstyle mtable mtr mtd mpadded mphantom".split()
 )
+# Their tags end the block that an unseen element without an end tag stands in.
+BLOCK = "address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h[1-6] header html li main nav ol p pre section table tbody td th tr ul"
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|comments?|commentlist|respond|disqus|replies|cookies?|consent|notices?|alert|"
@@ -37,9 +41,15 @@ FURNITURE = re.compile(
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body-?text)(?:$|[\s_-])", re.I)
 
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
+_IN_BLOCK = rf"(?:(?!</?(?:{'|'.join(BLOCK.split())})\b).)*"
+_UNSEEN = rf"(?:{'|'.join(UNSEEN.split())})(?![\w-])"
+# Raw text goes to its end tag; a self-closed unseen element is empty; others go to their end tag, or without one of their own to the block's end.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNSEEN.split()) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<{_UNSEEN}{_ATTRIBUTES}(?<=/)>"
+    rf"|<({_UNSEEN}){_ATTRIBUTES}>(?:(?:(?!<\2\b).)*?</\2\s*>|{_IN_BLOCK}?</\2\s*>|{_IN_BLOCK})"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<[!?][^>]*>",
     re.I | re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -193,7 +203,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if m.start() > at:
             put(page[at : m.start()])
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(4)
         if tag is None:
             continue
         tag = tag.lower()
@@ -201,13 +211,13 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             pieces.append(" ")
         elif tag in INLINE:
             if tag == "a":
-                links = max(links + (-1 if m.group(2) else 1), 0)
+                links = max(links + (-1 if m.group(3) else 1), 0)
         else:
             close()
-            if tag in VOID or tag == "p" or m.group(4).endswith("/"):
+            if tag in VOID or tag == "p" or m.group(5).endswith("/"):
                 continue
-            if not m.group(2):
-                a, f = _marks(tag, m.group(4), article > 0)
+            if not m.group(3):
+                a, f = _marks(tag, m.group(5), article > 0)
                 stack.append((tag, a, f))
                 article, furniture, links = article + a, furniture + f, 0
             elif any(t == tag for t, _, _ in stack):

@@ -52,3 +52,17 @@ def test_frames(spark):
     got = sorted((tuple(r) for r in article.extracted(pages).collect()), key=str)
     assert len(got) == 6 and (1, "u", "", 0) in got and (2, None, "", 0) in got and got.count((3, "v", "x", 1)) == 2
     assert article.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<p>One <svg class="i"/> two.</p><p>Three words here.</p>', "One two. Three words here."),
+        ("<p>One <svg><path d='x'/><text>no</text></svg> two.</p>", "One two."),
+        ("<p>One.</p><div><button>More</div><p>Three words.</p>", "One. Three words."),
+        ("<p>One <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two <object>shown</object>.</p>", "One x=2 two shown."),
+        ("<p>One.</p><select><option>no</select><template><p>no</p></template><p>Two.</p><script>var t = '<p>no'", "One. Two."),
+    ],
+)
+def test_unseen_elements_end(body, text):
+    assert article.main_text(page(f"<article>{body}</article>")) == text
