@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablegauge.llm import article, language, minhash, mixing, pieces, quality, secrets, spotsigs, toxicity, warc
+from tablegauge.llm import (
+    article,
+    fill_middle,
+    language,
+    minhash,
+    mixing,
+    pieces,
+    quality,
+    secrets,
+    spotsigs,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +63,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.report(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_spotsigs": op2_spotsigs,
@@ -62,5 +78,6 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_article": op9_article,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_middle": op13_fill_middle,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
