@@ -8,6 +8,7 @@ from tablegauge.llm import (
     article,
     fill_middle,
     language,
+    line_runs,
     minhash,
     mixing,
     pieces,
@@ -63,6 +64,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return line_runs.report(_table(spark, folder, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_middle.report(_table(spark, folder, "documents"))
 
@@ -78,6 +83,11 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_article": op9_article,
     "op10_toxicity": op10_toxicity,
+    "op12_line_runs": op12_line_runs,
     "op13_fill_middle": op13_fill_middle,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+ORACLES = {
+    "op1_mixing": mixing.ORACLE,
+    "op12_line_runs": line_runs.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
+}
