@@ -9,6 +9,7 @@ from tablegauge.llm import (
     fill_middle,
     language,
     line_runs,
+    merkle,
     minhash,
     mixing,
     pieces,
@@ -64,6 +65,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.report(_table(spark, folder, "documents"))
+
+
 def op12_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     return line_runs.report(_table(spark, folder, "documents"))
 
@@ -83,11 +88,13 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_article": op9_article,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
     "op12_line_runs": op12_line_runs,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op11_merkle": merkle.ORACLE,
     "op12_line_runs": line_runs.ORACLE,
     "op13_fill_middle": fill_middle.ORACLE,
 }
