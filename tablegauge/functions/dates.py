@@ -19,6 +19,8 @@ FORMATS = (
     ("dd/MM/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
     ("MM/dd/yy", r"^\d{2}/\d{2}/\d{2}$"),
 )
+# What all shapes have in common, tested once before them.
+ANY_SHAPE = r"^\d{2,4}[-/]\d{2}[-/]\d{2,4}([ T]\d{2}:\d{2}:\d{2})?$"
 
 
 def looks_shaped(text: Column) -> Column:
@@ -27,4 +29,5 @@ def looks_shaped(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The timestamp a string names in one of ``FORMATS``, else NULL."""
-    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in FORMATS])
+    parsed = F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in FORMATS])
+    return F.when(text.rlike(ANY_SHAPE), parsed)

@@ -12,14 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablegauge.operators.sorted_pass import numbered
 from tablegauge.session import durable
 
 
-# The most rows of wanted positions that are broadcast.
-BROADCAST_ROWS = 100_000
-
-
 def value_counts(long: DataFrame, group: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
     """Rows per distinct value and group."""
     return long.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
@@ -30,17 +28,19 @@ def running_totals(
 ) -> DataFrame:
     """Add ``before_<s>`` (total of smaller values) and ``total_<s>`` per group.
 
-    ``counts`` holds one row per (group, order). Running totals are taken inside each
-    range partition, and the partitions before it are added. ``reused`` keeps the
+    ``counts`` holds one row per (group, order). Range partitions are read in one sorted
+    pass that sums inside each, and the partitions before it are added. ``reused`` keeps the
     result, for callers that read it several times. The range-partitioned rows are
     checkpointed, because the partition number read by the offsets and by the rows
     must be the same one even when an executor is lost and its partitions are computed again.
+    ``counts`` itself is read twice, to find the ranges; after a ``groupBy`` only its last step is repeated.
     """
-    counts = durable(counts)  # range partitioning reads it twice
     partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = durable(
-        counts.repartitionByRange(partitions, *group, order).withColumn("_part", F.spark_partition_id())
-    )
+    kinds = {s: "double" if counts.schema[s].dataType in (T.DoubleType(), T.FloatType()) else "bigint" for s in sums}
+    counts = counts.withColumns({s: F.col(s).cast(kind) for s, kind in kinds.items()})
+    added = T.StructType([T.StructField("_part", T.IntegerType()), *[T.StructField(f"before_{s}", counts.schema[s].dataType) for s in sums]])
+    ordered = counts.repartitionByRange(partitions, *group, order).sortWithinPartitions(*group, order)
+    placed = durable(ordered.mapInArrow(numbered(group, sums), T.StructType([*counts.schema.fields, *added.fields])))
     per_part = placed.groupBy(*group, "_part").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     by_group = Window.partitionBy(*group)
     earlier = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,16 +52,8 @@ def running_totals(
         *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_offset_{s}") for s in sums],
         *[F.sum(f"_sum_{s}").over(by_group).alias(f"total_{s}") for s in sums],
     )
-    inside = (
-        Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
     result = placed.join(offsets, [*group, "_part"]).select(
-        *counts.columns,
-        *[
-            (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_offset_{s}")).alias(f"before_{s}")
-            for s in sums
-        ],
-        *[f"total_{s}" for s in sums],
+        *counts.columns, *[(F.col(f"before_{s}") + F.col(f"_offset_{s}")).alias(f"before_{s}") for s in sums], *[f"total_{s}" for s in sums]
     )
     return durable(result) if reused else result
 
@@ -72,33 +64,21 @@ def quantiles(
     """One row per group with the array ``q`` of linear-interpolated quantiles.
 
     The p-quantile sits at position ``(N - 1) * p`` of the sorted rows, and a
-    value covers the positions from ``before`` up to ``before + n - 1``. The
-    wanted positions, a few per group, are joined to the values that cover them.
-    ``totals`` is read twice: build it with ``reused=True``.
+    value covers the positions from ``before`` up to ``before + n - 1``. Each value
+    knows N, so it tells by itself which of the wanted positions it covers.
     """
-    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    at = (F.col("_rows") - 1) * F.col("point.p")
-    # 1e-9 keeps (N - 1) * p on its integer when the product lands just beside it
-    low, high = F.floor(at + F.lit(1e-9)), F.ceil(at - F.lit(1e-9))
-    wanted = (
-        totals.groupBy(*group)
-        .agg(F.max(f"total_{n}").alias("_rows"))
-        .select(*group, "_rows", F.explode(points).alias("point"))
-        .select(*group, F.col("point.i"), F.greatest(at - low, F.lit(0.0)).alias("part"),
-                F.explode(F.array(low, high)).alias("_at"))
-        .distinct()
-    )
-    covers = (F.col("_at") >= F.col(f"before_{n}")) & (F.col("_at") < F.col(f"before_{n}") + F.col(n))
-    # Few groups, as columns are, would meet in few tasks: their wanted positions are broadcast. Many groups
-    # make a large list, but spread well when shuffled.
-    wanted = durable(wanted)
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = totals.where(F.col(n) > 0).join(F.broadcast(wanted) if few else wanted, list(group)).where(covers)
-    ends = hits.groupBy(*group, "i", "part").agg(
-        F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    point = F.struct("i", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
-    listed = ends.groupBy(*group).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    before, rows = F.col(f"before_{n}"), F.col(n)
+    points = []
+    for i, p in enumerate(probs):
+        at = (F.col(f"total_{n}") - 1) * F.lit(float(p))
+        # 1e-9 keeps (N - 1) * p on its integer when the product lands just beside it
+        low, high = F.floor(at + F.lit(1e-9)), F.ceil(at - F.lit(1e-9))
+        covers = ((low >= before) & (low < before + rows)) | ((high >= before) & (high < before + rows))
+        points.append(F.when(covers, F.struct(F.lit(i).alias("i"), F.greatest(at - low, F.lit(0.0)).alias("part"))))
+    hits = totals.where(rows > 0).select(*group, "value", F.explode(F.array_compact(F.array(*points))).alias("point"))
+    ends = hits.groupBy(*group, "point").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    q = F.col("low") + (F.col("high") - F.col("low")) * F.col("point.part")
+    listed = ends.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("point.i", q.alias("q")))).alias("points"))
     return listed.select(*group, F.col("points.q").alias("q"))
 
 

@@ -1,13 +1,15 @@
 """Column profiles: semantic types, summaries, target, task and quality warnings.
 
 One scan without a shuffle gives the counts, means, extremes and lengths of all
-columns. One more gives value counts, from which distinct counts, quantiles, top
-values, outliers and date tests are read; equal values collapse before they are
-shuffled. ``approximate=True`` replaces the value counts of numbers by sketches.
+columns, one more the outliers; quartiles are selected (``selection.quantiles_of``)
+and never sort a column. What is shuffled are the values of columns with few of them,
+and 128-bit hashes of texts to count the different ones. ``approximate=True`` takes
+quartiles from sketches.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 from tablegauge.functions import columns as C
 from tablegauge.functions import dates
 from tablegauge.functions.numbers import is_number
-from tablegauge.operators.order_stats import quantiles, running_totals, value_counts
+from tablegauge.operators.order_stats import value_counts
+from tablegauge.operators.selection import quantiles_of
 from tablegauge.session import durable
 
 # Names that mark a target column, strongest list first.
@@ -40,6 +43,7 @@ YEAR_RANGE = (1800, 2200)
 FEW_LEVELS, MANY_LEVELS, TEXT_RATIO = 10, 500, 0.5
 NUMBER_SHARE = 0.95
 SPARSE_ABOVE = 0.5
+SKETCHED_FEW = 8  # a sketch off by a few percent cannot give a column of two values more
 DUPLICATE_SHARE = 0.005
 CENSORED_SHARE, CENSORED_LEVELS = 0.01, 20
 
@@ -68,40 +72,39 @@ class ProfileTables:
     def named(self, *bases: str) -> list[str]:
         return [n for n in self.df.columns if self.base(n) in bases]
 
-    @cached_property
-    def number_counts(self) -> DataFrame:
-        """Rows per distinct number as (feature, text, n); integers and decimals are told apart exactly."""
-        families = {"bigint": [], "decimal(38,18)": [], "double": []}
-        for name in self.named("numeric", "integer"):
-            kind = self.types[name]
-            families["bigint" if C.is_integer(kind) else "decimal(38,18)" if isinstance(kind, T.DecimalType) else "double"].append(name)
-        parts = []
-        for kind, names in families.items():
-            if names:
-                text = F.col("value").cast("string")
-                if kind.startswith("decimal"):
-                    text = F.regexp_replace(text, r"\.?0+$", "")
-                parts.append(value_counts(C.long_form(self.df, names, kind)).select("feature", text.alias("text"), "n"))
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return durable(rows)
-
-    @cached_property
-    def numbers(self) -> DataFrame:
-        """Counts and running totals per number, as doubles."""
-        counts = self.number_counts.groupBy("feature", F.col("text").cast("double").alias("value")).agg(F.sum("n").alias("n"))
-        return running_totals(counts, ["feature"], "value", ["n"], reused=True)
+    @property
+    def numbers(self) -> list[str]:
+        return self.named("numeric", "integer")
 
     @cached_property
-    def texts(self) -> DataFrame:
-        return durable(value_counts(C.long_form(self.df, self.named("string"), "string")))
+    def ends(self) -> dict[str, list[tuple[str, int]]]:
+        """The values and their rows of the number columns that hold exactly two, told apart in their own type.
+
+        Columns that a sketch gives many values are out; the others have few, which are counted.
+        """
+        few = [r.name for r in self.basics.where(F.col("sketched") <= SKETCHED_FEW).select("name").collect()]
+        if not few:
+            return {}
+        texts = self.df.select(*[number_text(C.value_or_null(n, self.types[n]), self.types[n]).alias(n) for n in few])
+        found = {n: [] for n in few}
+        for r in value_counts(C.long_form(texts, few, "string")).collect():
+            found[r.feature].append((r.value, r.n))
+        return {n: values for n, values in found.items() if len(values) == 2}
 
     @cached_property
     def basics(self) -> DataFrame:
         return durable(column_basics(self))
 
 
+def number_text(value: Column, kind: T.DataType) -> Column:
+    """A number as text; integers and decimals exactly, decimals without closing zeros."""
+    if C.is_integer(kind):
+        return value.cast("bigint").cast("string")
+    if isinstance(kind, T.DecimalType):
+        return F.regexp_replace(value.cast("string"), r"\.?0+$", "") if kind.scale else value.cast("string")
+    return value.cast("double").cast("string")
+
+
 def column_basics(tables: ProfileTables) -> DataFrame:
     """Per column, from one scan: missing, moments, extremes, zeros, flags, lengths."""
     aggs, rows = [F.count(F.lit(1)).alias("rows")], []
@@ -131,6 +134,8 @@ def column_basics(tables: ProfileTables) -> DataFrame:
         ]
         for stat, agg in stats.items():
             fields.append((add(i, stat, agg) if is_num else nothing.cast("double")).alias(stat))
+        sketched = add(i, "sketched", F.approx_count_distinct(value)) if is_num else nothing.cast("long")
+        fields.append(sketched.alias("sketched"))
         zeros = add(i, "zeros", F.count_if(number == 0)) if is_num else nothing.cast("long")
         fields.append(F.try_divide(zeros.cast("double"), present).alias("zero_ratio"))
         yes = add(i, "yes", F.count_if(value)) if base == "boolean" else nothing.cast("long")
@@ -164,32 +169,50 @@ def missing(tables: ProfileTables) -> DataFrame:
 
 def text_facts(tables: ProfileTables) -> DataFrame:
     """Distinct count and the shares of dates and numbers, per text column."""
-    n, value = F.col("n"), F.col("value")
-    parsed = dates.parse_date(value)
-    shaped = dates.looks_shaped(value)
+    names = tables.named("string")
+    aggs, rows = [], []
+    for i, name in enumerate(names):
+        value = C.col(name)
+        shaped = dates.looks_shaped(value)
+        # every format has the shape, so other texts need no parsing
+        parsed = F.when(shaped, dates.parse_date(value))
+        stamp = parsed.cast("timestamp_ntz")
+        facts = {
+            "filled": F.count(value),
+            "shaped_share": F.avg(shaped.cast("int")),
+            "date_share": F.avg((shaped & parsed.isNotNull()).cast("int")),
+            "number_share": F.avg(is_number(value).cast("int")),
+            "unparsed_count": F.count_if(value.isNotNull() & parsed.isNull()),
+            "text_min": F.min(stamp),
+            "text_max": F.max(stamp),
+            "text_midnight": F.bool_and(F.date_trunc("day", parsed) == parsed),
+        }
+        aggs += [agg.alias(f"{fact}_{i}") for fact, agg in facts.items()]
+        rows.append(F.struct(F.lit(name).alias("name"), *[F.col(f"{fact}_{i}").alias(fact) for fact in facts]))
+    facts = tables.df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("filled > 0").drop("filled")
+    return facts.join(text_levels(tables), "name")
 
-    def share(test: Column) -> Column:
-        return F.sum(F.when(test, n).otherwise(0)) / F.sum(n)
 
-    return tables.texts.groupBy(F.col("feature").alias("name")).agg(
-        F.count(F.lit(1)).alias("levels"),
-        share(shaped).alias("shaped_share"),
-        share(shaped & parsed.isNotNull()).alias("date_share"),
-        share(is_number(value)).alias("number_share"),
-        F.sum(F.when(parsed.isNull(), n).otherwise(0)).alias("unparsed_count"),
-        F.min(parsed.cast("timestamp_ntz")).alias("text_min"),
-        F.max(parsed.cast("timestamp_ntz")).alias("text_max"),
-        F.bool_and(F.date_trunc("day", parsed) == parsed).alias("text_midnight"),
-    )
+def text_levels(tables: ProfileTables) -> DataFrame:
+    """Distinct count per text column, over 128-bit hashes."""
+    names = tables.named("string")
+    hashed = F.array(*[
+        F.when(C.col(n).isNotNull(), F.struct(F.lit(i).alias("at"), F.xxhash64(C.col(n)).alias("h1"), F.xxhash64(F.lit(1), C.col(n)).alias("h2")))
+        for i, n in enumerate(names)
+    ])
+    different = tables.df.select(F.inline(hashed)).where("at IS NOT NULL").distinct()
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1)
+    return different.groupBy("at").agg(F.count(F.lit(1)).alias("levels")).select(name.alias("name"), "levels")
 
 
 def number_levels(tables: ProfileTables) -> DataFrame:
     """Distinct count per number column, exact or sketched."""
+    names = tables.numbers
     if tables.approximate:
-        names = tables.named("numeric", "integer")
         row = tables.df.agg(*[F.approx_count_distinct(C.col(n)).alias(n) for n in names])
         return row.unpivot([], [C.col(n) for n in names], "name", "levels")
-    return tables.number_counts.groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("levels"))
+    texts = tables.df.select(*[number_text(C.value_or_null(n, tables.types[n]), tables.types[n]).alias(n) for n in names])
+    return value_counts(C.long_form(texts, names, "string")).groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("levels"))
 
 
 def is_year(tables_row_name: Column, minimum: Column) -> Column:
@@ -200,15 +223,9 @@ def is_year(tables_row_name: Column, minimum: Column) -> Column:
 
 def column_types(tables: ProfileTables) -> DataFrame:
     """Semantic type of every column, with the facts that decided it."""
-    parts = []
-    if tables.named("numeric", "integer"):
-        parts.append(number_levels(tables))
-    if tables.named("string"):
-        parts.append(text_facts(tables))
     facts = tables.basics
-    if parts:
-        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-        facts = facts.join(found, "name", "left")
+    if tables.named("string"):
+        facts = facts.join(text_facts(tables), "name", "left")
     for column, kind in (
         ("levels", "long"), ("shaped_share", "double"), ("date_share", "double"),
         ("number_share", "double"), ("unparsed_count", "long"), ("text_min", "timestamp_ntz"),
@@ -216,7 +233,9 @@ def column_types(tables: ProfileTables) -> DataFrame:
     ):
         if column not in facts.columns:
             facts = facts.withColumn(column, F.lit(None).cast(kind))
-    levels = F.coalesce("levels", F.lit(0))
+    # of a number's values only matters whether there are two
+    levels = F.when(F.col("name").isin(*tables.ends), 2) if tables.ends else F.lit(None)
+    levels = F.coalesce(levels.cast("long"), F.col("levels"), F.lit(0))
     number = F.col("base").isin("numeric", "integer")
     kind = (
         F.when(F.col("base").isin("boolean", "datetime"), F.col("base"))
@@ -234,12 +253,12 @@ def column_types(tables: ProfileTables) -> DataFrame:
 def numeric_summary(tables: ProfileTables) -> DataFrame:
     """Moments, extremes and quartiles per number column."""
     if tables.approximate:
-        names = tables.named("numeric", "integer")
+        names = tables.numbers
         probs = [0.25, 0.5, 0.75]
         row = tables.df.agg(*[F.percentile_approx(C.col(n).cast("double"), probs).alias(n) for n in names])
         q = row.unpivot([], [C.col(n) for n in names], "name", "q")
     else:
-        q = quantiles(tables.numbers, [0.25, 0.5, 0.75]).withColumnRenamed("feature", "name")
+        q = quantiles_of(tables.df, tables.numbers, [0.25, 0.5, 0.75]).withColumnRenamed("feature", "name")
     return tables.basics.join(q, "name").select(
         "name", "mean", "std", "min", "max",
         F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"),
@@ -248,42 +267,40 @@ def numeric_summary(tables: ProfileTables) -> DataFrame:
 
 
 def outliers(tables: ProfileTables, summary: DataFrame | None = None) -> DataFrame:
-    """Rows outside the quartile fences and rows more than three deviations off."""
+    """Rows outside the quartile fences and rows more than three deviations off, from one scan."""
     summary = numeric_summary(tables) if summary is None else summary
-    values = (
-        C.long_form(tables.df, tables.named("numeric", "integer"), "double").withColumn("n", F.lit(1))
-        if tables.approximate
-        else tables.numbers
-    ).select(F.col("feature").alias("name"), "value", "n")
-    reach = 1.5 * (F.col("q75") - F.col("q25"))
-    outside = (F.col("value") < F.col("q25") - reach) | (F.col("value") > F.col("q75") + reach)
-    far = (F.col("std") > 0) & (F.abs(F.col("value") - F.col("mean")) / F.col("std") > 3)
-    # One summary row per column, so the broadcast is bounded by the column count.
-    return (
-        values.join(F.broadcast(summary.where("NOT sparse")), "name")
-        .groupBy("name")
-        .agg(
-            F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("iqr_count"),
-            F.sum(F.when(far, F.col("n")).otherwise(0)).alias("z_score_count"),
-        )
-    )
-
-
-def _level_texts(tables: ProfileTables) -> DataFrame:
-    parts = []
-    if tables.named("numeric", "integer"):
-        parts.append(tables.number_counts.select(F.col("feature").alias("name"), F.col("text").alias("value"), "n"))
-    if tables.named("string"):
-        parts.append(tables.texts.select(F.col("feature").alias("name"), "value", "n"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # one row per column
+    known = [r for r in summary.where("NOT sparse").select("name", "mean", "std", "q25", "q75").collect()]
+    aggs, rows = [], []
+    for i, r in enumerate(known):
+        value = C.value_or_null(r.name, tables.types[r.name]).cast("double")
+        reach = 1.5 * (r.q75 - r.q25)
+        outside = (value < r.q25 - reach) | (value > r.q75 + reach)
+        far = F.abs(value - r.mean) / F.lit(r.std) > 3 if r.std and r.std > 0 else F.lit(False)
+        aggs += [F.count_if(outside).alias(f"iqr_{i}"), F.count_if(far).alias(f"far_{i}")]
+        rows.append(F.struct(F.lit(r.name).alias("name"), F.col(f"iqr_{i}").alias("iqr_count"), F.col(f"far_{i}").alias("z_score_count")))
+    if not known:
+        return tables.df.sparkSession.createDataFrame([], "name string, iqr_count long, z_score_count long")
+    return tables.df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def _level_texts(tables: ProfileTables, names: list[str]) -> DataFrame:
+    """Rows per value of the categorical columns ``names``; those of numbers are known already."""
+    texts = [n for n in names if tables.base(n) == "string"]
+    known = [(n, value, rows) for n in names if n in tables.ends for value, rows in tables.ends[n]]
+    counted = tables.df.sparkSession.createDataFrame(known, "name string, value string, n long")
+    if not texts:
+        return counted
+    return counted.unionByName(value_counts(C.long_form(tables.df, texts, "string")).withColumnRenamed("feature", "name"))
 
 
 def top_values(tables: ProfileTables, types: DataFrame, k: int = 5) -> DataFrame:
     """The k most frequent values of every categorical column, ties by value."""
     wanted = types.where("type = 'categorical'").select("name", F.col("levels").alias("cardinality"))
     order = Window.partitionBy("name").orderBy(F.desc("n"), "value")
+    names = [r.name for r in wanted.select("name").collect()]  # of columns
     return (
-        _level_texts(tables)
+        _level_texts(tables, names)
         .join(F.broadcast(wanted), "name")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -320,13 +337,14 @@ def text_summary(types: DataFrame) -> DataFrame:
 
 def profile(tables: ProfileTables) -> DataFrame:
     """One row per column: its type and the summary that type calls for."""
-    if tables.named("numeric", "integer") and not tables.approximate:
-        tables.numbers  # noqa: B018 - build once, before the types read its distinct counts
-    types = durable(column_types(tables))
+    tables.basics  # noqa: B018 - both sides below read it
+    with ThreadPoolExecutor(1) as beside:  # quartiles are selected while the types are found
+        numbers = beside.submit(lambda: durable(numeric_summary(tables))) if tables.numbers else None
+        types = durable(column_types(tables))
+        summary = numbers.result() if numbers else None
     result = types
     numeric = F.col("type") == "numeric"
-    if tables.named("numeric", "integer"):
-        summary = durable(numeric_summary(tables))
+    if tables.numbers:
         result = result.join(summary.select("name", "q25", "q50", "q75", "sparse"), "name", "left")
         result = result.join(outliers(tables, summary), "name", "left")
     else:

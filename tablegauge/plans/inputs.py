@@ -15,8 +15,20 @@ TABLES = (
 )
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table that makes one split out by its first column, a key.
+
+    A small file has one row group, which one task reads; what follows then still runs on all cores. Only tables
+    below the size of one split are dealt out, so the shuffle is no larger than that.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0]) if size < split else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:

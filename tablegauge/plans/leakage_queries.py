@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablegauge.operators import leakage as L
+from tablegauge.operators.order_stats import average_ranks
 from tablegauge.plans.inputs import derive, with_inputs
 from tablegauge.plans.rounding import rounded
 
@@ -93,7 +94,7 @@ QUERIES = {
     "lkg_01_ordinal_codes": lambda s, f: price(s, f).codes(["l_returnflag", "l_linestatus"]).drop("n", "total_n"),
     "lkg_02_pearson": lambda s, f: rounded(L.pearson(price(s, f))),
     "lkg_03_average_ranks": lambda s, f: rounded(
-        L.average_ranks(price(s, f).x_totals).groupBy("feature", "x").agg(F.max("rank").alias("rank"))
+        average_ranks(price(s, f).x_totals).groupBy("feature", "x").agg(F.max("rank").alias("rank"))
     ),
     "lkg_04_spearman": lambda s, f: rounded(L.spearman(price(s, f))),
     "lkg_05_rank_biserial": lambda s, f: rounded(L.rank_biserial(returned(s, f))),

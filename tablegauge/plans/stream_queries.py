@@ -74,7 +74,7 @@ def lines(spark, folder):
 
 
 def merged(spark, folder):
-    return durable(S.merge_epochs(durable(logs.parse_log_lines(lines(spark, folder)))))
+    return S.merge_epochs(durable(logs.parse_log_lines(lines(spark, folder))), sources=True)
 
 
 def losses(spark, folder):
@@ -99,7 +99,7 @@ starts AS (SELECT *, CASE WHEN NOT coalesce(epoch = lag(epoch) OVER (PARTITION B
 isl AS (SELECT *, max(st) OVER (PARTITION BY run_id ORDER BY seq) AS island FROM starts),
 merged AS (SELECT run_id, island AS seq, min(epoch) AS epoch, arg_min(step, seq) FILTER (step IS NOT NULL) AS step,
   arg_max(train, seq) FILTER (train IS NOT NULL) AS good_train, arg_max(val, seq) FILTER (val IS NOT NULL) AS val,
-  bool_or(bad) AS bad, bool_or(timing) AS timing, count(*) AS lines, max(seq) AS last_seq FROM isl GROUP BY run_id, island),
+  bool_or(bad) AS bad, bool_or(timing) AS timing, count(*) AS lines, max(seq) AS last_seq, string_agg(seq, ',' ORDER BY seq) AS sources FROM isl GROUP BY run_id, island),
 losses AS (SELECT run_id, seq, epoch, CASE WHEN good_train IS NOT NULL THEN good_train WHEN bad THEN 'nan'::DOUBLE END AS train,
   good_train, val, bad, good_train IS NOT NULL OR val IS NOT NULL OR bad AS has_loss FROM merged)"""
 _DETECT = """
@@ -203,7 +203,8 @@ QUERIES = {
     ),
     "met_03_canonical_losses": lambda s, f: losses(s, f).select("run_id", "seq", "train", "val"),
     "met_04_merged_epochs": lambda s, f: merged(s, f).select(
-        "run_id", "seq", "epoch", "step", "lines", "last_seq", F.size("metrics").alias("n_metrics")
+        "run_id", "seq", "epoch", "step", "lines", "last_seq", F.size("metrics").alias("n_metrics"),
+        F.array_join("sources", ",").alias("sources"),
     ),
     "met_05_nan": lambda s, f: _found(S.nan_findings(losses(s, f))),
     "met_06_divergence": lambda s, f: _found(S.divergence_findings(losses(s, f))),
@@ -261,7 +262,7 @@ SELECT run_id, seq, epoch, step, metric, value FROM snap, LATERAL (SELECT * FROM
     ),
     "met_03_canonical_losses": _sql("SELECT run_id, seq, train, val FROM losses", False),
     "met_04_merged_epochs": _sql(
-        "SELECT run_id, seq, epoch, step, lines, last_seq, CAST(CASE WHEN timing THEN 1 ELSE 0 END + CASE WHEN bad THEN 1 ELSE 0 END "
+        "SELECT run_id, seq, epoch, step, lines, last_seq, sources, CAST(CASE WHEN timing THEN 1 ELSE 0 END + CASE WHEN bad THEN 1 ELSE 0 END "
         "+ CASE WHEN good_train IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN val IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS n_metrics FROM merged",
         False,
     ),

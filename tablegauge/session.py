@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, app: str = "tablegauge") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # recording the call site of every column expression takes longer than building it
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
