@@ -94,7 +94,8 @@ def _flanks(pos: Column) -> Column:
 
 def _rounds(nodes: DataFrame) -> list[DataFrame]:
     """Blocks of the nodes (group, at, digest, item), of the blocks' tops, and so on up to one block a group."""
-    counted = running_totals(nodes.withColumn("one", F.lit(1)), ["group"], "at", ["one"])
+    # finding the ranges reads the nodes twice
+    counted = running_totals(durable(nodes).withColumn("one", F.lit(1)), ["group"], "at", ["one"])
     placed = counted.select("group", F.col("before_one").alias("pos"), F.col("total_one").alias("n"), "digest", "item")
     rounds = [durable(_blocks(placed))]
     most = rounds[0].agg(F.max("n")).first()[0] or 0
