@@ -2,9 +2,10 @@
 
 Evidence is relational: admissible entities, measured (entity, statistic) values,
 one anchor per evidence, all names and all numbers it carries. A response cites
-entities and makes (entity, statistic, value) claims. Every check is an equi-join
-of exploded items with those tables; a search for a number within a tolerance is
-an equi-join on buckets as wide as the tolerance.
+entities and makes (entity, statistic, value) claims. An evidence is one document, so
+all a check needs of it is one row: a map of its names with their facts and its numbers
+in order. Responses meet that row in one join, hot evidence split by its weight, and
+everything else is decided inside the response.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablegauge.operators.skew import salted_join
+from tablegauge.operators.skew import salted_join, weighed_join
 from tablegauge.session import durable
 
 # Fixed values of the claim contract.
@@ -34,6 +35,12 @@ CORRELATION_NAMES = (
     "correlation_with_target", "max_abs_correlation",
 )
 EMPTY_NAMES = ("", "None", "null")
+WRONG = ("wrong_value", "not_a_number")
+UNCARRIED = ("statistic_not_in_evidence", "pair_not_in_evidence")
+
+
+def finite(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & ~F.abs(value).isin(float("inf"))
 
 
 def statistic_name(raw: Column) -> Column:
@@ -59,15 +66,42 @@ class Evidence:
     frame: DataFrame | None = None
     tolerance: float = TOLERANCE
 
-    @cached_property
-    def statistics(self) -> DataFrame:
-        return self.values.select("evidence_id", "statistic").distinct().withColumn("known_statistic", F.lit(True))
-
     @cached_property
     def all_numbers(self) -> DataFrame:
         measured = self.values.select("evidence_id", "value")
         return measured if self.numbers is None else measured.unionByName(self.numbers.select("evidence_id", "value"))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """One row per evidence: known (name -> flags and statistics), statistics, sorted numbers, anchor.
+
+        Of several values of one pair the smallest counts.
+        """
+        flags = ("in_domain", "in_names", "in_frame")
+        pair = "struct<statistic:string,measured:double>"
+
+        def marked(df: DataFrame, flag: str | None) -> DataFrame:
+            stat = F.struct("statistic", F.col("value").cast("double").alias("measured")) if flag is None else F.lit(None).cast(pair)
+            return df.select("evidence_id", "entity", *[F.lit(f == flag).alias(f) for f in flags], stat.alias("stat"))
+
+        sources = [(self.entities, "in_domain"), (self.names, "in_names"), (self.frame, "in_frame"), (self.values, None)]
+        pieces = [marked(df, flag) for df, flag in sources if df is not None]
+        union = pieces[0]
+        for piece in pieces[1:]:
+            union = union.unionByName(piece)
+        each = union.where("entity IS NOT NULL").groupBy("evidence_id", "entity").agg(
+            *[F.bool_or(f).alias(f) for f in flags], F.array_sort(F.collect_set("stat")).alias("stats")
+        )
+        known = each.groupBy("evidence_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("entity", F.struct(*flags, "stats")))).alias("known"),
+            F.array_distinct(F.flatten(F.collect_list(F.col("stats.statistic")))).alias("statistics"),
+        )
+        numbers = self.all_numbers.where(finite(F.col("value"))).groupBy("evidence_id").agg(
+            F.array_sort(F.collect_set(F.col("value").cast("double"))).alias("numbers")
+        )
+        anchors = self.anchors.select("evidence_id", "anchor")
+        return durable(known.join(numbers, "evidence_id", "full").join(anchors, "evidence_id", "full"))
+
 
 def bind_leakage(correlations: DataFrame, candidates: DataFrame) -> Evidence:
     """From correlations(evidence_id, feature, correlation) and candidates(evidence_id, position, feature)."""
@@ -212,70 +246,111 @@ def claim_items(responses: DataFrame, column: str = "claims") -> DataFrame:
     )
 
 
-def _known_names(items: DataFrame, evidence: Evidence) -> DataFrame:
-    """(evidence_id, entity, in_domain, in_names, in_frame, compound) of known names.
+def first_not_below(numbers: Column, below) -> Column:
+    """The index of the first of the sorted ``numbers`` that is not ``below``, by bisection; their count if all are."""
+
+    def halved(range_: Column, _: Column) -> Column:
+        low, high = range_["low"], range_["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        lower = (low < high) & below(F.get(numbers, middle))
+        return F.struct(
+            F.when(lower, middle + 1).otherwise(low).alias("low"),
+            F.when((low < high) & ~lower, middle).otherwise(high).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(numbers) + 1.0)).cast("int") + 1)
+    start = F.struct(F.lit(0).alias("low"), F.size(numbers).alias("high"))
+    return F.aggregate(steps, start, halved)["low"]
+
+
+def near_sorted(value: Column, numbers: Column, tolerance: float) -> Column:
+    """Whether one of the sorted ``numbers`` lies within the tolerance."""
+    found = F.get(numbers, first_not_below(numbers, lambda x: x - value < -tolerance))
+    usable = finite(value) & numbers.isNotNull()
+    return F.when(usable, F.coalesce(found - value <= tolerance, F.lit(False))).otherwise(F.lit(False))
+
 
-    ``compound`` marks a text made of several admissible names, a reading fault.
+def _name_flags(entity: Column) -> dict[str, Column]:
+    """Flags of a name from the evidence's ``known`` map.
+
+    ``artifact`` marks a reading fault: an empty name, or a text made of several admissible names.
     """
-    flags = ("in_domain", "in_names", "in_frame", "compound")
-
-    def marked(df: DataFrame, flag: str) -> DataFrame:
-        return df.select("evidence_id", "entity", *[F.lit(f == flag).alias(f) for f in flags])
-
-    pieces = [marked(evidence.entities, "in_domain")]
-    if evidence.names is not None:
-        pieces.append(marked(evidence.names, "in_names"))
-    if evidence.frame is not None:
-        pieces.append(marked(evidence.frame, "in_frame"))
-    mixed = items.where(F.col("entity").rlike("[/,]")).select("evidence_id", F.col("entity").alias("text")).distinct()
-    parts = mixed.select(
-        "evidence_id", "text", F.explode(F.transform(F.split("text", "[/,]"), lambda p: F.trim(p))).alias("entity")
-    ).where("entity <> ''")
-    admitted = evidence.entities.select("evidence_id", "entity").distinct().withColumn("_in", F.lit(True))
-    found = salted_join(parts, admitted, ["evidence_id", "entity"], ["text"], "left")
-    compound = found.groupBy("evidence_id", "text").agg(
-        F.bool_and(F.coalesce("_in", F.lit(False))).alias("all_in")
+    known = F.col("known")
+
+    def flag(name: Column, which: str) -> Column:
+        return F.coalesce(F.try_element_at(known, name)[which], F.lit(False))
+
+    flags = {f: flag(entity, f) for f in ("in_domain", "in_names", "in_frame")}
+    parts = F.filter(F.transform(F.split(entity, "[/,]"), lambda p: F.trim(p)), lambda p: p != "")
+    compound = entity.rlike("[/,]") & (F.size(parts) > 0) & F.forall(parts, lambda p: flag(p, "in_domain"))
+    artifact = ~flags["in_domain"] & (F.trim(entity).isin(*EMPTY_NAMES) | compound)
+    return flags | {"artifact": artifact, "outside": ~flags["in_domain"] & ~artifact}
+
+
+def _claim_check(entity: Column, statistic: Column, value: Column, in_domain: Column, tolerance: float) -> dict[str, Column]:
+    """known_statistic, measured, deviation and reason of a claim from the evidence's maps."""
+    held = F.filter(F.try_element_at(F.col("known"), entity)["stats"], lambda s: s["statistic"] == statistic)
+    real = F.get(held, F.lit(0))["measured"]
+    known_statistic = F.coalesce(F.array_contains("statistics", statistic), F.lit(False))
+    deviation = F.when(finite(value), F.abs(value - real))
+    within = F.coalesce(deviation <= tolerance, F.lit(False))
+    reason = (
+        F.when(~in_domain, "entity_not_in_evidence")
+        .when(~known_statistic, "statistic_not_in_evidence")
+        .when(real.isNull(), "pair_not_in_evidence")
+        .when(value.isNull(), "not_a_number")
+        .when(~within, "wrong_value")
     )
-    pieces.append(marked(compound.where("all_in").withColumnRenamed("text", "entity"), "compound"))
-    union = pieces[0]
-    for piece in pieces[1:]:
-        union = union.unionByName(piece)
-    return union.groupBy("evidence_id", "entity").agg(*[F.bool_or(f).alias(f) for f in flags])
+    return {"known_statistic": known_statistic, "measured": real, "deviation": deviation, "reason": reason}
 
 
 def with_name_flags(items: DataFrame, evidence: Evidence) -> DataFrame:
     """Add in_domain, in_names, in_frame, artifact and outside to cited or claimed names."""
-    joined = salted_join(items, _known_names(items, evidence), ["evidence_id", "entity"], ["response_id", "pos"])
-    flagged = joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in ("in_domain", "in_names", "in_frame", "compound")})
-    artifact = ~F.col("in_domain") & (F.trim("entity").isin(*EMPTY_NAMES) | F.col("compound"))
-    return (
-        flagged.withColumn("artifact", artifact)
-        .withColumn("outside", ~F.col("in_domain") & ~F.col("artifact"))
-        .drop("compound")
-    )
+    joined = weighed_join(items, evidence.facts.select("evidence_id", "known"), ["evidence_id"], ["response_id", "pos"])
+    return joined.select(*items.columns, *[c.alias(n) for n, c in _name_flags(F.col("entity")).items()])
 
 
 def checked_claims(claims: DataFrame, evidence: Evidence, alias_statistics: bool = False) -> DataFrame:
     """Claims with their measured value, deviation and the reason they fail, if any."""
-    rows = with_name_flags(claims, evidence)
+    facts = evidence.facts.select("evidence_id", "known", "statistics")
+    rows = weighed_join(claims, facts, ["evidence_id"], ["response_id", "pos"])
     if alias_statistics:
         rows = rows.withColumn("statistic", statistic_name(F.col("statistic")))
-    measured = evidence.values.select("evidence_id", "entity", "statistic", F.col("value").alias("measured"))
-    rows = salted_join(rows, measured, ["evidence_id", "entity", "statistic"], ["response_id", "pos"])
-    rows = salted_join(rows, evidence.statistics, ["evidence_id", "statistic"], ["response_id", "pos"])
-    rows = rows.withColumn("known_statistic", F.coalesce("known_statistic", F.lit(False)))
-    value, real = F.col("value"), F.col("measured")
-    finite = value.isNotNull() & ~F.isnan(value) & ~F.abs(value).isin(float("inf"))
-    deviation = F.when(finite, F.abs(value - real))
-    within = F.coalesce(deviation <= evidence.tolerance, F.lit(False))
-    reason = (
-        F.when(~F.col("in_domain"), "entity_not_in_evidence")
-        .when(~F.col("known_statistic"), "statistic_not_in_evidence")
-        .when(real.isNull(), "pair_not_in_evidence")
-        .when(value.isNull(), "not_a_number")
-        .when(~within, "wrong_value")
-    )
-    return rows.withColumn("deviation", deviation).withColumn("reason", reason)
+    flags = _name_flags(F.col("entity"))
+    flagged = rows.select("*", *[c.alias(n) for n, c in flags.items()])
+    checks = _claim_check(F.col("entity"), F.col("statistic"), F.col("value"), F.col("in_domain"), evidence.tolerance)
+    return flagged.select(*claims.columns, *flags, *[c.alias(n) for n, c in checks.items()])
+
+
+def judged(responses: DataFrame, evidence: Evidence, alias_statistics: bool = False) -> DataFrame:
+    """Responses with ``anchor`` and their names and claims judged, as arrays ``_cited`` and ``_claims``.
+
+    One join; nothing is exploded, so nothing has to be grouped again.
+    """
+    rows = weighed_join(responses, evidence.facts, ["evidence_id"], ["response_id"])
+
+    def cited(entity: Column, pos: Column) -> Column:
+        name = F.coalesce(entity, F.lit("None"))
+        return F.struct(pos.alias("pos"), name.alias("entity"), *[c.alias(n) for n, c in _name_flags(name).items()])
+
+    def read(claim: Column, pos: Column) -> Column:
+        statistic = F.coalesce(claim["statistic"], F.lit(""))
+        entity = F.coalesce(claim["column"], F.lit("None"))
+        return F.struct(
+            pos.alias("pos"), entity.alias("entity"),
+            (statistic_name(statistic) if alias_statistics else statistic).alias("statistic"), claim["value"].cast("double").alias("value"),
+            *[c.alias(n) for n, c in _name_flags(entity).items()],
+        )
+
+    def checked(claim: Column) -> Column:
+        own = [claim[f].alias(f) for f in ("pos", "entity", "statistic", "value", "in_domain", "in_names", "in_frame", "artifact", "outside")]
+        checks = _claim_check(claim["entity"], claim["statistic"], claim["value"], claim["in_domain"], evidence.tolerance)
+        near = near_sorted(claim["value"], F.col("numbers"), evidence.tolerance)
+        return F.struct(*own, *[c.alias(n) for n, c in checks.items()], near.alias("number_known"))
+
+    return rows.withColumns(
+        {"_cited": F.transform("cited", cited), "_claims": F.transform(F.transform("claims", read), checked)}
+    ).drop("known", "statistics", "numbers")
 
 
 # ---------------------------------------------------------------- verification
@@ -291,12 +366,16 @@ def unsound_citations(responses: DataFrame, evidence: Evidence) -> DataFrame:
 
 def with_anchor(responses: DataFrame, evidence: Evidence) -> DataFrame:
     """Add the evidence's anchor and whether the response refers to it."""
-    joined = salted_join(responses, evidence.anchors.select("evidence_id", "anchor"), ["evidence_id"], ["response_id"])
+    joined = weighed_join(responses, evidence.facts.select("evidence_id", "anchor"), ["evidence_id"], ["response_id"])
+    return joined.withColumn("names_anchor", _names_anchor())
+
+
+def _names_anchor() -> Column:
     named = F.array_union(
         F.coalesce("cited", F.array().cast("array<string>")),
         F.coalesce(F.col("claims")["column"], F.array().cast("array<string>")),
     )
-    return joined.withColumn("names_anchor", F.coalesce(F.array_contains(named, F.col("anchor")), F.lit(False)))
+    return F.coalesce(F.array_contains(named, F.col("anchor")), F.lit(False))
 
 
 def completeness(responses: DataFrame, evidence: Evidence, verdicts: Sequence[str]) -> DataFrame:
@@ -352,15 +431,17 @@ class ScoredItems:
     evidence: Evidence
     alias_statistics: bool = False
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        return durable(judged(self.responses, self.evidence, self.alias_statistics))
+
     @cached_property
     def citations(self) -> DataFrame:
-        return durable(with_name_flags(cited_items(self.responses), self.evidence))
+        return self.judged.select("response_id", "evidence_id", F.inline("_cited"))
 
     @cached_property
     def claims(self) -> DataFrame:
-        checked = checked_claims(claim_items(self.responses), self.evidence, self.alias_statistics)
-        spread = ["response_id", "pos"]
-        return durable(near_any(checked, self.evidence.all_numbers, "number_known", self.evidence.tolerance, spread))
+        return self.judged.select("response_id", "evidence_id", F.inline("_claims"))
 
     @cached_property
     def names(self) -> DataFrame:
@@ -372,83 +453,104 @@ class ScoredItems:
 
 def record_scores(items: ScoredItems) -> DataFrame:
     """Channel flags per response; transport errors are not data and drop out."""
-    names = items.names.groupBy("response_id").agg(
-        F.bool_or("outside").alias("entity"),
-        F.bool_or(F.col("outside") & ~F.col("in_names")).alias("entity_invented"),
-        F.bool_or(F.col("outside") & F.col("in_names")).alias("entity_misfiled"),
-        F.bool_or("artifact").alias("entity_artifact"),
-    )
-    claims = items.claims.groupBy("response_id").agg(
-        F.bool_or(F.coalesce(F.col("reason").isin("wrong_value", "not_a_number"), F.lit(False))).alias("value"),
-        F.bool_or(F.coalesce(F.col("reason").isin("statistic_not_in_evidence", "pair_not_in_evidence"), F.lit(False))).alias("value_unverifiable"),
-    )
-    rows = with_anchor(items.responses.where("error IS NULL"), items.evidence)
+    def name(test) -> Column:
+        return _any("_cited", test) | _any("_claims", test)
+
+    flags = {
+        "entity": name(lambda n: n["outside"]),
+        "entity_invented": name(lambda n: n["outside"] & ~n["in_names"]),
+        "entity_misfiled": name(lambda n: n["outside"] & n["in_names"]),
+        "entity_artifact": name(lambda n: n["artifact"]),
+        "value": _any("_claims", lambda c: c["reason"].isin(*WRONG)),
+        "value_unverifiable": _any("_claims", lambda c: c["reason"].isin(*UNCARRIED)),
+    }
+    rows = items.judged.where("error IS NULL").withColumn("names_anchor", _names_anchor())
     some = (F.coalesce(F.size("cited"), F.lit(0)) > 0) | (F.coalesce(F.size("claims"), F.lit(0)) > 0)
     # a missing verdict is read as a position taken
     silent = F.coalesce(F.col("verdict").isin("", ABSTENTION), F.lit(False))
     skips = some & ~silent & ~F.col("names_anchor")
     anchored, flag = F.col("anchor").isNotNull(), F.col("omitted")
-    flags = ["entity", "entity_invented", "entity_misfiled", "entity_artifact", "value", "value_unverifiable"]
-    return (
-        rows.join(names, "response_id", "left")
-        .join(claims, "response_id", "left")
-        .select(
+    return rows.select(
             *[c for c in items.responses.columns if c not in ("cited", "claims", "attempts")],
-            *[F.coalesce(f, F.lit(False)).alias(f) for f in flags],
+            *[c.alias(f) for f, c in flags.items()],
             F.when(anchored, F.coalesce(flag, skips)).alias("omission"),
             F.when(anchored & flag.isNotNull(), ~flag & skips).alias("omission_undetected"),
             F.coalesce(F.col("verdict") == ABSTENTION, F.lit(False)).alias("abstained"),
-        )
     )
 
 
 def unified_scores(items: ScoredItems, verdicts: Sequence[str]) -> DataFrame:
     """Counts of every violation per response and the one kind it falls under."""
+    return _scored(items.judged, items, verdicts)
+
+
+def unified_scores_without(items: ScoredItems, verdicts: Sequence[str], statistics: Sequence[str]) -> DataFrame:
+    """``unified_scores`` as if the evidence did not carry these statistics; its numbers stay known."""
+
+    def struck(claim: Column) -> Column:
+        gone = claim["in_domain"] & claim["statistic"].isin(*statistics)
+        return (
+            claim.withField("reason", F.when(gone, "statistic_not_in_evidence").otherwise(claim["reason"]))
+            .withField("deviation", F.when(~claim["statistic"].isin(*statistics), claim["deviation"]))
+        )
+
+    return _scored(items.judged.withColumn("_claims", F.transform("_claims", struck)), items, verdicts)
+
+
+def _any(column: str, test) -> Column:
+    return F.coalesce(F.exists(column, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+
+def _count(column: str, test) -> Column:
+    return F.coalesce(F.size(F.filter(column, test)), F.lit(0)).cast("long")
+
+
+def _scored(judged_rows: DataFrame, items: ScoredItems, verdicts: Sequence[str]) -> DataFrame:
     tau = items.evidence.tolerance
-    wrong = F.col("reason").isin("wrong_value", "not_a_number")
-    uncarried = F.col("reason").isin("statistic_not_in_evidence", "pair_not_in_evidence")
-    number = F.col("value").isNotNull()
-    correct = F.coalesce(F.col("deviation") <= tau, F.lit(False))
-    anchors = items.evidence.anchors.select("evidence_id", "anchor")
-    claims = salted_join(items.claims, anchors, ["evidence_id"], ["response_id"])
-    per_claims = claims.groupBy("response_id").agg(
-        F.count(F.lit(1)).alias("claims_made"),
-        F.count_if(wrong).alias("c2_wrong"),
-        F.count_if(uncarried).alias("c2_not_carried"),
-        F.count_if(uncarried & F.col("number_known")).alias("c2_not_carried_real"),
-        F.count_if(uncarried & number & ~F.col("number_known")).alias("c2_unsupported"),
-        F.count_if(wrong & number & F.col("number_known")).alias("c2_wrong_foreign"),
-        F.count_if(wrong & number & ~F.col("number_known")).alias("c2_wrong_absent"),
-        F.count_if(wrong & ~number).alias("c2_wrong_nonnumeric"),
-        F.count("deviation").alias("claims_checked"),
-        F.count_if(F.col("deviation") == 0).alias("claims_exact"),
-        F.count_if((F.col("deviation") > 0) & (F.col("deviation") <= 5e-4)).alias("claims_round"),
-        F.count_if(correct).alias("claims_correct"),
-        F.bool_or(correct & (F.col("entity") == F.col("anchor"))).alias("anchor_value"),
-    )
-    out = F.col("outside")
-    per_names = items.names.groupBy("response_id").agg(
-        F.count_if(out & (F.col("place") == "cited")).alias("c1_cited"),
-        F.count_if(out & (F.col("place") == "claim")).alias("c1_claim"),
-        F.bool_or(out & F.col("in_names")).alias("c1_misfiled"),
-        F.bool_or(out & ~F.col("in_names")).alias("c1_outside"),
-        F.bool_or(out & ~F.col("in_names") & F.col("in_frame")).alias("names_unlisted"),
-        F.bool_or(out & ~F.col("in_names") & ~F.col("in_frame")).alias("names_invented"),
-        F.bool_or("artifact").alias("artifact"),
-    )
+
+    def wrong(c: Column) -> Column:
+        return c["reason"].isin(*WRONG)
+
+    def uncarried(c: Column) -> Column:
+        return c["reason"].isin(*UNCARRIED)
+
+    claim_counts = {
+        "claims_made": lambda c: F.lit(True),
+        "c2_wrong": wrong,
+        "c2_not_carried": uncarried,
+        "c2_not_carried_real": lambda c: uncarried(c) & c["number_known"],
+        "c2_unsupported": lambda c: uncarried(c) & c["value"].isNotNull() & ~c["number_known"],
+        "c2_wrong_foreign": lambda c: wrong(c) & c["value"].isNotNull() & c["number_known"],
+        "c2_wrong_absent": lambda c: wrong(c) & c["value"].isNotNull() & ~c["number_known"],
+        "c2_wrong_nonnumeric": lambda c: wrong(c) & c["value"].isNull(),
+        "claims_checked": lambda c: c["deviation"].isNotNull(),
+        "claims_exact": lambda c: c["deviation"] == 0,
+        "claims_round": lambda c: (c["deviation"] > 0) & (c["deviation"] <= 5e-4),
+        "claims_correct": lambda c: c["deviation"] <= tau,
+    }
+    counts = {"c1_cited": _count("_cited", lambda n: n["outside"]), "c1_claim": _count("_claims", lambda n: n["outside"])}
+    counts |= {name: _count("_claims", test) for name, test in claim_counts.items()}
+
+    def name(test) -> Column:
+        return _any("_cited", test) | _any("_claims", test)
+
+    flags = {
+        "anchor_value": _any("_claims", lambda c: (c["deviation"] <= tau) & (c["entity"] == F.col("anchor"))),
+        "c1_misfiled": name(lambda n: n["outside"] & n["in_names"]),
+        "c1_outside": name(lambda n: n["outside"] & ~n["in_names"]),
+        "names_unlisted": name(lambda n: n["outside"] & ~n["in_names"] & n["in_frame"]),
+        "names_invented": name(lambda n: n["outside"] & ~n["in_names"] & ~n["in_frame"]),
+        "artifact": name(lambda n: n["artifact"]),
+    }
     verdict = F.trim(F.coalesce("verdict", F.lit("")))
     committed = (verdict != "") & ~F.lower(verdict).isin(ABSTENTION, "cannot determine")
-    rows = with_anchor(items.responses, items.evidence)
-    joined = rows.join(per_claims, "response_id", "left").join(per_names, "response_id", "left")
-    counts = ["c1_cited", "c1_claim", *[c for c in per_claims.columns if c not in ("response_id", "anchor_value")]]
-    flags = ["anchor_value", "c1_misfiled", "c1_outside", "names_unlisted", "names_invented", "artifact"]
-    scored = joined.select(
+    rows = judged_rows.withColumn("names_anchor", _names_anchor())
+    scored = rows.select(
         *[c for c in items.responses.columns if c not in ("cited", "claims", "attempts")],
         verdict.isin(*verdicts).alias("verdict_admissible"),
         committed.alias("committed"),
         (committed & F.col("anchor").isNotNull() & ~F.col("names_anchor")).alias("c3"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-        *[F.coalesce(f, F.lit(False)).alias(f) for f in flags],
+        *[c.alias(n) for n, c in (counts | flags).items()],
     )
     any_name = (F.col("c1_cited") > 0) | (F.col("c1_claim") > 0)
     kind = (

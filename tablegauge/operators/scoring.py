@@ -11,7 +11,7 @@ from tablegauge.functions import columns as C
 from tablegauge.functions.probability import wilson
 from tablegauge.operators import evidence as E
 from tablegauge.operators.order_stats import running_totals
-from tablegauge.operators.skew import salted_join
+from tablegauge.operators.skew import salted_join, weighed_join
 from tablegauge.session import durable
 
 CELL = ("task", "provider", "model", "arm")
@@ -197,11 +197,7 @@ def policy_sweep(responses: DataFrame, evidence: E.Evidence, pools: DataFrame, v
     """
     reported_items = E.ScoredItems(responses, evidence)
     reported = durable(E.unified_scores(reported_items, verdicts))
-    strict_values = evidence.values.where(~F.col("statistic").isin(*DATASET_STATISTICS))
-    strict_evidence = E.Evidence(
-        evidence.entities, strict_values, evidence.anchors, evidence.names, evidence.all_numbers, evidence.frame, evidence.tolerance
-    )
-    strict = E.unified_scores(E.ScoredItems(responses, strict_evidence), verdicts)
+    strict = E.unified_scores_without(reported_items, verdicts, DATASET_STATISTICS)
     uncarried = reported_items.claims.where(
         F.col("reason").isin("statistic_not_in_evidence", "pair_not_in_evidence")
     ).withColumn("pool", task_pool(F.col("statistic")))
@@ -337,24 +333,33 @@ def rejudged(responses: DataFrame, evidence: E.Evidence, verdicts: Sequence[str]
 def number_owners(claims: DataFrame, evidence: E.Evidence) -> DataFrame:
     """How many other pairs own a wrong number, and which one if it is one.
 
-    Claims and evidence values are distinct per bucket here, so a number claimed
-    or measured many times meets its partner once.
+    An evidence's numbers stand in order with the running count of their pairs, so the owners of a number are the
+    difference of two counts, found by bisection at both ends of the tolerance.
     """
     tau = evidence.tolerance
     wrong = claims.where("reason = 'wrong_value'").select("evidence_id", "entity", "statistic", "value").distinct()
-    bucket = F.floor(F.col("value") / tau)
-    seekers = wrong.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    owners = evidence.values.groupBy("evidence_id", F.col("value").alias("owned")).agg(
+    each = evidence.values.groupBy("evidence_id", F.col("value").cast("double").alias("owned")).agg(
         F.count(F.lit(1)).alias("pairs"), F.min(F.concat_ws(".", "entity", "statistic")).alias("first")
-    ).withColumn("_b", F.floor(F.col("owned") / tau))
-    hits = salted_join(seekers, owners, ["evidence_id", "_b"], ["entity", "statistic", "value"], "inner").where(
-        F.abs(F.col("value") - F.col("owned")) <= tau
     )
-    found = hits.groupBy("evidence_id", "entity", "statistic", "value").agg(
-        F.sum("pairs").alias("owners"), F.min("first").alias("first")
+    through = Window.partitionBy("evidence_id").orderBy("owned").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = each.withColumn("through", F.sum("pairs").over(through)).groupBy("evidence_id").agg(
+        F.array_sort(F.collect_list(F.struct("owned", "through", "first"))).alias("owned")
+    )
+    rows = weighed_join(wrong, listed, ["evidence_id"], ["entity", "statistic", "value"])
+    numbers, value = F.col("owned")["owned"], F.col("value")
+    low = E.first_not_below(numbers, lambda x: x - value < -tau)
+    high = E.first_not_below(numbers, lambda x: x - value <= tau)
+
+    def counted(upto: Column) -> Column:
+        return F.coalesce(F.get("owned", upto - 1)["through"], F.lit(0))
+
+    some = E.finite(value) & F.col("owned").isNotNull()
+    placed = rows.select("*", F.when(some, low).alias("low"), F.when(some, high).alias("high"))
+    found = placed.select(
+        "evidence_id", "entity", "statistic", "value", F.when(some, counted(F.col("high")) - counted(F.col("low"))).alias("owners"),
+        F.get("owned", F.col("low"))["first"].alias("first"),
     )
-    joined = wrong.join(found, ["evidence_id", "entity", "statistic", "value"], "left")
-    return joined.select(
+    return found.select(
         "evidence_id", "entity", "statistic", "value",
         F.coalesce("owners", F.lit(0)).alias("owners"), F.when(F.col("owners") == 1, F.col("first")).alias("owner"),
     )

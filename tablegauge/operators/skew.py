@@ -28,6 +28,23 @@ def salted_join(
     return salted_rows.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def weighed_join(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str | Column], how: str = "left", share: float = 0.01
+) -> DataFrame:
+    """Join many ``rows`` to the one ``lookup`` row of their key, hot keys by their measured weight.
+
+    A key with more than ``share`` of the rows is spread over as many salts as it holds shares and its lookup row is
+    repeated as often, so there are at most 1 / share hot keys and 2 / share copies.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    held = F.col("_n") / (counts.agg(F.sum("_n")).scalar() * F.lit(share))
+    hot = F.broadcast(counts.where(held > 1).select(*keys, F.ceil(held).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = rows.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    copies = lookup.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def hot_key_join(
     rows: DataFrame,
     lookup: DataFrame,

@@ -102,3 +102,28 @@ def test_free_text(spark, text, numbers, names):
     texts = spark.createDataFrame([(1, "e", text)], "response_id long, evidence_id string, text string")
     row = S.free_text_grounding(texts, known, empty, ["cannot_determine"]).first()
     assert (row.bad_numbers, row.bad_names) == (numbers, names)
+
+
+def test_bisection_equals_looking_at_every_number(spark):
+    import random
+
+    draw = random.Random(6)
+    rows = []
+    for i in range(300):
+        numbers = sorted({round(draw.uniform(-1, 1), 3) for _ in range(draw.choice([0, 1, 2, 7, 40]))})
+        near = draw.choice(numbers) + draw.choice([0.005, -0.005, 0.0051, 0.0]) if numbers else 0.1
+        rows.append((i, numbers if i % 10 else None, draw.choice([near, near, None, float("nan"), float("inf"), 5.0, -5.0])))
+    df = spark.createDataFrame(rows, "i long, numbers array<double>, value double")
+    got = {r.i: r.near for r in df.select("i", E.near_sorted(df.value, df.numbers, 0.005).alias("near")).collect()}
+    for i, numbers, value in rows:
+        assert got[i] is any(value is not None and abs(x - value) <= 0.005 for x in numbers or []), (numbers, value)
+
+
+def test_a_hot_evidence_is_split_by_its_weight(spark):
+    from tablegauge.operators.skew import weighed_join
+
+    rows = spark.range(2000).selectExpr("id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 = 8 THEN NULL ELSE concat('k', id) END AS k")
+    lookup = spark.createDataFrame([("hot", 1), ("k9", 2), ("unused", 3)], "k string, v int")
+    joined = weighed_join(rows, lookup, ["k"], ["id"], share=0.01)
+    assert joined.columns == ["k", "id", "v"] and joined.count() == 2000
+    assert joined.where("v = 1").count() == 1400 and joined.where("v = 2").count() == 1 and joined.where("v = 3").count() == 0
