@@ -100,7 +100,7 @@ class Evidence:
             F.array_sort(F.collect_set(F.col("value").cast("double"))).alias("numbers")
         )
         anchors = self.anchors.select("evidence_id", "anchor")
-        return durable(known.join(numbers, "evidence_id", "full").join(anchors, "evidence_id", "full"))
+        return known.join(numbers, "evidence_id", "full").join(anchors, "evidence_id", "full")
 
 
 def bind_leakage(correlations: DataFrame, candidates: DataFrame) -> Evidence:
@@ -270,87 +270,117 @@ def near_sorted(value: Column, numbers: Column, tolerance: float) -> Column:
     return F.when(usable, F.coalesce(found - value <= tolerance, F.lit(False))).otherwise(F.lit(False))
 
 
-def _name_flags(entity: Column) -> dict[str, Column]:
-    """Flags of a name from the evidence's ``known`` map.
+def _in_domain(name: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col("known"), name)["in_domain"], F.lit(False))
 
-    ``artifact`` marks a reading fault: an empty name, or a text made of several admissible names.
-    """
-    known = F.col("known")
 
-    def flag(name: Column, which: str) -> Column:
-        return F.coalesce(F.try_element_at(known, name)[which], F.lit(False))
+def _own_flags(fact: Column) -> list[Column]:
+    return [F.coalesce(fact[f], F.lit(False)).alias(f) for f in ("in_domain", "in_names", "in_frame")]
+
 
-    flags = {f: flag(entity, f) for f in ("in_domain", "in_names", "in_frame")}
+def _artifact(entity: Column, in_domain: Column) -> Column:
+    """A reading fault: an empty name, or a text made of several admissible names."""
     parts = F.filter(F.transform(F.split(entity, "[/,]"), lambda p: F.trim(p)), lambda p: p != "")
-    compound = entity.rlike("[/,]") & (F.size(parts) > 0) & F.forall(parts, lambda p: flag(p, "in_domain"))
-    artifact = ~flags["in_domain"] & (F.trim(entity).isin(*EMPTY_NAMES) | compound)
-    return flags | {"artifact": artifact, "outside": ~flags["in_domain"] & ~artifact}
+    compound = entity.rlike("[/,]") & (F.size(parts) > 0) & F.forall(parts, _in_domain)
+    return ~in_domain & (F.trim(entity).isin(*EMPTY_NAMES) | compound)
+
+
+def _measured(stats: Column, statistic: Column) -> Column:
+    return F.get(F.filter(stats, lambda s: s["statistic"] == statistic), F.lit(0))["measured"]
 
 
-def _claim_check(entity: Column, statistic: Column, value: Column, in_domain: Column, tolerance: float) -> dict[str, Column]:
-    """known_statistic, measured, deviation and reason of a claim from the evidence's maps."""
-    held = F.filter(F.try_element_at(F.col("known"), entity)["stats"], lambda s: s["statistic"] == statistic)
-    real = F.get(held, F.lit(0))["measured"]
-    known_statistic = F.coalesce(F.array_contains("statistics", statistic), F.lit(False))
-    deviation = F.when(finite(value), F.abs(value - real))
+def _reason(in_domain: Column, known_statistic: Column, value: Column, real: Column, deviation: Column, tolerance: float) -> Column:
     within = F.coalesce(deviation <= tolerance, F.lit(False))
-    reason = (
+    return (
         F.when(~in_domain, "entity_not_in_evidence")
         .when(~known_statistic, "statistic_not_in_evidence")
         .when(real.isNull(), "pair_not_in_evidence")
         .when(value.isNull(), "not_a_number")
         .when(~within, "wrong_value")
     )
-    return {"known_statistic": known_statistic, "measured": real, "deviation": deviation, "reason": reason}
 
 
 def with_name_flags(items: DataFrame, evidence: Evidence) -> DataFrame:
     """Add in_domain, in_names, in_frame, artifact and outside to cited or claimed names."""
     joined = weighed_join(items, evidence.facts.select("evidence_id", "known"), ["evidence_id"], ["response_id", "pos"])
-    return joined.select(*items.columns, *[c.alias(n) for n, c in _name_flags(F.col("entity")).items()])
+    return _flagged(joined).select(*items.columns, "in_domain", "in_names", "in_frame", "artifact", "outside")
+
+
+def _flagged(rows: DataFrame) -> DataFrame:
+    found = rows.withColumn("fact", F.try_element_at("known", "entity"))
+    found = found.select("*", *_own_flags(F.col("fact")))
+    found = found.withColumn("artifact", _artifact(F.col("entity"), F.col("in_domain")))
+    return found.withColumn("outside", ~F.col("in_domain") & ~F.col("artifact"))
 
 
 def checked_claims(claims: DataFrame, evidence: Evidence, alias_statistics: bool = False) -> DataFrame:
     """Claims with their measured value, deviation and the reason they fail, if any."""
     facts = evidence.facts.select("evidence_id", "known", "statistics")
-    rows = weighed_join(claims, facts, ["evidence_id"], ["response_id", "pos"])
+    rows = _flagged(weighed_join(claims, facts, ["evidence_id"], ["response_id", "pos"]))
     if alias_statistics:
         rows = rows.withColumn("statistic", statistic_name(F.col("statistic")))
-    flags = _name_flags(F.col("entity"))
-    flagged = rows.select("*", *[c.alias(n) for n, c in flags.items()])
-    checks = _claim_check(F.col("entity"), F.col("statistic"), F.col("value"), F.col("in_domain"), evidence.tolerance)
-    return flagged.select(*claims.columns, *flags, *[c.alias(n) for n, c in checks.items()])
+    value, real = F.col("value"), F.col("measured")
+    rows = rows.withColumn("measured", _measured(F.col("fact.stats"), F.col("statistic")))
+    rows = rows.withColumn("known_statistic", F.coalesce(F.array_contains("statistics", F.col("statistic")), F.lit(False)))
+    rows = rows.withColumn("deviation", F.when(finite(value), F.abs(value - real)))
+    reason = _reason(F.col("in_domain"), F.col("known_statistic"), value, real, F.col("deviation"), evidence.tolerance)
+    return rows.withColumn("reason", reason).drop("known", "statistics", "fact")
 
 
 def judged(responses: DataFrame, evidence: Evidence, alias_statistics: bool = False) -> DataFrame:
     """Responses with ``anchor`` and their names and claims judged, as arrays ``_cited`` and ``_claims``.
 
-    One join; nothing is exploded, so nothing has to be grouped again.
+    One join; nothing is exploded, so nothing has to be grouped again. Each step of a judgement is a transform of
+    its own, because a lambda computes what it names twice twice.
     """
     rows = weighed_join(responses, evidence.facts, ["evidence_id"], ["response_id"])
+    known, tau = F.col("known"), evidence.tolerance
 
     def cited(entity: Column, pos: Column) -> Column:
-        name = F.coalesce(entity, F.lit("None"))
-        return F.struct(pos.alias("pos"), name.alias("entity"), *[c.alias(n) for n, c in _name_flags(name).items()])
+        return F.struct(pos.alias("pos"), F.coalesce(entity, F.lit("None")).alias("entity"))
 
     def read(claim: Column, pos: Column) -> Column:
         statistic = F.coalesce(claim["statistic"], F.lit(""))
-        entity = F.coalesce(claim["column"], F.lit("None"))
         return F.struct(
-            pos.alias("pos"), entity.alias("entity"),
+            pos.alias("pos"), F.coalesce(claim["column"], F.lit("None")).alias("entity"),
             (statistic_name(statistic) if alias_statistics else statistic).alias("statistic"), claim["value"].cast("double").alias("value"),
-            *[c.alias(n) for n, c in _name_flags(entity).items()],
         )
 
-    def checked(claim: Column) -> Column:
-        own = [claim[f].alias(f) for f in ("pos", "entity", "statistic", "value", "in_domain", "in_names", "in_frame", "artifact", "outside")]
-        checks = _claim_check(claim["entity"], claim["statistic"], claim["value"], claim["in_domain"], evidence.tolerance)
-        near = near_sorted(claim["value"], F.col("numbers"), evidence.tolerance)
-        return F.struct(*own, *[c.alias(n) for n, c in checks.items()], near.alias("number_known"))
-
-    return rows.withColumns(
-        {"_cited": F.transform("cited", cited), "_claims": F.transform(F.transform("claims", read), checked)}
-    ).drop("known", "statistics", "numbers")
+    def kept(x: Column, names: Sequence[str], *more: Column) -> Column:
+        return F.struct(*[x[n].alias(n) for n in names], *more)
+
+    def named(items: Column, own: list[str]) -> Column:
+        flags = ["in_domain", "in_names", "in_frame"]
+        found = F.transform(items, lambda x: kept(x, own, F.try_element_at(known, x["entity"]).alias("fact")))
+        found = F.transform(found, lambda x: kept(x, [*own, "fact"], *_own_flags(x["fact"])))
+        found = F.transform(found, lambda x: kept(x, [*own, "fact", *flags], _artifact(x["entity"], x["in_domain"]).alias("artifact")))
+        outside = lambda x: (~x["in_domain"] & ~x["artifact"]).alias("outside")
+        return F.transform(found, lambda x: kept(x, [*own, "fact", *flags, "artifact"], outside(x)))
+
+    flags, claim = ["in_domain", "in_names", "in_frame", "artifact", "outside"], ["pos", "entity", "statistic", "value"]
+
+    def looked_up(x: Column) -> Column:
+        known_statistic = F.coalesce(F.array_contains("statistics", x["statistic"]), F.lit(False))
+        return kept(x, [*claim, *flags], known_statistic.alias("known_statistic"), _measured(x["fact"]["stats"], x["statistic"]).alias("measured"))
+
+    def apart(x: Column) -> Column:
+        deviation = F.when(finite(x["value"]), F.abs(x["value"] - x["measured"]))
+        return kept(x, [*claim, *flags, "known_statistic", "measured"], deviation.alias("deviation"))
+
+    def decided(x: Column) -> Column:
+        reason = _reason(x["in_domain"], x["known_statistic"], x["value"], x["measured"], x["deviation"], tau)
+        return kept(x, [*claim, *flags, "known_statistic", "measured", "deviation"], reason.alias("reason"))
+
+    def near(x: Column) -> Column:
+        # a sound claim's number is one of the evidence's
+        found = F.when(x["reason"].isNull(), True).otherwise(near_sorted(x["value"], F.col("numbers"), tau))
+        return kept(x, [*claim, *flags, "known_statistic", "measured", "deviation", "reason"], found.alias("number_known"))
+
+    claims = named(F.transform("claims", read), claim)
+    for step in (looked_up, apart, decided, near):
+        claims = F.transform(claims, step)
+    names = F.transform(named(F.transform("cited", cited), ["pos", "entity"]), lambda x: kept(x, ["pos", "entity", *flags]))
+    return rows.withColumns({"_cited": names, "_claims": claims}).drop("known", "statistics", "numbers")
 
 
 # ---------------------------------------------------------------- verification

@@ -12,6 +12,7 @@ from tablegauge.operators import evidence as E
 from tablegauge.operators import scoring as S
 from tablegauge.plans.inputs import derive, with_inputs
 from tablegauge.plans.rounding import rounded
+from tablegauge.session import durable
 
 VERDICTS = ("ready_to_train", "needs_cleaning", "cannot_determine")
 _DAY = "CAST(extract(day FROM ts) AS BIGINT)"
@@ -74,7 +75,7 @@ DUMPS = "SELECT DISTINCT 'runs/main/evidence_' || substr('a1b2c3d4e5f6', CAST(1
 
 
 def evidence(spark, folder) -> E.Evidence:
-    bound = E.bind_profile(derive(spark, folder, PROFILE))
+    bound = E.bind_profile(durable(derive(spark, folder, PROFILE)))
     bound.names = bound.entities.select("evidence_id", "entity").unionByName(
         bound.values.select("evidence_id", F.col("statistic").alias("entity")).distinct()
     )
