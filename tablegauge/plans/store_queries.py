@@ -36,11 +36,13 @@ SELECT doc_id AS script_id, CASE WHEN doc_id % 2 = 0 THEN 'churn' ELSE 'price.us
   CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4) / 10.0 END AS minority_fraction, doc_id % 5 = 0 AS target_is_last,
   '# ' || source || chr(10) || 'import pandas as pd' || chr(10) || 'import numpy as np' || chr(10)
   || CASE doc_id % 3 WHEN 0 THEN 'np.random.seed(7)' WHEN 1 THEN 'from sklearn.svm import SVC' ELSE 'rng = 1' END || chr(10)
-  || CASE WHEN doc_id % 7 = 0 THEN 'SEED = 42' ELSE '' END || chr(10)
+  || CASE WHEN doc_id % 14 = 0 THEN 'def main():' || chr(10) || '    SEED = 42' WHEN doc_id % 7 = 0 THEN 'SEED = 42' ELSE '' END || chr(10)
   || CASE WHEN doc_id % 2 = 0 THEN 'TARGET = "churn"' ELSE 'TARGET = "price.usd"' END || chr(10)
   || CASE WHEN doc_id % 4 = 1 THEN 'df = df.drop_duplicates()' ELSE '' END || chr(10)
   || CASE doc_id % 6 WHEN 0 THEN 'X = df.drop(columns=["churn", "price.usd"])' WHEN 1 THEN 'X = df[[c for c in df.columns if c != TARGET]]'
-       WHEN 2 THEN 'X = df.iloc[:, :-1]' WHEN 3 THEN 'X = df[["a", "b"]]' WHEN 4 THEN 'y = df.pop(TARGET); X = df' ELSE 'X = df' END || chr(10)
+       WHEN 2 THEN 'X = df.iloc[:, :-1]' WHEN 3 THEN 'X = df[["a", "b"]]' WHEN 4 THEN 'y = df.pop(TARGET); X = df'
+       ELSE CASE WHEN doc_id % 4 = 1 THEN 'NUM = ["a", "b"]' || chr(10) || 'CAT = ["d"]' || chr(10) || 'COLS = NUM + CAT' || chr(10) || 'X = df[COLS]'
+                 WHEN doc_id % 5 < 3 THEN 'COLS = [c for c in df.columns if c != "other"]' || chr(10) || 'X = df[COLS]' ELSE 'X = df' END END || chr(10)
   || CASE WHEN doc_id % 4 = 2 THEN 'df = df.drop_duplicates()' ELSE '' END || chr(10)
   || CASE WHEN doc_id % 5 < 2 THEN 'sc = StandardScaler()' || chr(10) || 'X = sc.fit_transform(X)' ELSE '' END || chr(10)
   || CASE WHEN doc_id % 8 > 0 THEN 'X_train, X_test = train_test_split(X, y, random_state=' || CASE WHEN doc_id % 7 = 0 THEN 'SEED' WHEN doc_id % 3 = 1
@@ -264,12 +266,12 @@ ORACLES = {
     "NOT (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 8 > 0)) AS no_seed, doc_id % 5 < 2 AS fit, "
     "doc_id % 3 > 0 AND doc_id % 4 <> 1 AS dup, "
     "doc_id % 4 = 1 AND doc_id % 9 = 0 AS acc, doc_id % 8 = 0 AS noval, "
-    "NOT (doc_id % 6 = 0 OR doc_id % 6 = 1 OR doc_id % 6 = 3 OR doc_id % 6 = 4 OR (doc_id % 6 = 2 AND doc_id % 5 = 0)) AS tgt FROM documents)",
+    "NOT (doc_id % 6 = 0 OR doc_id % 6 = 1 OR doc_id % 6 = 3 OR doc_id % 6 = 4 OR (doc_id % 6 = 2 AND doc_id % 5 = 0) OR (doc_id % 6 = 5 AND doc_id % 4 = 1)) AS tgt FROM documents)",
     "prp_08_rescored": "SELECT side, count(*) AS scripts, CAST(sum(d) AS BIGINT) AS defects, count(*) FILTER (noval) AS no_validation FROM (SELECT side, noval, "
     "CAST(no_seed AS INTEGER) + CAST(fit AS INTEGER) + CAST(dup AS INTEGER) + CAST(acc AS INTEGER) + CAST(noval AS INTEGER) + CAST(tgt AS INTEGER) AS d FROM (SELECT side, "
     "NOT (doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 8 > 0)) AS no_seed, doc_id % 5 < 2 AS fit, "
     "doc_id % 3 > 0 AND NOT (doc_id % 4 = 1 OR (doc_id % 4 = 2 AND side = 'before')) AS dup, doc_id % 4 = 1 AND doc_id % 9 = 0 AS acc, doc_id % 8 = 0 OR side = 'before' AS noval, "
-    "NOT (doc_id % 6 IN (0, 1, 3, 4) OR (doc_id % 6 = 2 AND doc_id % 5 = 0)) AS tgt FROM documents, (VALUES ('after'), ('before')) AS v(side) WHERE side = 'after' OR doc_id % 2 = 0)) GROUP BY side",
+    "NOT (doc_id % 6 IN (0, 1, 3, 4) OR (doc_id % 6 = 2 AND doc_id % 5 = 0) OR (doc_id % 6 = 5 AND doc_id % 4 = 1)) AS tgt FROM documents, (VALUES ('after'), ('before')) AS v(side) WHERE side = 'after' OR doc_id % 2 = 0)) GROUP BY side",
     "led_01_commands": "SELECT command, count(*) AS n FROM (SELECT CASE WHEN event_id % 6 = 0 THEN 'advise' WHEN event_id % 6 > 3 THEN event_type END AS command FROM events) WHERE command IS NOT NULL GROUP BY command",
     "led_02_decisions": "SELECT event_id AS decision_id, '- [' || strftime(ts, '%Y-%m-%d') || '] ' || event_type || ': used ' || props AS line FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
     "led_03_recent_runs": with_inputs("SELECT DISTINCT run_id FROM r ORDER BY run_id DESC LIMIT 5", r=RUNS),

@@ -8,12 +8,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.functions import metric_names as M
 from tablegauge.operators import metric_stream as S
 from tablegauge.plans.inputs import derive, table, with_inputs
 from tablegauge.plans.rounding import rounded
-from tablegauge.session import durable
+from tablegauge.session import durable, shared_folder
 from tablegauge.sources import logs, runs as run_source
 from tablegauge.streaming import watch, windowed_drift
 
@@ -131,6 +132,25 @@ def _sql(body, detect=True):
     return "WITH " + _SNAPSHOTS.strip() + (", " + _DETECT.strip() if detect else "") + " " + body
 
 
+def _prefix_sql(batches):
+    """Findings of every prefix of the batches, each once: by rule and epoch, and for a plateau by its side too."""
+    parts = []
+    for k in range(1, batches + 1):
+        upto = f"FROM (SELECT * FROM events WHERE event_id < (SELECT (max(event_id) + 1) * {k} // {batches} FROM events)) events"
+        body = (_SNAPSHOTS + ", " + _DETECT).replace("FROM events", upto, 1).strip()
+        parts.append(
+            f"SELECT * FROM (WITH {body} SELECT run_id, rule_id, severity, nullif(epoch, -1) AS epoch, '' AS said FROM f_nan UNION ALL "
+            "SELECT run_id, rule_id, severity, nullif(epoch, -1), round(measure, 1)::VARCHAR FROM f_div UNION ALL "
+            "SELECT run_id, rule_id, severity, nullif(epoch, -1), '' FROM f_ovr UNION ALL "
+            "SELECT run_id, 'plateau', 'warning', nullif(flat.epoch, -1), CASE WHEN vn = 5 THEN 'val' ELSE 'train' END "
+            "FROM flat JOIN recent USING (run_id) WHERE rel < 1e-3)"
+        )
+    return (
+        "SELECT 'run-' || run_id AS run_id, rule_id, severity, epoch, count(DISTINCT said) AS reports FROM (" + " UNION ALL ".join(parts)
+        + ") GROUP BY ALL"
+    )
+
+
 def _found(df):
     return rounded(df.select("run_id", "rule_id", "severity", "epoch", "measure"), 4)
 
@@ -143,13 +163,26 @@ def _found_sql(*names):
     )
 
 
+BATCHES = 4
+
+
+def _micro_batches(spark, folder, sql, bounds, base):
+    """The derivation as a stream that brings the events of one range of ids at a time."""
+    events = table(spark, folder, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    rows, low = spark.sql(sql, events=events), 0
+    for k in range(1, bounds + 1):
+        high = (last + 1) * k // bounds
+        rows.where(f"line_no >= {low} AND line_no < {high}").coalesce(1).write.mode("append").parquet(f"{base}/lines")
+        low = high
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/lines")
+
+
 def _follow(spark, folder):
-    """The event table as a stream of log lines; findings land in a table."""
-    durable(spark.range(1))
-    base = f"{spark.sparkContext.getCheckpointDir()}/follow-{uuid.uuid4()}"
-    schema = table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    stream_lines = spark.sql(LINES, events=events)
+    """The event table as a stream of log lines of named runs, in several micro-batches; findings land in a table."""
+    base = f"{shared_folder(spark)}/follow-{uuid.uuid4()}"
+    named = LINES.replace("user_id AS run_id", "'run-' || user_id AS run_id").replace("{{events}}", "{events}")
+    stream_lines = _micro_batches(spark, folder, named, BATCHES, base)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, watch.ROCKSDB)
@@ -166,7 +199,8 @@ def _follow(spark, folder):
         query.awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    return _found(spark.read.schema(watch.OUTPUT).parquet(f"{base}/found"))
+    found = spark.read.schema(watch.output(T.StringType())).parquet(f"{base}/found")
+    return found.groupBy("run_id", "rule_id", "severity", "epoch").agg(F.count(F.lit(1)).alias("reports"))
 
 
 WINDOWED = "SELECT ts, value, user_id FROM {events}"
@@ -271,7 +305,7 @@ SELECT run_id, seq, epoch, step, metric, value FROM snap, LATERAL (SELECT * FROM
     "met_07_plateau": _found_sql("f_pla"),
     "met_08_overfitting": _found_sql("f_ovr"),
     "met_09_all_findings": _found_sql("f_nan", "f_div", "f_pla", "f_ovr"),
-    "met_10_follow": _found_sql("f_nan", "f_div", "f_pla", "f_ovr"),
+    "met_10_follow": _prefix_sql(BATCHES),
     "drf_17_windowed_drift": f"""WITH r AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-08 00:00:00'),
   n AS (SELECT 'value' AS feature, value AS v, ts FROM events UNION ALL SELECT 'user_id', user_id, ts FROM events),
   d AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [{_TENTHS}]))) AS d FROM n WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY feature),

@@ -2,8 +2,9 @@
 
 Each run keeps a state of fixed size: the snapshot still open to merging, the last
 few loss points, the last finite loss, the first divergence, the start of a bad
-streak and the findings of its last epoch. New lines update it; the history is
-never read again.
+streak and the last ``REMEMBERED`` findings that were reported. New lines update it;
+the history is never read again. A finding is known by its rule, epoch and message,
+whatever its measure is by then.
 """
 
 from __future__ import annotations
@@ -48,8 +49,10 @@ def output(run_id: T.DataType) -> T.StructType:
 
 
 OUTPUT = output(T.LongType())
+# Reported findings a run remembers. Rules speak of the current epoch, so older ones come back only if epochs do.
+REMEMBERED = 200
 _STATE = T.StructType([T.StructField("state", T.StringType())])
-_EMPTY = {"open": None, "train": [], "val": [], "recent": [], "previous": None, "divergence": None, "nan": None, "seen": []}
+_EMPTY = {"open": None, "train": [], "val": [], "recent": [], "previous": None, "closed": 0, "divergence": None, "nan": None, "seen": []}
 
 
 def _finite(x) -> bool:
@@ -66,15 +69,16 @@ def _close(s: dict, snap: dict) -> None:
     train, val = snap["train"], snap["val"]
     if _finite(train):
         before = s["previous"]
-        if s["divergence"] is None and before:
-            now, was = abs(train), abs(before)
+        if s["divergence"] is None and before and before[0]:
+            now, was = abs(train), abs(before[0])
             if now - was >= DIVERGENCE_JUMP and now / was >= DIVERGENCE_RATIO:
-                s["divergence"] = [snap["epoch"], now / was]
-        s["previous"] = train
+                s["divergence"] = [snap["epoch"], now / was, before[1], s["closed"]]
+        s["previous"] = [train, s["closed"]]
         s["train"] = (s["train"] + [train])[-(OVERFIT_WINDOW + 1):]
     if _finite(val):
         s["val"] = (s["val"] + [val])[-(OVERFIT_WINDOW + 1):]
     s["recent"] = (s["recent"] + [[train, val, snap["epoch"]]])[-PLATEAU_WINDOW:]
+    s["closed"] += 1
 
 
 def _findings(s: dict) -> list[tuple]:
@@ -82,8 +86,8 @@ def _findings(s: dict) -> list[tuple]:
     if s["nan"] is not None:
         found.append(("nan", "error", s["nan"][0], None, f"loss became NaN or infinite: {s['nan'][1]}"))
     if s["divergence"] is not None:
-        epoch, times = s["divergence"]
-        found.append(("divergence", "error", epoch, times, f"train loss jumped {times:.1f} times"))
+        epoch, times, was, now = s["divergence"]
+        found.append(("divergence", "error", epoch, times, f"train loss jumped {times:.1f} times between snapshots {was} and {now}"))
     last = s["recent"][-1][2] if s["recent"] else None
     if len(s["train"]) > OVERFIT_WINDOW and len(s["val"]) > OVERFIT_WINDOW:
         gap = s["val"][-1] - s["train"][-1]
@@ -131,8 +135,9 @@ class FollowRuns(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = self.state.get()
         s = json.loads(kept[0]) if kept is not None else copy.deepcopy(_EMPTY)
-        lines = [line for batch in rows for line in batch.itertuples(index=False)]
-        for line in sorted(lines, key=lambda r: r.seq):
+        # the lines of one run in one micro-batch, which the source's rate bounds
+        lines = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        for line in lines.itertuples(index=False):
             epoch = None if pd.isna(line.epoch) else int(line.epoch)
             metrics = {
                 k: [float(v), w, bool(loss)] for k, v, w, loss in zip(line.names, line.values_, line.words, line.losses)
@@ -146,10 +151,13 @@ class FollowRuns(StatefulProcessor):
         view = copy.deepcopy(s)
         _close(view, {"epoch": s["open"]["epoch"], **_losses(s["open"]["metrics"])})
         found = _findings(view)
-        seen = {tuple(x) for x in s["seen"]}
-        fresh = [f for f in found if f not in seen]
+        def identity(finding: tuple) -> list:
+            rule, _, epoch, _, message = finding
+            return [rule, epoch, message]
+
+        fresh = [f for f in found if identity(f) not in s["seen"]]
         # what was reported stays known, so a finding that goes and comes back is not repeated
-        s["seen"] = s["seen"] + fresh
+        s["seen"] = (s["seen"] + [identity(f) for f in fresh])[-REMEMBERED:]
         self.state.update((json.dumps(s),))
         if fresh:
             frame = pd.DataFrame(fresh, columns=["rule_id", "severity", "epoch", "measure", "message"])

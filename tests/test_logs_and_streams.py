@@ -107,7 +107,7 @@ def test_follow_equals_batch_at_the_end_and_reports_once(spark, tmp_path, runs):
     finally:
         spark.conf.set(provider, before)
     found = spark.read.parquet(str(tmp_path / "out"))
-    columns = ["run_id", "rule_id", "epoch"]
+    columns = ["run_id", "rule_id", "epoch", "message"]
     streamed = [tuple(r) for r in found.select(*columns).collect()]
     assert len(streamed) == len(set(streamed)) and found.where("message IS NULL").isEmpty()
     whole = spark.createDataFrame([(r, i, x) for r in runs for i, x in enumerate(lines)], schema)
@@ -115,6 +115,18 @@ def test_follow_equals_batch_at_the_end_and_reports_once(spark, tmp_path, runs):
     assert {tuple(r) for r in batch.collect()} <= set(streamed)
 
 
+def test_follow_state_stays_small_and_a_flat_loss_is_told_once_an_epoch():
+    state = {**watch._EMPTY, "open": None, "train": [], "val": [], "recent": [], "seen": []}
+    told = []
+    for i in range(watch.REMEMBERED * 3):
+        watch._close(state, {"epoch": i // 3, "train": 0.5 + 1e-9 * i, "val": None, "has_loss": True, "bad": []})
+        fresh = [f for f in watch._findings(state) if [f[0], f[2], f[4]] not in state["seen"]]
+        state["seen"] = (state["seen"] + [[f[0], f[2], f[4]] for f in fresh])[-watch.REMEMBERED:]
+        told += fresh
+    assert len(told) == len({(f[0], f[2]) for f in told}) == watch.REMEMBERED - 1
+    assert len(state["seen"]) <= watch.REMEMBERED and len(state["recent"]) == 5
+
+
 def test_windowed_drift_stream_equals_batch(spark, tmp_path):
     rows = spark.range(4000).select(
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 120).alias("ts"),

@@ -57,6 +57,10 @@ def test_script_target_exclusion_forms(spark):
         "X = df[list(set(df.columns) - {'V1'})]": True,
         "cols = df.columns.difference(['V1'])": True,
         "X = df": False,
+        "COLS = [c for c in df.columns if c != 'V10']\nX = df[COLS]": False,
+        "NUM = ['a']\nCAT = ['b']\nCOLS = NUM + CAT\nX = df[COLS]": True,
+        "NUM = ['a', 'V1']\nCAT = ['b']\nCOLS = NUM + CAT\nX = df[COLS]": False,
+        "NUM = ['a']\nCOLS = NUM + OTHER\nX = df[COLS]": False,
     }
     rows = [(i, text, "V1", 0, None, False) for i, text in enumerate(forms)]
     df = spark.createDataFrame(rows, "script_id long, source string, target string, duplicate_rows long, minority_fraction double, target_is_last boolean")
@@ -64,6 +68,22 @@ def test_script_target_exclusion_forms(spark):
     assert {text: got[i] for i, text in enumerate(forms)} == forms
 
 
+def test_seed_constants_of_any_scope_but_not_keywords(spark):
+    split = "from sklearn.model_selection import train_test_split\n"
+    forms = {
+        "def main():\n    SEED = 7\n    train_test_split(X, random_state=SEED)": True,
+        "A = B = 7\ntrain_test_split(X, random_state=B)": True,
+        "train_test_split(X, random_state=SEED)": False,
+        "f(\n    a,\n    # why not\n    state=42\n)\ntrain_test_split(X, random_state=state)": False,
+        "model = Forest(\n    n=200,\n    random_state=42\n)": True,
+        "SEED = True\ntrain_test_split(X, random_state=SEED)": False,
+    }
+    rows = [(i, split + text, "y", 0, None, False) for i, text in enumerate(forms)]
+    df = spark.createDataFrame(rows, "script_id long, source string, target string, duplicate_rows long, minority_fraction double, target_is_last boolean")
+    got = {r.script_id: not r.no_seed for r in scripts.scan_scripts(df).collect()}
+    assert {text: got[i] for i, text in enumerate(forms)} == forms
+
+
 def test_table_digest_counts_duplicates(spark):
     def digest(values):
         return manifests.table_fingerprint(spark.createDataFrame([(v,) for v in values], "x long")).first().digest
