@@ -82,40 +82,42 @@ def binary_labels(pred: DataFrame) -> DataFrame:
     guess = F.col("y_pred").cast("string") if has_pred else F.lit(None).cast("string")
     score = F.col("y_prob") if has_prob else F.lit(None).cast("double")
     finite = score.isNotNull() & ~score.isin(float("inf"), float("-inf"))
-    # A handful of cells: two labels, the predicted labels, high or low score.
-    cells = pred.groupBy(
-        F.col("y_true").cast("string").alias("t"),
-        guess.alias("p"),
-        F.when(finite, score >= 0.5).alias("high"),
-    ).agg(F.count(F.lit(1)).alias("n"))
-    row = cells.agg(
+    rows = pred.select(F.col("y_true").cast("string").alias("t"), guess.alias("p"), F.when(finite, score >= 0.5).alias("high"))
+    ends = rows.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    low, high = ends.select("a").scalar(), ends.select("b").scalar()
+
+    def agrees(label: Column) -> Column:
+        return F.count_if(F.col("high").isNotNull() & (F.col("p").eqNullSafe(label) == F.col("high")))
+
+    # counters of two labels, whatever is predicted
+    row = rows.agg(
         F.min("t").alias("a"),
         F.max("t").alias("b"),
-        F.count_distinct("t").alias("labels"),
-        F.collect_list(F.struct("t", "p", "high", "n")).alias("cells"),
+        F.count_if((F.col("t") != low) & (F.col("t") != high)).alias("others"),
+        F.count_if(F.col("t") == low).alias("a_rows"),
+        F.count_if(F.col("t") == high).alias("b_rows"),
+        F.count("high").alias("scored"),
+        agrees(low).alias("a_agrees"),
+        agrees(high).alias("b_agrees"),
     )
 
-    def total(test) -> Column:
-        return F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + F.when(test(c), c["n"]).otherwise(0))
-
-    def agreement(label: Column) -> Column:
-        agrees = total(lambda c: c["high"].isNotNull() & (c["p"].eqNullSafe(label) == c["high"]))
-        return F.try_divide(agrees, total(lambda c: c["high"].isNotNull()))
+    def agreement(side: str) -> Column:
+        return F.try_divide(F.col(f"{side}_agrees"), F.col("scored"))
 
     a, b = F.col("a"), F.col("b")
     numeric = types["y_true"] in ("tinyint", "smallint", "int", "bigint", "float", "double")
     zero_one = F.lit(numeric) & (a.try_cast("double") == 0) & (b.try_cast("double") == 1)
-    by_score = F.greatest(agreement(a), agreement(b)) > 0.5 if has_pred and has_prob else F.lit(False)
+    by_score = F.greatest(agreement("a"), agreement("b")) > 0.5 if has_pred and has_prob else F.lit(False)
     a_name, b_name = F.lower(F.trim(a)), F.lower(F.trim(b))
     positive = (
         F.when(zero_one | F.lit(types["y_true"] == "boolean"), b)
-        .when(by_score, F.when(agreement(b) > agreement(a), b).otherwise(a))
+        .when(by_score, F.when(agreement("b") > agreement("a"), b).otherwise(a))
         .when(a_name.isin(*POSITIVE_LABELS) & b_name.isin(*NEGATIVE_LABELS), a)
         .when(b_name.isin(*POSITIVE_LABELS) & a_name.isin(*NEGATIVE_LABELS), b)
-        .when(total(lambda c: c["t"] == F.col("b")) < total(lambda c: c["t"] == F.col("a")), b)
+        .when(F.col("b_rows") < F.col("a_rows"), b)
         .otherwise(a)
     )
-    return row.where("labels = 2").select(positive.alias("positive"), "a", "b").select(
+    return row.where("a < b AND others = 0").select(positive.alias("positive"), "a", "b").select(
         "positive", F.when(F.col("positive") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("negative")
     )
 
@@ -284,8 +286,6 @@ def multiclass_metrics(classes: DataFrame) -> DataFrame:
     )
 
 
-# The side of the largest dense confusion matrix.
-MOST_LABELS = 2000
 
 
 def label_order(label: Column) -> tuple[Column, Column, Column]:
@@ -297,17 +297,13 @@ def label_order(label: Column) -> tuple[Column, Column, Column]:
 def dense_confusion(cells: DataFrame) -> DataFrame:
     """Every (truth, prediction) pair of labels with its count, zeros included.
 
-    The label set is an array of one row: it is as large as the matrix's side, and more than
-    ``MOST_LABELS`` labels are refused. ``cells`` alone holds what occurs.
+    The label set is an array of one row, as long as a side of the matrix; the matrix is written row by row.
+    ``cells`` alone holds what occurs.
     """
-    labels = cells.agg(
-        F.array_distinct(F.flatten(F.array(F.collect_set("t"), F.collect_set("p")))).alias("labels")
-    )
-    few = F.when(F.size("labels") <= MOST_LABELS, F.col("labels")).otherwise(
-        F.raise_error(F.lit(f"more than {MOST_LABELS} labels")).cast("array<string>")
-    )
-    labels = labels.select(few.alias("labels"))
-    grid = labels.select("labels", F.explode("labels").alias("t")).select("t", F.explode("labels").alias("p"))
+    labels = cells.agg(F.array_distinct(F.flatten(F.array(F.collect_set("t"), F.collect_set("p")))).alias("labels"))
+    # the rows are dealt out before each is filled
+    sides = labels.select("labels", F.explode("labels").alias("t")).repartition("t")
+    grid = sides.select("t", F.explode("labels").alias("p"))
     return grid.join(cells, ["t", "p"], "left").select("t", "p", F.coalesce("n", F.lit(0)).alias("n"))
 
 

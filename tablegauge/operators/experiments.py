@@ -330,7 +330,8 @@ def judge_validity(key: DataFrame, labels: DataFrame, truth: DataFrame, judges:
 
 
 def judge_consensus(key: DataFrame, labels: DataFrame, first: str, second: str) -> DataFrame:
-    """Agreed label, or disagree, per stratum of the items both judges labelled."""
+    """Agreed label, or disagree, per stratum of the items both judges labelled; a null label is none."""
+    labels = labels.where("label IS NOT NULL")
     a = labels.where(F.col("judge") == first).select("id", F.col("label").alias("a"))
     b = labels.where(F.col("judge") == second).select("id", F.col("label").alias("b"))
     joined = key.join(a, "id").join(b, "id")

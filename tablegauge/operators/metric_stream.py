@@ -25,12 +25,12 @@ PLATEAU_WINDOW, PLATEAU_SHARE = 5, 1e-3
 OVERFIT_WINDOW, OVERFIT_GAP = 3, 0.05
 
 
-def merge_epochs(snapshots: DataFrame, sources: bool = False) -> DataFrame:
+def merge_epochs(snapshots: DataFrame, size: int = BLOCK, sources: bool = False) -> DataFrame:
     """One snapshot per run of consecutive same-epoch rows, named by the seq of its first row.
 
     Later values of a metric win and the first step stays; rows without an epoch stay alone. ``lines`` counts the rows of
     a snapshot, ``sources`` adds the list of their seqs. Rows are range-partitioned by (run, seq) and folded in one
-    sorted pass, however long a run is; the first and the last snapshot of each partition may go on in the next one,
+    sorted pass, at most ``size`` at a time, however long a run is; the first and the last snapshot of each partition may go on in the next one,
     so these few are put together afterwards.
     """
     spark = snapshots.sparkSession
@@ -40,7 +40,7 @@ def merge_epochs(snapshots: DataFrame, sources: bool = False) -> DataFrame:
         F.col("metrics").cast("map<string,double>"),
     )
     placed = rows.repartitionByRange(partitions, "run_id", "seq").sortWithinPartitions("run_id", "seq")
-    folded = durable(placed.mapInArrow(folded_epochs(), f"{_MERGED.format(rows.schema['run_id'].dataType.simpleString())}, {_EDGE}"))
+    folded = durable(placed.mapInArrow(folded_epochs(size), f"{_MERGED.format(rows.schema['run_id'].dataType.simpleString())}, {_EDGE}"))
     names = [c for c in folded.columns if c not in ("part", "place", *([] if sources else ["sources"]))]
     inner = folded.where("place IS NULL").select(*names)
     # two rows a partition at most
@@ -69,7 +69,7 @@ _MERGED = "run_id {}, seq bigint, epoch bigint, step bigint, metrics map<string,
 _EDGE = "part int, place int"
 
 
-def folded_epochs():
+def folded_epochs(size: int = BLOCK):
     """A ``mapInArrow`` function over rows sorted by (run_id, seq): the merged snapshots of a partition.
 
     ``place`` is 0 and 1 for the partition's first and last snapshot, else null.
@@ -139,9 +139,8 @@ def folded_epochs():
             arrays = [*table.columns, pa.array([part] * table.num_rows, pa.int32()), pa.array(place, pa.int32())]
             return pa.RecordBatch.from_arrays(arrays, names=[*table.schema.names, "part", "place"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        pieces = (b.slice(low, size) for b in batches for low in range(0, b.num_rows, size))
+        for batch in pieces:
             table = islands(batch)
             if held is not None:
                 old, new = held.slice(0, 1).to_pylist()[0], table.slice(0, 1).to_pylist()[0]

@@ -39,8 +39,8 @@ SELECT event_id, 'arm' || (user_id % 3) AS arm, CASE WHEN event_id % 6 = 0 THEN
 FROM {events}"""
 KEYS = "SELECT event_id AS id, event_type AS stratum FROM {events}"
 LABELS = """
-SELECT event_id AS id, 'j1' AS judge, CASE WHEN value > 100 AND event_type IN ('view', 'click') THEN 'C' WHEN event_type IN ('view', 'click') THEN 'A'
-  ELSE 'D' END AS label FROM {events} WHERE event_id % 17 > 0
+SELECT event_id AS id, 'j1' AS judge, CASE WHEN event_id % 17 = 0 THEN NULL WHEN value > 100 AND event_type IN ('view', 'click') THEN 'C' WHEN event_type IN ('view', 'click') THEN 'A'
+  ELSE 'D' END AS label FROM {events}
 UNION ALL SELECT event_id, 'j2', CASE WHEN event_type = 'view' THEN 'A' WHEN event_type = 'click' THEN 'B' WHEN user_id % 2 = 0 THEN 'D' ELSE 'A' END FROM {events}"""
 CONTRASTS = (("X1", "arm1", True), ("X2", "arm2", True), ("X3", "arm3", True), ("X4", "arm9", True), ("X5", "arm3", False))
 
@@ -259,8 +259,8 @@ ORACLES = {
         keys=KEYS, labels=LABELS,
     ),
     "sta_15_consensus": _sql(
-        "SELECT stratum, CASE WHEN a.label = b.label THEN a.label ELSE 'disagree' END AS consensus, count(*) AS items FROM keys JOIN labels a ON a.id = keys.id AND a.judge = 'j1' "
-        "JOIN labels b ON b.id = keys.id AND b.judge = 'j2' GROUP BY 1, 2",
+        "SELECT stratum, CASE WHEN a.label = b.label THEN a.label ELSE 'disagree' END AS consensus, count(*) AS items FROM keys JOIN labels a ON a.id = keys.id AND a.judge = 'j1' AND a.label IS NOT NULL "
+        "JOIN labels b ON b.id = keys.id AND b.judge = 'j2' AND b.label IS NOT NULL GROUP BY 1, 2",
         keys=KEYS, labels=LABELS,
     ),
 }

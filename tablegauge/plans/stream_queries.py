@@ -213,7 +213,46 @@ def _windowed(spark, folder):
     return rounded(windowed_drift.window_drift(windowed_drift.window_bins(rows, reference, "ts", "1 day"), reference))
 
 
+def _windowed_stream(spark, folder):
+    """The events as a stream by id, so rows come late; two last rows far ahead close all windows."""
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4()}"
+    events = table(spark, folder, "events")
+    # event time has to be an instant; the clock times of the table are read as UTC, whatever the session's zone is
+    instant = F.expr("timestamp_seconds(0) + (ts - TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    events = events.select("event_id", instant.alias("ts"), "value", "user_id", "event_type")
+    rows = events.drop("event_id")
+    early = rows.where("ts < timestamp_seconds(1704672000)").drop("ts")  # 8 January 2024
+    reference = windowed_drift.reference_bins(early, ["value", "user_id", "event_type"])
+    for part in range(3):
+        events.where(f"event_id % 3 = {part}").drop("event_id").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for days in (365, 400):
+        ahead = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"))
+        ahead = ahead.select("ts", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("user_id"), F.lit("none").alias("event_type"))
+        ahead.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+    def sink(found, batch_id):
+        found.write.mode("append").parquet(f"{base}/found")
+
+    query = windowed_drift.stream_window_drift(stream, reference, "ts", "1 day", "60 days", sink, f"{base}/state", once=True)
+    query.awaitTermination()
+    clock = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00' + (window_start - timestamp_seconds(0))")
+    return rounded(spark.read.parquet(f"{base}/found").withColumn("window_start", clock))
+
+
+def _numbered_files(spark, folder):
+    """The log lines written as one text file per run, then read by split and numbered."""
+    base = f"{shared_folder(spark)}/logs-{uuid.uuid4()}"
+    rows = lines(spark, folder).select("run_id", "line_no", "line")
+    rows.repartition("run_id").sortWithinPartitions("run_id", "line_no").drop("line_no").write.partitionBy("run_id").text(base)
+    run = F.regexp_extract("run_id", r"run_id=(\d+)", 1).cast("long")
+    parsed = logs.parse_log_lines(logs.read_lines(spark, base).withColumn("run_id", run))
+    return parsed.select("run_id", "seq", "epoch", "step", F.explode_outer("metrics").alias("metric", "value"))
+
+
 QUERIES = {
+    "src_06_read_lines": _numbered_files,
+    "drf_17_stream": _windowed_stream,
     "src_03_run_records": lambda s, f: run_source.run_metrics(derive(s, f, RECORDS)),
     "src_03_run_config": lambda s, f: run_source.run_config(derive(s, f, RECORDS)),
     "src_03_run_details": lambda s, f: run_source.run_details(
@@ -329,3 +368,22 @@ SELECT run_id, seq, epoch, step, metric, value FROM snap, LATERAL (SELECT * FROM
         c=CALLS,
     ),
 }
+_LINE_NO = "(SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line_no FROM events)"
+ORACLES["src_06_read_lines"] = (
+    f"SELECT run_id, line_no AS seq, epoch, step, metric, value FROM ({ORACLES['src_06_log_lines']}) JOIN {_LINE_NO} ON event_id = seq"
+)
+_NUMBERS, _, _SHOWN = ORACLES["drf_17_windowed_drift"].rpartition("SELECT CAST(day AS TIMESTAMP)")
+ORACLES["drf_17_stream"] = (
+    _NUMBERS.rstrip()
+    + """,
+  lev AS (SELECT event_type AS l, count(*) AS ref FROM r GROUP BY 1),
+  tdays AS (SELECT CAST(ts AS DATE) AS day, count(*) AS cur_rows FROM events GROUP BY 1),
+  tg AS (SELECT day, cur_rows, ref, (SELECT count(*) FROM events WHERE CAST(ts AS DATE) = day AND event_type = l) AS cur FROM tdays, lev),
+  ts_ AS (SELECT *, ref / sum(ref) OVER w AS rs, cur / sum(cur) OVER w AS cs, sum(ref) OVER w AS rt, count(*) OVER w AS k FROM tg WINDOW w AS (PARTITION BY day)),
+  tp AS (SELECT 'event_type' AS feature, day, any_value(cur_rows) AS cur_rows, any_value(k) + 1 AS k, any_value(rt) AS rt, greatest(0, sum(((CASE WHEN cs = 0 THEN 1e-6 ELSE cs END) - rs)
+    * ln((CASE WHEN cs = 0 THEN 1e-6 ELSE cs END) / rs))) AS psi FROM ts_ GROUP BY day),
+  xs AS (SELECT feature, day, cur_rows, psi, excess FROM x UNION ALL SELECT feature, day, cur_rows, psi,
+    greatest(0, psi - (k - 1) * (1.0::DOUBLE / rt + 1.0::DOUBLE / cur_rows)) FROM tp)
+  SELECT CAST(day AS TIMESTAMP)"""
+    + _SHOWN.replace("FROM x", "FROM xs")
+)

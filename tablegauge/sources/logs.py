@@ -1,12 +1,12 @@
 """Training-log sources: text lines, tracker history, long scalars, run folders.
 
 Text has no line number in a distributed read, so every parser takes
-``(run_id, line_no, line)``; ``read_lines`` builds that from one file per run.
+``(run_id, line_no, line)``; ``read_lines`` numbers the lines of files split over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.metric_names import normalised
@@ -25,11 +25,21 @@ HISTORY_FILES = ("wandb-summary.json", "wandb-history.jsonl")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, line_no, line) of text files, one file per run and task."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("run_id"), F.split("value", r"\r\n|\r|\n").alias("lines")
+    """(run_id, line_no, line) of text files, each of which many tasks may read.
+
+    A task numbers the lines of its split of a file; the splits before it, a small table with a row per split, give
+    the number its first line has. Splits are read in their own order and never change between the two readings.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("run_id"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("line"),
     )
-    return files.select("run_id", F.posexplode("lines").alias("line_no", "line"))
+    splits = lines.groupBy("run_id", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("run_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("run_id", "_start", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return lines.join(offsets, ["run_id", "_start"]).select("run_id", (F.col("_id") + F.col("_offset")).alias("line_no"), "line")
 
 
 def _as_number(text: Column) -> Column:

@@ -155,3 +155,37 @@ def test_windowed_drift_of_text_and_few_integers(spark):
     got = {(str(r.window_start)[:10], r.feature): r for r in windowed_drift.window_drift(binned, reference).collect()}
     assert len(got) == 18 and all(r.cur_rows == 60 for r in got.values())
     assert got["2024-01-02", "name"].psi < 0.01 < 0.3 < got["2024-01-09", "name"].psi and got["2024-01-09", "kind"].psi < 0.01
+
+
+def test_any_number_of_levels_and_late_rows(spark):
+    rows = [(f"2024-01-{1 + i % 4:02d} 00:00:00", f"level {i % 700}") for i in range(2800)] + [("2024-01-05 00:00:00", f"new {i}") for i in range(50)]
+    events = spark.createDataFrame(rows, "ts string, name string").withColumn("ts", F.col("ts").cast("timestamp"))
+    reference = windowed_drift.reference_bins(events.where("ts < '2024-01-05'"), ["name"])
+    assert reference.cells.count() == 700
+    found = windowed_drift.window_drift(windowed_drift.window_bins(events, reference, "ts", "1 day"), reference).collect()
+    assert {str(r.window_start)[:10]: r.severity for r in found}["2024-01-05"] == "major"
+
+
+@pytest.mark.parametrize("size", [None, 400])
+def test_lines_are_numbered_over_the_splits_of_a_file(spark, tmp_path, size):
+    written = {"a.log": [f"line {i} " + "x" * (i % 37) for i in range(500)], "b.log": ["only one"], "c.log": ["", "second", "", "fourth"]}
+    for name, texts in written.items():
+        end = "\r\n" if name == "c.log" else "\n"
+        (tmp_path / name).write_bytes((end.join(texts) + end).encode())
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if size:
+        spark.conf.set(key, size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        read = logs.read_lines(spark, str(tmp_path)).collect()
+        parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in read:
+        got.setdefault(r.run_id.rsplit("/", 1)[1], {})[r.line_no] = r.line
+    assert {n: [lines[i] for i in sorted(lines)] for n, lines in got.items()} == written
+    assert all(sorted(lines) == list(range(len(lines))) for lines in got.values())
+    assert size is None or parts > 10
