@@ -18,6 +18,8 @@ from tablegauge.session import durable, shared_folder
 
 # A text is rejected if no language is sure to this degree.
 LEAST_LANGUAGE_SCORE = 0.5
+# Near duplicates share this percentage of their shingles of so many words.
+SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id and rows that repeat one are compared like any other.
     """
     rows = _numbered(docs)
-    found = minhash.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"))
+    found = minhash.near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), SHINGLE, PERCENT)
     kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
     return rows.join(kept, F.col("_node") == F.col("_kept"), "left_semi").select(docs.columns)
 

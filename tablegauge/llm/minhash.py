@@ -1,12 +1,12 @@
 """Near-duplicate documents: b-bit MinHash signatures joined by Hamming distance.
 
-A document's set holds its distinct word shingles. Its signature is ``CHUNKS *
-WIDTH`` MinHash symbols of 16 bits. Two documents are candidates if their signatures
-differ in at most ``DISTANCE`` symbols: cut into ``CHUNKS`` chunks, such a pair has at
-most ``DISTANCE // CHUNKS`` = 1 error in some chunk (pigeonhole), so enumerating one
+A document's set holds its distinct word shingles. Its signature is ``SYMBOLS``
+MinHash symbols of 16 bits. Two documents are candidates if their signatures
+differ in at most so many symbols as ``cut`` gives for the likeness asked for; it also gives the
+chunks, of which such a pair has at most 1 error in some chunk (pigeonhole), so enumerating one
 wildcard per chunk finds every one of them by equality. At likeness 0.85 the distance
-has mean 14.4 of 96; more than 31 happens about once in 300,000 pairs, and less often for
-closer ones. Candidates are confirmed on the full sets of 64-bit shingle hashes.
+has mean 14.4 of 96 and 16 chunks allow 31; a pair at the limit is beyond that less than once in ``1 / MISSED``
+pairs, and less often if it is closer. Candidates are confirmed on the full sets of 64-bit shingle hashes.
 
 Equal sets are one class, so exact copies never meet in a bucket. A bucket is first tested
 as a star around the member that shares most keys with others: the text that near copies were made
@@ -17,11 +17,12 @@ they leave the join, which compares signatures, as pairs.
 
 Defined results: null or wordless text has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; a document without an id is never
-linked and is kept; rows that repeat an id are one document if their texts agree.
+linked and is kept; rows that repeat an id are one document if their sets agree, else each is compared by itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +33,33 @@ from pyspark.sql import functions as F
 from tablegauge.llm import words as W
 from tablegauge.session import durable
 
-CHUNKS, WIDTH = 16, 6
-DISTANCE = 2 * CHUNKS - 1
+SYMBOLS = 96
+# At most this share of the pairs at the limit of likeness is no candidate.
+MISSED = 1e-5
 SHINGLE, PERCENT = 3, 85
 # Symbols are packed three to a long, in lanes of 16 bits.
 LANES = 3
-LONGS = CHUNKS * WIDTH // LANES
+LONGS = SYMBOLS // LANES
 _TOPS, _BELOW = 0x800080008000, 0x7FFF7FFF7FFF
 # A cluster's sets are compared in blocks of about so many sets and bytes.
 BLOCK_SETS, BLOCK_BYTES = 256, 8_000_000
 # Documents in no candidate pair are left out by a bitmap of this many bits before their texts are shuffled.
 BITS = 1 << 22
-_ROWS = np.random.default_rng(11).integers(0, 2**64, size=CHUNKS * WIDTH, dtype=np.uint64) | np.uint64(1)
+_ROWS = np.random.default_rng(11).integers(0, 2**64, size=SYMBOLS, dtype=np.uint64) | np.uint64(1)
+
+
+def cut(percent: int) -> tuple[int, int, int]:
+    """The chunks, their width and the signature distance they allow, for pairs of ``percent`` likeness or more.
+
+    The chunks are the fewest whose distance, one error in each and one more in all but one, is exceeded by
+    a share of ``MISSED`` at most. Below about 55 percent chunks hold one fixed symbol and buckets grow large.
+    """
+    differ = 1 - percent / 100
+    chances = [math.comb(SYMBOLS, k) * differ**k * (1 - differ) ** (SYMBOLS - k) for k in range(SYMBOLS + 1)]
+    chunks = next((c for c in range(1, SYMBOLS // 2 + 1) if sum(chances[2 * c :]) <= MISSED), None)
+    if chunks is None:
+        raise ValueError(f"{SYMBOLS} symbols cannot find pairs of {percent} percent likeness")
+    return chunks, SYMBOLS // chunks, 2 * chunks - 1
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -85,7 +101,7 @@ def packed(symbols: np.ndarray) -> np.ndarray:
 
 def unpacked(longs: np.ndarray) -> np.ndarray:
     lanes = np.stack([longs >> 16 * k for k in range(LANES)], axis=-1) & 0xFFFF
-    return lanes.reshape(-1, CHUNKS * WIDTH).astype(np.uint64)
+    return lanes.reshape(-1, SYMBOLS).astype(np.uint64)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -98,19 +114,23 @@ def distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    """The identity of a set: 128 bits, null for the empty one."""
+    if not len(shingles):
+        return None
+    return np.array([shingles.sum(), W.mixed(shingles ^ np.uint64(len(shingles))).sum()], np.uint64).tobytes()
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         for low, high in W.slices(texts):
             sets = shingle_sets(texts[low:high], size)
-            digest = [
-                np.array([s.sum(), W.mixed(s ^ np.uint64(len(s))).sum()], np.uint64).tobytes() if len(s) else None for s in sets
-            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id")[low:high],
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(digest, pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.array([packed(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "set_id", "signature"],
@@ -124,25 +144,26 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     )
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], chunks: int, width: int) -> Iterator[pa.RecordBatch]:
     """One key per chunk and wildcard, of the chunk's other symbols."""
-    weights = W.factors(4096)[2048 : 2048 + WIDTH]
-    marks = W.mixed(np.arange(CHUNKS * WIDTH, dtype=np.uint64)).reshape(CHUNKS, WIDTH)
+    weights = W.factors(4096)[2048 : 2048 + width]
+    marks = W.mixed(np.arange(chunks * width, dtype=np.uint64)).reshape(chunks, width)
     for batch in batches:
         for low in range(0, batch.num_rows, 2000):
             part = batch.slice(low, 2000)
             ids = part.column("node").to_numpy()
-            symbols = unpacked(part.column("signature").flatten().to_numpy().reshape(-1, LONGS))
-            terms = (symbols.reshape(-1, CHUNKS, WIDTH) + np.uint64(1)) * weights
+            symbols = unpacked(part.column("signature").flatten().to_numpy().reshape(-1, LONGS))[:, : chunks * width]
+            terms = (symbols.reshape(-1, chunks, width) + np.uint64(1)) * weights
             keys = W.mixed(terms.sum(axis=2)[:, :, None] - terms + marks[None])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, CHUNKS * WIDTH))], ["key", "node"]
+                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, chunks * width))], ["key", "node"]
             )
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
+def buckets(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, node, size): the keys that two or more nodes share, with how many do."""
-    keys = nodes.select("node", "signature").mapInArrow(_keyed, "key long, node long")
+    chunks, width, _ = cut(percent)
+    keys = nodes.select("node", "signature").mapInArrow(lambda batches: _keyed(batches, chunks, width), "key long, node long")
     return keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
 
 
@@ -155,7 +176,7 @@ def stars(shared: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame, most: int = DISTANCE) -> DataFrame:
+def near_pairs(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """The pairs whose signatures differ in at most ``most`` symbols."""
     left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sig_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sig_b"))
@@ -168,13 +189,13 @@ def _possible(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[p
 
 
 def possible(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Leave out most of the rows whose node is not wanted, by a bitmap of fixed size; none that is."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(BITS)).cast("int")
+    """Leave out most of the rows whose id is not wanted, by a bitmap of fixed size; none that is."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("int")
     set_bits = wanted.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy()  # BITS numbers at most
     bits = np.zeros(BITS, bool)
     bits[set_bits] = True
-    kept = texts.where("node is not null").withColumn("bit", bit)
-    return kept.mapInArrow(lambda batches: _possible(batches, bits), "node long, text string, bit int").drop("bit")
+    kept = texts.where("id is not null").withColumn("bit", bit)
+    return kept.mapInArrow(lambda batches: _possible(batches, bits), "id long, text string, bit int").drop("bit")
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -183,7 +204,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         for low, high in W.slices(texts):
             sets = shingle_sets(texts[low:high], size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node")[low:high], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"]
+                [batch.column("id")[low:high], pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["id", "set_id", "shingles"],
             )
 
 
@@ -200,15 +222,18 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the documents in ``pairs``."""
-    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the classes in ``pairs``, from the rows that have their id and their set."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = durable(classes.select("node", "id", "set_id").join(nodes, "node", "left_semi"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     sets = (
         possible(texts, wanted)
-        .join(wanted, "node", "left_semi")
+        .join(wanted.select("id").distinct(), "id", "left_semi")
+        .mapInArrow(lambda batches: _set_rows(batches, size), "id long, set_id binary, shingles binary")
+        .join(wanted, ["id", "set_id"])
         .dropDuplicates(["node"])
-        .mapInArrow(lambda batches: _set_rows(batches, size), "node long, shingles binary")
+        .select("node", "shingles")
     )
     return durable(sets)
 
@@ -316,17 +341,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest reachable doc_id), kept (doc_id is the component's)."""
+    most = cut(percent)[2]
     rows = durable(signed(docs, size))
     classes = (
         rows.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     )
-    classes = durable(classes)
-    shared = durable(buckets(classes))
+    # an id may stand for several sets: a class has a number of its own, stored once
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()))
+    shared = durable(buckets(classes, percent))
     star = durable(stars(shared))
-    tested = durable(near_pairs(star, classes))
-    sets = sets_of(tested, docs, size)
+    tested = durable(near_pairs(star, classes, most))
+    sets = sets_of(tested, classes, docs, size)
     links = durable(confirmed(tested, sets, percent))
     clusters = components(tested).withColumnRenamed("component", "cluster")
     links = durable(links.union(cluster_links(clusters, components(links), sets, percent)))
@@ -339,12 +366,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     right = open_rows.select("key", F.col("node").alias("b"), F.col("cluster").alias("cb"), F.col("signature").alias("sig_b"), F.col("n").alias("nb"))
     apart = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    across = left.join(right, apart & sizes & (distance(F.col("sig_a"), F.col("sig_b")) <= DISTANCE)).select("a", "b").distinct()
+    across = left.join(right, apart & sizes & (distance(F.col("sig_a"), F.col("sig_b")) <= most)).select("a", "b").distinct()
     more = durable(across.join(star, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = durable(links.union(confirmed(more, sets_of(more, docs, size), percent)))
+        links = durable(links.union(confirmed(more, sets_of(more, classes, docs, size), percent)))
     labels = components(links)
-    named = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    placed = durable(classes.select("set_id", "id", "node").join(labels, "node", "left").select("set_id", "id", F.coalesce("component", "node").alias("label")))
+    least = placed.groupBy("label").agg(F.min("id").alias("component"))
+    named = placed.join(least, "label").select("set_id", "component")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(named, "set_id", "left").select(
         "doc_id",

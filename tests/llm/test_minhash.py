@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tablegauge.llm import minhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -14,7 +16,7 @@ def shingles(text):
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     label = {i: i for i in sets}
     changed = True
@@ -24,15 +26,15 @@ def brute(rows):
             for b in sets:
                 both = len(sets[a] & sets[b])
                 union = len(sets[a] | sets[b])
-                if union and 100 * both >= 85 * union and label[a] != label[b]:
+                if union and 100 * both >= percent * union and label[a] != label[b]:
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     return {i: (len(sets[i]), label[i], label[i] == i) for i in sets}
 
 
-def result(spark, rows):
+def result(spark, rows, percent=85):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 3, percent).collect()}
 
 
 def test_components_equal_brute_force(spark):
@@ -77,3 +79,36 @@ def test_extra_columns_with_clashing_names(spark):
         [(1, "a b c", 5, "x"), (2, "a b c", 6, "y")], "doc_id long, text string, node long, key string"
     )
     assert {r.component_id for r in minhash.near_duplicates(docs).collect()} == {1}
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_lower_likeness_equals_brute_force(spark, percent):
+    draw = random.Random(percent)
+    rows = []
+    for k in range(40):  # pairs around the limit, some above and some below
+        words = [f"p{k}w{i}" for i in range(120)]
+        rows.append((2 * k, " ".join(words)))
+        # a word changes three of the 118 shingles
+        edits = round(118 * (100 - percent) / (3 * (100 + percent))) - 2 + k % 5
+        for at in draw.sample(range(120), edits):
+            words[at] = f"y{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    want = brute(rows, percent)
+    assert result(spark, rows, percent) == want and 5 < sum(kept for _, _, kept in want.values()) - 40 < 40
+
+
+def test_distance_follows_the_likeness():
+    assert minhash.cut(85) == (16, 6, 31)
+    for percent in (60, 70, 80, 90, 95):
+        chunks, width, most = minhash.cut(percent)
+        assert chunks * width <= minhash.SYMBOLS and most // chunks == 1 and width >= 2
+    with pytest.raises(ValueError):
+        minhash.cut(10)
+
+
+def test_texts_that_share_an_id_are_compared_each(spark):
+    first, second = (" ".join(f"{w}{i}" for i in range(60)) for w in "pq")
+    rows = [(4, first), (4, second), (6, second + " end"), (7, first + " end"), (9, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(4, 4, True), (6, 4, False), (7, 4, False), (9, 9, True)}

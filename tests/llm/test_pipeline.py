@@ -13,7 +13,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def shingles(text):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
 
 
 def kept(rows):
@@ -25,7 +25,7 @@ def kept(rows):
         changed = False
         for a in sets:
             for b in sets:
-                if label[a] != label[b] and sets[a] | sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if label[a] != label[b] and sets[a] | sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     return {i for i in sets if label[i] == i}
