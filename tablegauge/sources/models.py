@@ -52,7 +52,8 @@ def readable_size(size: Column) -> Column:
     # the logarithm may land just beside a power of 1024
     step = F.when(F.pow(F.lit(1024.0), step + 1) <= size, step + 1).when(F.pow(F.lit(1024.0), step) > size, step - 1).otherwise(step)
     unit = F.get(F.array(*[F.lit(u) for u in UNITS]), F.greatest(step, F.lit(0)))
-    scaled = F.format_string("%.1f %s", size / F.pow(F.lit(1024.0), step), unit)
+    # halves go to the even digit; the quotient is exact, so it is a tie only where it shows as one
+    scaled = F.format_string("%.1f %s", F.bround(size / F.pow(F.lit(1024.0), step), 1), unit)
     return F.when(size < 1024, F.format_string("%d B", size)).otherwise(scaled)
 
 

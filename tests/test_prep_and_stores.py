@@ -136,6 +136,12 @@ def test_model_headers_are_read_in_part(spark, tmp_path):
     assert got["m.bin"].format == "pytorch"
 
 
+def test_sizes_halfway_go_to_the_even_digit(spark):
+    sizes = {1310720: "1.2 MB", 3328: "3.2 KB", 8448: "8.2 KB", 3379: "3.3 KB", 1408: "1.4 KB", 1434: "1.4 KB", 1792: "1.8 KB", 1023: "1023 B"}
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", models.readable_size(F.col("n")).alias("shown")).collect()
+    assert {r.n: r.shown for r in rows} == sizes
+
+
 def test_responses_manifests_and_ledgers(spark, tmp_path):
     (tmp_path / "deepseek_e0a1b2c3.jsonl").write_text('{"i": 1}\n{bad\n{"i": 2}\n')
     rows = responses.read_responses(spark, str(tmp_path / "*.jsonl"), "i long").collect()
