@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablegauge.operators import runs as R
-from tablegauge.plans.inputs import derive, with_inputs
+from tablegauge.plans.inputs import derive, table, with_inputs
 from tablegauge.plans.rounding import rounded
 
 METRICS = """
@@ -26,6 +27,19 @@ SELECT user_id AS run_id, key, value FROM (
 PAIRS = "SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM {events}"
 
 
+def config(spark, folder):
+    """The settings of the runs, ``shift`` added up in the order of the events and rounded as a scaled whole number.
+
+    A sum of doubles depends on its order: where it ends in half a cent, rows in any other order give another text.
+    """
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = table(spark, folder, "events").select("user_id", "event_id", F.sum("value").over(before).alias("total"))
+    total = sums.groupBy(F.col("user_id").alias("run_id")).agg(F.max_by("total", "event_id").alias("total"))
+    shift = F.round((F.col("total") / 100 - 120) * 100) / 100
+    shifts = total.select("run_id", F.lit("shift").alias("key"), shift.cast("string").alias("value"))
+    return derive(spark, folder, CONFIG).where("key <> 'shift'").unionByName(shifts)
+
+
 def finals(spark, folder):
     return R.final_metrics(derive(spark, folder, METRICS))
 
@@ -39,13 +53,12 @@ def scored(spark, folder, metric="accuracy"):
 
 
 def ranked(spark, folder, direction):
-    return R.sensitivity(scored(spark, folder), derive(spark, folder, CONFIG), direction)
+    return R.sensitivity(scored(spark, folder), config(spark, folder), direction)
 
 
 def _suggest(spark, folder, direction):
     best = R.leaderboard(scored(spark, folder), 1, direction).select("run_id")
-    config = derive(spark, folder, CONFIG)
-    leader = config.join(best, "run_id", "left_semi")
+    leader = config(spark, folder).join(best, "run_id", "left_semi")
     return R.suggestions(ranked(spark, folder, direction), leader, 3)
 
 
@@ -104,7 +117,7 @@ _SUGG_COLS = (
 
 QUERIES = {
     "run_01_final_metrics": lambda s, f: finals(s, f),
-    "run_02_config_diff": lambda s, f: R.config_diff(derive(s, f, PAIRS), derive(s, f, CONFIG)),
+    "run_02_config_diff": lambda s, f: R.config_diff(derive(s, f, PAIRS), config(s, f)),
     "run_03_metric_comparison": lambda s, f: rounded(compared(s, f).drop("better")),
     "run_04_better_side": lambda s, f: compared(s, f).select("a", "b", "metric", "better"),
     "run_05_verdict": lambda s, f: R.comparison_verdict(compared(s, f)),

@@ -1,6 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare
+
 from tablegauge.operators import experiments as X
 from tablegauge.operators import runs as R
 
@@ -64,3 +67,17 @@ def test_report_findings_fold_and_deduplicate(spark):
     df = spark.createDataFrame([(1, "d", text)], "report_id long, dataset string, text string")
     got = [(r.section, r.finding) for r in X.report_findings(df).orderBy("no").collect()]
     assert got == [("", "early"), ("warnings", "one more"), ("warnings", "Two"), ("features", "encode")]
+
+
+def test_shift_setting_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from tablegauge.plans import run_queries
+
+    rows = spark.range(0, 40_000, 1, 1).select(
+        F.col("id").alias("event_id"), (F.col("id") % 4000).alias("user_id"), (F.pmod(F.hash("id"), F.lit(50_000)) / 100).alias("value")
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")  # sums that end in half a cent
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet') ORDER BY event_id")
+    name = "run_02_config_diff"
+    equal, message, _ = compare(spark, con, str(tmp_path), run_queries.QUERIES[name], run_queries.ORACLES[name])
+    assert equal, message
