@@ -241,12 +241,13 @@ def _windowed_stream(spark, folder):
 
 
 def _numbered_files(spark, folder):
-    """The log lines written as one text file per run, then read by split and numbered."""
+    """The log lines written as text files that hold many runs each, then read by split and numbered within their run."""
     base = f"{shared_folder(spark)}/logs-{uuid.uuid4()}"
     rows = lines(spark, folder).select("run_id", "line_no", "line")
-    rows.repartition("run_id").sortWithinPartitions("run_id", "line_no").drop("line_no").write.partitionBy("run_id").text(base)
-    run = F.regexp_extract("run_id", r"run_id=(\d+)", 1).cast("long")
-    parsed = logs.parse_log_lines(logs.read_lines(spark, base).withColumn("run_id", run))
+    together = rows.repartition("run_id").sortWithinPartitions("run_id", "line_no")
+    together.select(F.concat("run_id", F.lit(logs.RUN_END), F.coalesce("line", F.lit("")))).write.text(base)
+    numbered = logs.lines_of_runs(logs.read_lines(spark, base))
+    parsed = logs.parse_log_lines(numbered.withColumn("run_id", F.col("run_id").cast("long")))
     return parsed.select("run_id", "seq", "epoch", "step", F.explode_outer("metrics").alias("metric", "value"))
 
 

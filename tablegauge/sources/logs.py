@@ -19,6 +19,7 @@ NUMBER = r"-?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
 NOT_FINITE = r"[-+]?(?:[nN][aA][nN]|[iI][nN][fF][iI][nN][iI][tT][yY]|[iI][nN][fF])(?![A-Za-z0-9_])"
 PAIR = rf"({KEY})\s*[:=]\s*({NUMBER}|{NOT_FINITE})"
 NOT_METRICS = ("epoch", "ep", "step", "iter", "global_step", "batch", "batches", "num_epochs", "total")
+RUN_END = "\t"  # ends the name of the run before each line of a file of many runs
 # File names that mark a run folder's source.
 EVENT_FILE = r"^events\.out\.tfevents\."
 HISTORY_FILES = ("wandb-summary.json", "wandb-history.jsonl")
@@ -42,6 +43,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(offsets, ["run_id", "_start"]).select("run_id", (F.col("_id") + F.col("_offset")).alias("line_no"), "line")
 
 
+def lines_of_runs(lines: DataFrame) -> DataFrame:
+    """(run_id, line_no, line) of numbered lines of files that hold many runs, each line led by its run and a tab.
+
+    The lines of a run stand together in one file, so its first line there is its line 0. Runs without number
+    need no file each: what is listed and opened grows with the text, not with the runs.
+    """
+    parts = F.split("line", RUN_END, 2)
+    named = lines.select(parts[0].alias("run_id"), "line_no", parts[1].alias("line"))
+    first = named.groupBy("run_id").agg(F.min("line_no").alias("_first"))
+    return named.join(first, "run_id").select("run_id", (F.col("line_no") - F.col("_first")).alias("line_no"), "line")
+
+
 def _as_number(text: Column) -> Column:
     plain = F.regexp_replace(text, ",", "")
     signless_nan = F.regexp_replace(plain, "(?i)^[-+](nan)$", "$1")

@@ -189,3 +189,25 @@ def test_lines_are_numbered_over_the_splits_of_a_file(spark, tmp_path, size):
     assert {n: [lines[i] for i in sorted(lines)] for n, lines in got.items()} == written
     assert all(sorted(lines) == list(range(len(lines))) for lines in got.values())
     assert size is None or parts > 10
+
+
+@pytest.mark.parametrize("size", [None, 300])
+def test_runs_that_share_a_file_are_numbered_apart(spark, tmp_path, size):
+    written = {f"run {i}": [f"line {k}\twith a tab" if k % 3 else "" for k in range(1 + 7 * i)] for i in range(12)}
+    for part in range(2):
+        texts = [f"{run}{logs.RUN_END}{line}\n" for i, (run, all_lines) in enumerate(written.items()) if i % 2 == part for line in all_lines]
+        (tmp_path / f"{part}.log").write_text("".join(texts))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if size:
+        spark.conf.set(key, size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        read = logs.lines_of_runs(logs.read_lines(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in read:
+        got.setdefault(r.run_id, {})[r.line_no] = r.line
+    assert {run: [lines[i] for i in range(len(lines))] for run, lines in got.items()} == written
