@@ -163,16 +163,27 @@ def _keys(value: Column, dtype: T.DataType) -> list[Column]:
     return []
 
 
+def _each_once(docs: DataFrame, leaves: Column, name: str) -> DataFrame:
+    """(evidence_id, name) of the different leaves of every document.
+
+    The leaves of one document are told apart in its row; only documents that share an id are compared with others.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select(F.col("evidence_id").alias("_id")).repartition(partitions, "_id").groupBy("_id")
+    shared = durable(ids.agg(F.count(F.lit(1)).alias("_docs")).where("_docs > 1").select("_id"))
+    rows = docs.select("evidence_id", F.explode(F.array_distinct(leaves)).alias(name)).where(F.col(name).isNotNull())
+    if shared.isEmpty():
+        return rows
+    same = F.col("evidence_id").eqNullSafe(F.col("_id"))
+    return rows.join(shared, same, "left_anti").unionByName(rows.join(shared, same, "left_semi").distinct())
+
+
 def document_names(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Every key and text value of typed evidence documents (evidence_id, doc)."""
     dtype = docs.schema[column].dataType
     texts = _leaves(F.col(column), dtype, lambda t: isinstance(t, T.StringType))
     arrays = [F.coalesce(a, F.array().cast("array<string>")) for a in _keys(F.col(column), dtype) + texts]
-    return (
-        docs.select("evidence_id", F.explode(F.array_distinct(F.concat(*arrays))).alias("entity"))
-        .where("entity IS NOT NULL")
-        .distinct()
-    )
+    return _each_once(docs, F.concat(*arrays), "entity")
 
 
 def document_numbers(docs: DataFrame, column: str = "doc") -> DataFrame:
@@ -180,11 +191,8 @@ def document_numbers(docs: DataFrame, column: str = "doc") -> DataFrame:
     dtype = docs.schema[column].dataType
     numbers = _leaves(F.col(column), dtype, lambda t: isinstance(t, T.NumericType))
     arrays = [F.coalesce(a.cast("array<double>"), F.array().cast("array<double>")) for a in numbers]
-    return (
-        docs.select("evidence_id", F.explode(F.array_distinct(F.concat(*arrays))).alias("value"))
-        .where("value IS NOT NULL")
-        .distinct()
-    )
+    # adding zero makes -0.0 and 0.0 one number
+    return _each_once(docs, F.transform(F.concat(*arrays), lambda x: x + F.lit(0.0)), "value")
 
 
 # ---------------------------------------------------------------- range lookups

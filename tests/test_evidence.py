@@ -127,3 +127,14 @@ def test_a_hot_evidence_is_split_by_its_weight(spark):
     joined = weighed_join(rows, lookup, ["k"], ["id"], share=0.01)
     assert joined.columns == ["k", "id", "v"] and joined.count() == 2000
     assert joined.where("v = 1").count() == 1400 and joined.where("v = 2").count() == 1 and joined.where("v = 3").count() == 0
+
+
+def test_names_of_documents_with_own_ids_are_not_hashed_again(spark):
+    docs = spark.createDataFrame([(1, ("x", 0.0)), (2, ("x", -0.0)), (3, ("b", 1.0))], "evidence_id long, doc struct<b:string,v:double>")
+    names = E.document_names(docs)
+    assert "HashAggregate" not in names._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, names.collect())) == [(1, "b"), (1, "v"), (1, "x"), (2, "b"), (2, "v"), (2, "x"), (3, "b"), (3, "v")]
+    again = docs.unionByName(spark.createDataFrame([(1, ("y", -0.0)), (None, ("n", 2.0)), (None, ("n", 2.0))], docs.schema))
+    assert sorted(map(tuple, E.document_names(again).where("evidence_id = 1").collect())) == [(1, "b"), (1, "v"), (1, "x"), (1, "y")]
+    assert sorted(r.entity for r in E.document_names(again).where("evidence_id IS NULL").collect()) == ["b", "n", "v"]
+    assert sorted(map(tuple, E.document_numbers(again).where("evidence_id IS NOT NULL").collect())) == [(1, 0.0), (2, 0.0), (3, 1.0)]
