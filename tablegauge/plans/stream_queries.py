@@ -166,37 +166,40 @@ def _found_sql(*names):
 BATCHES = 4
 
 
-def _micro_batches(spark, folder, sql, bounds, base):
-    """The derivation as a stream that brings the events of one range of ids at a time."""
+def _batches(spark, folder, sql, bounds):
+    """The derivation cut by ranges of event ids, each range dealt out so that every core parses lines of it."""
     events = table(spark, folder, "events")
     last = events.agg(F.max("event_id")).first()[0] or 0
     rows, low = spark.sql(sql, events=events), 0
     for k in range(1, bounds + 1):
         high = (last + 1) * k // bounds
-        rows.where(f"line_no >= {low} AND line_no < {high}").coalesce(1).write.mode("append").parquet(f"{base}/lines")
+        yield rows.where(f"line_no >= {low} AND line_no < {high}").repartition(spark.sparkContext.defaultParallelism, "line_no")
         low = high
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/lines")
 
 
 def _follow(spark, folder):
-    """The event table as a stream of log lines of named runs, in several micro-batches; findings land in a table."""
+    """The event table as a stream of log lines of named runs, in several micro-batches; findings land in a table.
+
+    The stream is taken up again after every range is written and reads all its files as one micro-batch.
+    """
     base = f"{shared_folder(spark)}/follow-{uuid.uuid4()}"
     named = LINES.replace("user_id AS run_id", "'run-' || user_id AS run_id").replace("{{events}}", "{events}")
-    stream_lines = _micro_batches(spark, folder, named, BATCHES, base)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, watch.ROCKSDB)
     try:
-        query = (
-            watch.follow(stream_lines)
-            .writeStream.format("parquet")
-            .option("path", f"{base}/found")
-            .option("checkpointLocation", f"{base}/state")
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        for batch in _batches(spark, folder, named, BATCHES):
+            batch.write.mode("append").parquet(f"{base}/lines")
+            query = (
+                watch.follow(spark.readStream.schema(batch.schema).parquet(f"{base}/lines"))
+                .writeStream.format("parquet")
+                .option("path", f"{base}/found")
+                .option("checkpointLocation", f"{base}/state")
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
     finally:
         spark.conf.set(provider, before)
     found = spark.read.schema(watch.output(T.StringType())).parquet(f"{base}/found")

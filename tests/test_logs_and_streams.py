@@ -211,3 +211,12 @@ def test_runs_that_share_a_file_are_numbered_apart(spark, tmp_path, size):
     for r in read:
         got.setdefault(r.run_id, {})[r.line_no] = r.line
     assert {run: [lines[i] for i in range(len(lines))] for run, lines in got.items()} == written
+
+
+def test_followed_batches_are_dealt_over_the_cores(spark):
+    from tablegauge.plans import stream_queries
+
+    named = stream_queries.LINES.replace("{{events}}", "{events}")
+    batches = list(stream_queries._batches(spark, "/root/testdata/sf0.001", named, 4))
+    assert [b.rdd.getNumPartitions() for b in batches] == [spark.sparkContext.defaultParallelism] * 4
+    assert sum(b.count() for b in batches) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
