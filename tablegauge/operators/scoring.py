@@ -105,10 +105,12 @@ def cell_costs(responses: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
 def scorer_agreement(first: DataFrame, second: DataFrame, channels: Sequence[str], examples: int = 5) -> tuple[DataFrame, DataFrame]:
     """(channel, compared, disagreements) of two score tables and the first examples."""
 
-    def long(df: DataFrame, name: str) -> DataFrame:
-        return df.select("response_id", *channels).unpivot(["response_id"], list(channels), "channel", name)
+    def wide(df: DataFrame, name: str) -> DataFrame:
+        return df.select("response_id", F.struct(*channels).alias(name))
 
-    both = long(first, "a").join(long(second, "b"), ["response_id", "channel"]).where("a IS NOT NULL AND b IS NOT NULL")
+    # a response is one row of the join, its channels are told apart afterwards
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")) for c in channels])
+    both = wide(first, "a").join(wide(second, "b"), "response_id").select("response_id", F.inline(cells)).where("a IS NOT NULL AND b IS NOT NULL")
     counts = both.groupBy("channel").agg(
         F.count(F.lit(1)).alias("compared"), F.count_if(F.col("a") != F.col("b")).alias("disagreements")
     )

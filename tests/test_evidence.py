@@ -138,3 +138,19 @@ def test_names_of_documents_with_own_ids_are_not_hashed_again(spark):
     assert sorted(map(tuple, E.document_names(again).where("evidence_id = 1").collect())) == [(1, "b"), (1, "v"), (1, "x"), (1, "y")]
     assert sorted(r.entity for r in E.document_names(again).where("evidence_id IS NULL").collect()) == ["b", "n", "v"]
     assert sorted(map(tuple, E.document_numbers(again).where("evidence_id IS NOT NULL").collect())) == [(1, 0.0), (2, 0.0), (3, 1.0)]
+
+
+def test_agreement_joins_responses_and_judges_them_once(spark, monkeypatch):
+    from tablegauge.plans import evidence_queries as Q
+
+    first = spark.createDataFrame([(1, True, None), (2, False, True), (3, True, True), (4, True, True)], "response_id long, entity boolean, value boolean")
+    second = spark.createDataFrame([(1, False, True), (2, False, False), (3, False, True)], "response_id long, entity boolean, value boolean")
+    counts, shown = S.scorer_agreement(first, second, ["entity", "value"], 1)
+    assert {tuple(r) for r in counts.collect()} == {("entity", 3, 2), ("value", 2, 1)}
+    assert {tuple(r) for r in shown.collect()} == {("entity", 1, True, False), ("value", 2, True, False)}
+    calls, judged = [], E.judged
+    monkeypatch.setattr(E, "judged", lambda *a: calls.append(a) or judged(*a))
+    monkeypatch.setattr(Q, "responses", lambda s, f: _responses(s, [("ok", ["a"], [], None, None)]))
+    monkeypatch.setattr(Q, "evidence", lambda s, f: _evidence(s))
+    Q._agreement(spark, "")
+    assert len(calls) == 1
