@@ -9,10 +9,13 @@ quartiles from sketches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,12 @@ YEAR_RANGE = (1800, 2200)
 FEW_LEVELS, MANY_LEVELS, TEXT_RATIO = 10, 500, 0.5
 NUMBER_SHARE = 0.95
 SPARSE_ABOVE = 0.5
+HASHES_A_PART = 8_000_000  # of texts, told apart by one task
+COUNTED_TEXTS = 50_000  # different texts of a column whose rows are counted; a categorical column has fewer
+TEXT_FACTS = {
+    "shaped_share": "double", "date_share": "double", "number_share": "double", "unparsed_count": "long",
+    "text_min": "timestamp_ntz", "text_max": "timestamp_ntz", "text_midnight": "boolean",
+}
 SKETCHED_FEW = 8  # a sketch off by a few percent cannot give a column of two values more
 DUPLICATE_SHARE = 0.005
 CENSORED_SHARE, CENSORED_LEVELS = 0.01, 20
@@ -91,6 +100,17 @@ class ProfileTables:
             found[r.feature].append((r.value, r.n))
         return {n: values for n, values in found.items() if len(values) == 2}
 
+    @cached_property
+    def different_texts(self) -> dict[str, int]:
+        """The number of different texts of each text column that holds any."""
+        return {r.name: r.levels for r in text_levels(self).collect()} if self.named("string") else {}
+
+    @cached_property
+    def text_counts(self) -> DataFrame:
+        """(feature, value, n) of the text columns with at most ``COUNTED_TEXTS`` different texts."""
+        few = [n for n, levels in self.different_texts.items() if levels <= COUNTED_TEXTS]
+        return durable(value_counts(C.long_form(self.df, few, "string")))
+
     @cached_property
     def basics(self) -> DataFrame:
         return durable(column_basics(self))
@@ -168,41 +188,83 @@ def missing(tables: ProfileTables) -> DataFrame:
 
 
 def text_facts(tables: ProfileTables) -> DataFrame:
-    """Distinct count and the shares of dates and numbers, per text column."""
-    names = tables.named("string")
-    aggs, rows = [], []
-    for i, name in enumerate(names):
-        value = C.col(name)
-        shaped = dates.looks_shaped(value)
-        # every format has the shape, so other texts need no parsing
-        parsed = F.when(shaped, dates.parse_date(value))
-        stamp = parsed.cast("timestamp_ntz")
-        facts = {
-            "filled": F.count(value),
-            "shaped_share": F.avg(shaped.cast("int")),
-            "date_share": F.avg((shaped & parsed.isNotNull()).cast("int")),
-            "number_share": F.avg(is_number(value).cast("int")),
-            "unparsed_count": F.count_if(value.isNotNull() & parsed.isNull()),
-            "text_min": F.min(stamp),
-            "text_max": F.max(stamp),
-            "text_midnight": F.bool_and(F.date_trunc("day", parsed) == parsed),
-        }
-        aggs += [agg.alias(f"{fact}_{i}") for fact, agg in facts.items()]
-        rows.append(F.struct(F.lit(name).alias("name"), *[F.col(f"{fact}_{i}").alias(fact) for fact in facts]))
-    facts = tables.df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("filled > 0").drop("filled")
-    return facts.join(text_levels(tables), "name")
+    """Distinct count and the shares of dates and numbers, per text column.
+
+    Texts of columns with few different ones are matched and parsed once each, with their rows as weight. The code
+    is the same for all columns, so that it stays small enough to be compiled.
+    """
+    found = tables.different_texts
+    levels = tables.df.sparkSession.createDataFrame(list(found.items()), "name string, levels long")
+    many = [n for n, different in found.items() if different > COUNTED_TEXTS]
+    texts = tables.text_counts
+    if many:
+        texts = texts.unionByName(C.long_form(tables.df, many, "string").withColumn("n", F.lit(1).cast("long")))
+    value, rows = F.col("value"), F.col("n")
+    shaped = dates.looks_shaped(value)
+    # every format has the shape, so other texts need no parsing
+    parsed = F.when(shaped, dates.parse_date(value))
+    matched = texts.select("feature", "n", shaped.alias("shaped"), parsed.alias("parsed"), is_number(value).alias("number"))
+    parsed, stamp = F.col("parsed"), F.col("parsed").cast("timestamp_ntz")
+
+    def share(test: Column) -> Column:
+        return F.sum(F.when(test, rows).otherwise(0)).cast("double") / F.sum(rows)
+
+    facts = matched.groupBy(F.col("feature").alias("name")).agg(
+        share(F.col("shaped")).alias("shaped_share"),
+        share(parsed.isNotNull()).alias("date_share"),
+        share(F.col("number")).alias("number_share"),
+        F.sum(F.when(parsed.isNull(), rows).otherwise(0)).alias("unparsed_count"),
+        F.min(stamp).alias("text_min"),
+        F.max(stamp).alias("text_max"),
+        F.bool_and(F.date_trunc("day", parsed) == parsed).alias("text_midnight"),
+    )
+    return facts.join(levels, "name")
 
 
 def text_levels(tables: ProfileTables) -> DataFrame:
-    """Distinct count per text column, over 128-bit hashes."""
+    """Distinct count per text column, over 128-bit hashes.
+
+    No task holds all that its split has: batches drop their own repetitions as they pass, and what is left is dealt
+    over so many parts that none holds more than about ``HASHES_A_PART`` of 16 bytes.
+    """
     names = tables.named("string")
-    hashed = F.array(*[
-        F.when(C.col(n).isNotNull(), F.struct(F.lit(i).alias("at"), F.xxhash64(C.col(n)).alias("h1"), F.xxhash64(F.lit(1), C.col(n)).alias("h2")))
-        for i, n in enumerate(names)
-    ])
-    different = tables.df.select(F.inline(hashed)).where("at IS NOT NULL").distinct()
+    pairs = []
+    for i, n in enumerate(names):
+        first = F.when(C.col(n).isNotNull(), F.xxhash64(C.col(n)))
+        pairs += [first.alias(f"h1_{i}"), F.xxhash64(F.lit(1), C.col(n)).alias(f"h2_{i}")]
+    once = tables.df.select(*pairs).mapInArrow(_once_a_batch(len(names)), "at int, h1 long, h2 long")
+    # a part is one task, so there are at least as many as cores
+    parts = max(tables.df.sparkSession.sparkContext.defaultParallelism, -(-tables.df.count() * len(names) // HASHES_A_PART))
+    counted = once.repartition(parts, "at", "h1", "h2").mapInArrow(_count_a_part(), "at int, n long")
     name = F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1)
-    return different.groupBy("at").agg(F.count(F.lit(1)).alias("levels")).select(name.alias("name"), "levels")
+    return counted.groupBy("at").agg(F.sum("n").alias("levels")).select(name.alias("name"), "levels")
+
+
+def _once_a_batch(columns: int):
+    """A ``mapInArrow`` function: the different hash pairs of each column, told apart inside each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(columns):
+                pairs = pa.table([batch.column(2 * i), batch.column(2 * i + 1)], names=["h1", "h2"]).drop_null()
+                found = pairs.group_by(["h1", "h2"], use_threads=False).aggregate([])
+                at = pa.array(np.full(found.num_rows, i, np.int32))
+                yield from found.append_column("at", at).select(["at", "h1", "h2"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _count_a_part():
+    """A ``mapInArrow`` function: (at, n) of the different hash pairs of each column in a part, which has all rows of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            different = pa.Table.from_batches(held).group_by(["at", "h1", "h2"], use_threads=False).aggregate([])
+            counts = different.group_by("at", use_threads=False).aggregate([([], "count_all")]).rename_columns(["at", "n"])
+            yield from counts.combine_chunks().to_batches()
+
+    return run
 
 
 def number_levels(tables: ProfileTables) -> DataFrame:
@@ -226,11 +288,7 @@ def column_types(tables: ProfileTables) -> DataFrame:
     facts = tables.basics
     if tables.named("string"):
         facts = facts.join(text_facts(tables), "name", "left")
-    for column, kind in (
-        ("levels", "long"), ("shaped_share", "double"), ("date_share", "double"),
-        ("number_share", "double"), ("unparsed_count", "long"), ("text_min", "timestamp_ntz"),
-        ("text_max", "timestamp_ntz"), ("text_midnight", "boolean"),
-    ):
+    for column, kind in {"levels": "long", **TEXT_FACTS}.items():
         if column not in facts.columns:
             facts = facts.withColumn(column, F.lit(None).cast(kind))
     # of a number's values only matters whether there are two
@@ -291,7 +349,7 @@ def _level_texts(tables: ProfileTables, names: list[str]) -> DataFrame:
     counted = tables.df.sparkSession.createDataFrame(known, "name string, value string, n long")
     if not texts:
         return counted
-    return counted.unionByName(value_counts(C.long_form(tables.df, texts, "string")).withColumnRenamed("feature", "name"))
+    return counted.unionByName(tables.text_counts.where(F.col("feature").isin(texts)).withColumnRenamed("feature", "name"))
 
 
 def top_values(tables: ProfileTables, types: DataFrame, k: int = 5) -> DataFrame:

@@ -94,3 +94,22 @@ def test_all_names_and_candidates_are_returned(spark):
     leaks = spark.range(200).select(F.col("id").alias("y"), *[(F.col("id") * (k + 1)).alias(f"x{k:02d}") for k in range(13)])
     evidence = L.strongest(L.LeakageTables(leaks, "y"), None)
     assert L.candidate_leaks(evidence).count() == 13
+
+
+def test_different_texts_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "HASHES_A_PART", 2_000)
+    monkeypatch.setattr(P, "COUNTED_TEXTS", 100)
+    hot = F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("h"), "id"))
+    df = spark.range(30_000, numPartitions=2).select(
+        F.concat(F.lit("t"), "id").alias("every"), hot.alias("hot"), F.lit(None).cast("string").alias("none"),
+        F.date_add(F.lit("2024-01-01"), (F.col("id") % 200).cast("int")).cast("string").alias("day"), (F.col("id") % 7).cast("string").alias("digit"),
+    )
+    tables = P.ProfileTables(df)
+    levels = P.text_levels(tables)
+    # a hash aggregate over all pairs of a split grows with the split
+    assert "Aggregate [at#" in (plan := levels._jdf.queryExecution().optimizedPlan().toString()) and ", h1#" not in plan.split("MapInArrow")[0]
+    assert {r.name: r.levels for r in levels.collect()} == {"every": 30_000, "hot": 3_001, "day": 200, "digit": 7}
+    facts = {r.name: (r.shaped_share, r.date_share, r.number_share, r.unparsed_count) for r in P.text_facts(tables).collect()}
+    assert facts == {"every": (0, 0, 0, 30_000), "hot": (0, 0, 0, 30_000), "day": (1, 1, 0, 0), "digit": (0, 0, 1, 30_000)}
+    types = {r.name: r.type for r in P.column_types(tables).collect()}
+    assert types == {"every": "text", "hot": "text", "none": "categorical", "day": "datetime", "digit": "categorical"}
