@@ -354,7 +354,8 @@ def _level_texts(tables: ProfileTables, names: list[str]) -> DataFrame:
 
 def top_values(tables: ProfileTables, types: DataFrame, k: int = 5) -> DataFrame:
     """The k most frequent values of every categorical column, ties by value."""
-    wanted = types.where("type = 'categorical'").select("name", F.col("levels").alias("cardinality"))
+    # a few rows of columns, but many scans of the table stand behind them
+    wanted = durable(types.where("type = 'categorical'").select("name", F.col("levels").alias("cardinality")))
     order = Window.partitionBy("name").orderBy(F.desc("n"), "value")
     names = [r.name for r in wanted.select("name").collect()]  # of columns
     return (

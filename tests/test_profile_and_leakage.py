@@ -96,6 +96,14 @@ def test_all_names_and_candidates_are_returned(spark):
     assert L.candidate_leaks(evidence).count() == 13
 
 
+def test_types_are_found_once_for_top_values(spark):
+    rows = [(f"id-{i}", f"c{i % 3}", f"2024-01-0{1 + i % 9}") for i in range(90)]
+    tables = P.ProfileTables(spark.createDataFrame(rows, "name string, color string, day string"))
+    tops = P.top_values(tables, P.column_types(tables))
+    assert "RLIKE" not in tops._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.name, r.value, r.n) for r in tops.orderBy("rank").collect()] == [("color", f"c{k}", 30) for k in range(3)]
+
+
 def test_different_texts_are_counted_in_parts(spark, monkeypatch):
     monkeypatch.setattr(P, "HASHES_A_PART", 2_000)
     monkeypatch.setattr(P, "COUNTED_TEXTS", 100)
